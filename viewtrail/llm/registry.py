@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe
+from . import byte_bpe, topk_search
 
 _QUERIES = {
+    "op1_topk_search": topk_search.query,
     "op10_byte_bpe": byte_bpe.query,
 }
 
-_ORACLES: dict[str, str] = {}
+_ORACLES = {
+    "op1_topk_search": topk_search.ORACLE,
+}
 
 
 def queries() -> dict:
