@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, topk_search
+from . import byte_bpe, simhash, topk_search
 
 _QUERIES = {
     "op1_topk_search": topk_search.query,
+    "op5_simhash": simhash.query,
     "op10_byte_bpe": byte_bpe.query,
 }
 
