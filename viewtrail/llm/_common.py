@@ -80,3 +80,18 @@ def held_out(id_column: str, folds: int, fold: int):
     """crc32(id as text) mod folds = fold; rows without an id are held out."""
     crc = F.crc32(F.col(id_column).cast("string").cast("binary"))
     return F.coalesce(crc % folds == fold, F.lit(True))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, bound: int) -> DataFrame:
+    """(doc_id, text, label) of labelled documents outside the held-out fold.
+
+    At most about ``bound`` documents, chosen by a hash of their id: a model is
+    fitted on a bounded sample. Rows without an id, a text or a label are left
+    out; repeated rows count as often as they stand there.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out("doc_id", folds, fold)).select("doc_id", F.col(label_col).cast("int").alias("label"))
+    count = known.count()
+    if count > bound:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(bound / count * 1_000_003))
+    # About ``bound`` rows of 12 bytes: a proven bound for the broadcast.
+    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")
