@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, simhash, topk_search
+from . import byte_bpe, quality_gam, simhash, topk_search, warc_bundle
 
 _QUERIES = {
     "op1_topk_search": topk_search.query,
+    "op3_quality_gam": quality_gam.query,
     "op5_simhash": simhash.query,
+    "op9_warc_bundle": warc_bundle.query,
     "op10_byte_bpe": byte_bpe.query,
 }
 
 _ORACLES = {
     "op1_topk_search": topk_search.ORACLE,
+    "op9_warc_bundle": warc_bundle.ORACLE,
 }
 
 
