@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, quality_gam, simhash, topk_search, toxicity_gru, warc_bundle
+from . import byte_bpe, decontaminate, quality_gam, simhash, topk_search, toxicity_gru, warc_bundle
 
 _QUERIES = {
     "op1_topk_search": topk_search.query,
     "op3_quality_gam": quality_gam.query,
     "op5_simhash": simhash.query,
+    "op7_decontaminate": decontaminate.query,
     "op8_toxicity_gru": toxicity_gru.query,
     "op9_warc_bundle": warc_bundle.query,
     "op10_byte_bpe": byte_bpe.query,
