@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, quality_gam, simhash, topk_search, toxicity_gru, warc_bundle
+from . import byte_bpe, decontaminate, line_dedup, quality_gam, simhash, topk_search, toxicity_gru, warc_bundle
 
 _QUERIES = {
     "op1_topk_search": topk_search.query,
     "op3_quality_gam": quality_gam.query,
+    "op4_line_dedup": line_dedup.query,
     "op5_simhash": simhash.query,
     "op7_decontaminate": decontaminate.query,
     "op8_toxicity_gru": toxicity_gru.query,
