@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, line_dedup, quality_gam, simhash, topk_search, toxicity_gru, warc_bundle
+from . import byte_bpe, decontaminate, line_dedup, quality_gam, secret_scan, simhash, topk_search, toxicity_gru, warc_bundle
 
 _QUERIES = {
     "op1_topk_search": topk_search.query,
+    "op2_secret_scan": secret_scan.query,
     "op3_quality_gam": quality_gam.query,
     "op4_line_dedup": line_dedup.query,
     "op5_simhash": simhash.query,
