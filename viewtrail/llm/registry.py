@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, line_dedup, quality_gam, secret_scan, simhash, topk_search, toxicity_gru, warc_bundle
+from . import byte_bpe, decontaminate, line_dedup, quality_gam, secret_scan, simhash, token_store, topk_search, toxicity_gru, warc_bundle
 
 _QUERIES = {
     "op1_topk_search": topk_search.query,
@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_quality_gam": quality_gam.query,
     "op4_line_dedup": line_dedup.query,
     "op5_simhash": simhash.query,
+    "op6_token_store": token_store.query,
     "op7_decontaminate": decontaminate.query,
     "op8_toxicity_gru": toxicity_gru.query,
     "op9_warc_bundle": warc_bundle.query,
