@@ -205,12 +205,12 @@ def session_areas(rows: DataFrame) -> DataFrame:
 def headline(rows: DataFrame, found: DataFrame, per_day: DataFrame) -> DataFrame:
     """One row per viewer: totals, longest session, deepest chain, busiest day."""
     s = sessions(rows)
-    totals = rows.groupBy("viewer_id").agg(F.count("*").alias("views"), F.count_distinct("session_no").alias("sessions"), F.count_if("overlap").alias("overlaps"), F.sum("duration_s").alias("duration_s"))
+    totals = rows.groupBy("viewer_id").agg(F.count("*").alias("views"), F.count_distinct("session_no").alias("sessions"), F.count_if("overlap").alias("overlap_views"), F.sum("duration_s").alias("duration_s"))
     longest = s.groupBy("viewer_id").agg(F.max_by(F.struct("session_no", "views"), F.struct("views", "session_no")).alias("l"))
     deepest = found.groupBy("viewer_id").agg(F.max("len").alias("deepest_chain"), F.sum("len").alias("chain_views"))
     busiest = per_day.groupBy("viewer_id").agg(F.max_by(F.struct("day", "views"), F.struct("views", "day")).alias("b"))
     out = totals.join(longest, "viewer_id").join(deepest, "viewer_id", "left").join(busiest, "viewer_id")
-    return out.select("viewer_id", "views", "sessions", "overlaps", "duration_s", F.col("l.session_no").alias("longest_session"), F.col("l.views").alias("longest_views"), F.coalesce("deepest_chain", F.lit(0)).alias("deepest_chain"), F.coalesce("chain_views", F.lit(0)).alias("chain_views"), F.col("b.day").alias("busiest_day"), F.col("b.views").alias("busiest_views"))
+    return out.select("viewer_id", "views", "sessions", "overlap_views", "duration_s", F.col("l.session_no").alias("longest_session"), F.col("l.views").alias("longest_views"), F.coalesce("deepest_chain", F.lit(0)).alias("deepest_chain"), F.coalesce("chain_views", F.lit(0)).alias("chain_views"), F.col("b.day").alias("busiest_day"), F.col("b.views").alias("busiest_views"))
 
 
 def neighbourhood(found: DataFrame, reach: int = 10) -> DataFrame:

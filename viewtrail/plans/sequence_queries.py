@@ -122,8 +122,8 @@ def o6_top_transitions(spark, d) -> DataFrame:
 ls AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY viewer_id ORDER BY n DESC, session_no DESC) = 1),
 bd AS (SELECT viewer_id, day, views FROM days QUALIFY row_number() OVER (PARTITION BY viewer_id ORDER BY views DESC, day DESC) = 1),
 dp AS (SELECT viewer_id, max(len) AS m, sum(len) AS c FROM chains GROUP BY viewer_id),
-tt AS (SELECT viewer_id, count(*) AS views, count(DISTINCT session_no) AS sessions, count(*) FILTER (WHERE overlap) AS overlaps, sum(duration_s) AS duration_s FROM t GROUP BY viewer_id)
-SELECT tt.viewer_id, tt.views, sessions, overlaps, CAST(duration_s AS BIGINT) AS duration_s, CAST(ls.session_no AS BIGINT) AS longest_session, ls.n AS longest_views, coalesce(dp.m, 0) AS deepest_chain, CAST(coalesce(dp.c, 0) AS BIGINT) AS chain_views, bd.day AS busiest_day, bd.views AS busiest_views
+tt AS (SELECT viewer_id, count(*) AS views, count(DISTINCT session_no) AS sessions, count(*) FILTER (WHERE overlap) AS overlap_views, sum(duration_s) AS duration_s FROM t GROUP BY viewer_id)
+SELECT tt.viewer_id, tt.views, sessions, overlap_views, CAST(duration_s AS BIGINT) AS duration_s, CAST(ls.session_no AS BIGINT) AS longest_session, ls.n AS longest_views, coalesce(dp.m, 0) AS deepest_chain, CAST(coalesce(dp.c, 0) AS BIGINT) AS chain_views, bd.day AS busiest_day, bd.views AS busiest_views
 FROM tt JOIN ls USING (viewer_id) LEFT JOIN dp USING (viewer_id) JOIN bd ON bd.viewer_id = tt.viewer_id"""))
 def a22_headline(spark, d) -> DataFrame:
     rows = q.timeline(views(spark, d))
