@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Pieces of at most this many characters are memoised, and so many of them.
-MEMO_CHARS, MEMO_PIECES = 40, 400_000
+MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 40, 150_000, 150_000
 
 
 class ByteBpe:
@@ -73,7 +73,7 @@ class ByteBpe:
         if known is None:
             left, right = self.token[a], self.token[b]
             known = self.merged(left + right) == [left, right]
-            if len(self.pair) >= 500_000:
+            if len(self.pair) >= MEMO_PAIRS:
                 self.pair.clear()
             self.pair[a, b] = known
         return known
