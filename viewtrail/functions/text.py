@@ -20,8 +20,8 @@ CHANNEL_PREFIX = "https://www.youtube.com/channel/"
 MODES = ("consume", "learn", "mixed")
 UNCLEAR = "unclear"
 SUB_CAP = 24
-#: Subjects that say nothing.
-EMPTY_SUBS = ("other", "general", "misc", "various", "unclear", "none", "unknown")
+# Subjects that say nothing.
+EMPTY_SUBS = ("other", "others", "misc", "miscellaneous", "general", "various", "unknown", "none", "unclear", "n-a")
 
 
 def _c(x) -> Column:
@@ -171,16 +171,31 @@ def matches_gone_reason(spec, reason) -> Column:
     return F.exists(each, hit)
 
 
-#: Ordered marks of a failed fetch; the first that is found names the reason.
-ERROR_MARKS = (("Private video", "private"), ("removed by the uploader", "removed"), ("account associated", "terminated"), ("confirm your age", "age"), ("members-only", "members"), ("unavailable", "unavailable"))
+# Ordered marks of a final failure and their reasons.
+ERROR_MARKS = (
+    ("confirm your age", "age"),
+    ("members", "members"),
+    ("private", "private"),
+    ("removed", "removed"),
+    ("terminated", "terminated"),
+    ("unavailable", "unavailable"),
+    ("not available", "unavailable"),
+)
+# Marks of throttling, which concerns no single video.
+THROTTLE_MARKS = ("not a bot", "too many requests", "http error 429")
 
 
 def error_reason(message) -> Column:
     """The reason of a final failure; null for one that may pass."""
-    m = _c(message)
+    m = F.lower(_c(message))
     return reduce(lambda rest, x: F.when(F.contains(m, F.lit(x[0])), x[1]).otherwise(rest), reversed(ERROR_MARKS), F.lit(None).cast("string"))
 
 
+def is_throttled(message) -> Column:
+    m = F.lower(_c(message))
+    return reduce(lambda a, b: a | b, [F.contains(m, F.lit(x)) for x in THROTTLE_MARKS])
+
+
 def parse_mode(text) -> Column:
     t = F.lower(F.trim(_c(text)))
     return F.when(t.isin(*MODES), t).otherwise("")

@@ -13,6 +13,7 @@ from .oracle import VIEWS, sql
 AREAS = ["PROMO", "STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "unclear"]
 ALIASES = {"brushed-brass": "brass", "polished-tin": "tin"}
 
+EMPTY = ", ".join(f"'{x}'" for x in t.EMPTY_SUBS)
 TITLE = "CASE p_partkey % 4 WHEN 0 THEN concat('Watched ', p_name) WHEN 1 THEN concat('Angesehen: ', p_name) WHEN 2 THEN concat(p_name, ' angesehen') ELSE p_name END"
 URL = "CASE p_partkey % 8 WHEN 0 THEN concat('https://www.youtube.com/watch?v=k', p_partkey) WHEN 1 THEN concat('https://youtu.be/k', p_partkey, '/') WHEN 2 THEN concat('https://m.youtube.com/shorts/k', p_partkey) WHEN 3 THEN concat('https://www.youtube.com/live/k', p_partkey, '/x') WHEN 4 THEN concat('https://youtube.com/embed/k', p_partkey) WHEN 5 THEN concat('https://notyoutube.com/watch?v=k', p_partkey) WHEN 6 THEN concat('https://example.com/watch?v=k', p_partkey) ELSE 'https://www.youtube.com/channel/UC1/videos' END"
 CHANNEL = "CASE p_partkey % 3 WHEN 0 THEN concat('https://www.youtube.com/channel/UC', p_partkey, '/x') WHEN 1 THEN concat('http://www.youtube.com/channel/UC', p_partkey) ELSE concat('https://www.youtube.com/channel/UC', p_partkey) END"
@@ -60,7 +61,7 @@ def p8_slug(spark, d) -> DataFrame:
     return parts(spark, d).select("p_partkey", t.slug("p_type").alias("area_slug"), t.slug("p_name", 24).alias("sub_slug"))
 
 
-NORMAL = f"""SELECT p_partkey, x, CASE WHEN area IS NULL THEN NULL WHEN sub = '' OR sub IN ('other', 'general', 'misc', 'various', 'unclear', 'none', 'unknown') OR sub = lower(area) OR area = 'unclear' THEN area ELSE concat(area, '/', sub) END AS topic
+NORMAL = f"""SELECT p_partkey, x, CASE WHEN area IS NULL THEN NULL WHEN sub = '' OR sub IN ({EMPTY}) OR sub = lower(area) OR area = 'unclear' THEN area ELSE concat(area, '/', sub) END AS topic
 FROM (SELECT p_partkey, x, CASE lower(trim(split_part(x, '/', 1))) {" ".join(f"WHEN '{a.lower()}' THEN '{a}'" for a in AREAS)} END AS area, CASE {SLUG24.format("CASE WHEN instr(x, '/') > 0 THEN substr(x, instr(x, '/') + 1) ELSE '' END")} {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items())} ELSE {SLUG24.format("CASE WHEN instr(x, '/') > 0 THEN substr(x, instr(x, '/') + 1) ELSE '' END")} END AS sub FROM (SELECT p_partkey, {TOPIC} AS x FROM part))"""
 
 
@@ -75,7 +76,7 @@ def p10_split_topic(spark, d) -> DataFrame:
     return parts(spark, d).select("p_partkey", t.area_of(x).alias("area"), t.sub_of(x).alias("sub"))
 
 
-@register("p11_replace_area", f"SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN x WHEN sub = '' OR sub IN ('other', 'general', 'misc', 'various', 'unclear', 'none', 'unknown') OR sub = 'large' THEN 'LARGE' ELSE concat('LARGE/', sub) END AS topic FROM (SELECT p_partkey, x, CASE {SLUG24.format('s')} WHEN 'brushed-brass' THEN 'brass' WHEN 'polished-tin' THEN 'tin' ELSE {SLUG24.format('s')} END AS sub FROM (SELECT p_partkey, x, CASE WHEN instr(x, '/') > 0 THEN substr(x, instr(x, '/') + 1) ELSE '' END AS s FROM (SELECT p_partkey, {TOPIC} AS x FROM part)))")
+@register("p11_replace_area", f"SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN x WHEN sub = '' OR sub IN ({EMPTY}) OR sub = 'large' THEN 'LARGE' ELSE concat('LARGE/', sub) END AS topic FROM (SELECT p_partkey, x, CASE {SLUG24.format('s')} WHEN 'brushed-brass' THEN 'brass' WHEN 'polished-tin' THEN 'tin' ELSE {SLUG24.format('s')} END AS sub FROM (SELECT p_partkey, x, CASE WHEN instr(x, '/') > 0 THEN substr(x, instr(x, '/') + 1) ELSE '' END AS s FROM (SELECT p_partkey, {TOPIC} AS x FROM part)))")
 def p11_replace_area(spark, d) -> DataFrame:
     area = F.when(F.col("p_partkey") % 7 == 0, "nowhere").otherwise("large")
     return parts(spark, d).select("p_partkey", t.replace_area(F.expr(TOPIC), area, AREAS, ALIASES).alias("topic"))

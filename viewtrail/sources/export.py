@@ -7,15 +7,14 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as t
 
-RAW = T.StructType.fromDDL("header STRING, title STRING, titleUrl STRING, subtitles ARRAY<STRUCT<name: STRING, url: STRING>>, details ARRAY<STRUCT<name: STRING>>, time STRING, products ARRAY<STRING>")
-META = T.StructType.fromDDL("id STRING, title STRING, channel STRING, channel_id STRING, duration DOUBLE, categories ARRAY<STRING>, tags ARRAY<STRING>, upload_date STRING, unavailable BOOLEAN, gone_reason STRING")
+RAW = "header STRING, title STRING, titleUrl STRING, subtitles ARRAY<STRUCT<name: STRING, url: STRING>>, details ARRAY<STRUCT<name: STRING>>, time STRING, products ARRAY<STRING>"
+META = "id STRING, title STRING, channel STRING, channel_id STRING, duration DOUBLE, categories ARRAY<STRING>, tags ARRAY<STRING>, upload_date STRING, unavailable BOOLEAN, gone_reason STRING"
 # Fixed file names of the export's locales.
-HISTORY_NAMES = ("watch-history.json", "Wiedergabeverlauf.json")
-SUBSCRIPTION_NAMES = ("subscriptions.csv", "Abos.csv")
+HISTORY_NAMES = ("wiedergabeverlauf.json", "watch-history.json")
+SUBSCRIPTION_NAMES = ("abos.csv", "subscriptions.csv")
 SKIPPED_FOLDERS = ("cache", "out")
 
 
@@ -24,7 +23,7 @@ def find_exports(root: str, names: tuple[str, ...], depth: int = 4) -> list[Path
     base, found = Path(root), []
     for path in sorted(base.rglob("*")):
         inner = path.relative_to(base).parts
-        if path.is_file() and path.name in names and len(inner) <= depth and not set(inner[:-1]) & set(SKIPPED_FOLDERS):
+        if path.is_file() and path.name.lower() in names and len(inner) <= depth and not set(inner[:-1]) & set(SKIPPED_FOLDERS):
             found.append(path)
     return found
 
