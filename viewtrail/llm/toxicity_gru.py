@@ -180,8 +180,9 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 8, noisy_epochs: int = 2,
         rate_now = rate * (1.0 if epoch < noisy_epochs + 2 else 0.3)
         picked = [*chosen, *others]
         picked = [picked[i] for i in rng.permutation(len(picked))]
-        for a in range(0, len(picked), batch):
-            part = [(docs[i][s : s + WINDOW], y[i]) for i, s in (windows[k] for k in picked[a : a + batch])]
+        size_now = min(batch, max(32, len(picked) // 24))  # small samples take smaller steps, more of them
+        for a in range(0, len(picked), size_now):
+            part = [(docs[i][s : s + WINDOW], y[i]) for i, s in (windows[k] for k in picked[a : a + size_now])]
             target = np.array([t for _, t in part], np.float32)
             vocabulary = {w: n for n, w in enumerate(dict.fromkeys(w for ws, _ in part for w in ws))}
             index = _index([ws for ws, _ in part], vocabulary, len(vocabulary))
