@@ -27,7 +27,7 @@ def test_hand_countable_path(spark):
     found, sessions = q.chains(t), q.sessions(t)
     assert t.count() == 10 and t.filter("overlap").count() == 1 and sessions.count() == 3
     assert [(r["len"], r["area"]) for r in found.collect()] == [(4, "sports")]
-    h = q.headline(t, found, q.days(t, found)).first()
+    h = q.headline(t, found, q.days(t)).first()
     assert (h["longest_views"], h["deepest_chain"], str(h["busiest_day"]), h["busiest_views"], h["duration_s"]) == (5, 4, "2026-07-01", 7, 7700)
 
 

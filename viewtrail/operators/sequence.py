@@ -94,33 +94,41 @@ def sessions(rows: DataFrame) -> DataFrame:
     return each.withColumn("gap_before_s", F.coalesce(gap, F.lit(0))).withColumn("ordinal", newest - 1)
 
 
-def chain_rows(rows: DataFrame, gap_s: int = CHAIN_GAP_S, least: int = CHAIN_LEAST) -> DataFrame:
-    """Main-lane rows with chain_no, previous area and chain_len of their island."""
+def marked_chains(rows: DataFrame, gap_s: int = CHAIN_GAP_S) -> DataFrame:
+    """All rows with chain_no, area_before, chain_len and seconds up to here.
+
+    A main-lane row is compared with the last main-lane row before it; rows
+    beside the main lane carry the island that they stand in. One partitioning
+    and order serves all of it.
+    """
     w = _within(*SESSION)
-    before, area = F.lag("watched_at").over(w), F.lag("area").over(w)
-    breaks = F.when(before.isNull() | ~area.eqNullSafe(F.col("area")) | (_us("watched_at") - _us(before) > gap_s * 1_000_000), 1).otherwise(0)
-    marked = main_lane(rows).withColumn("_break", breaks).withColumn("area_before", area)
-    marked = marked.withColumn("chain_no", F.sum("_break").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_break")
-    return marked.withColumn("chain_len", F.count("*").over(Window.partitionBy(*SESSION, "chain_no")))
+    before_here, lane = w.rowsBetween(Window.unboundedPreceding, -1), ~F.col("overlap")
+    last = lambda c: F.last(F.when(lane, F.col(c)), ignorenulls=True).over(before_here)
+    before, area = last("watched_at"), last("area")
+    breaks = F.when(lane & (before.isNull() | ~area.eqNullSafe(F.col("area")) | (_us("watched_at") - _us(before) > gap_s * 1_000_000)), 1).otherwise(0)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumn("area_before", area).withColumn("_break", breaks).withColumn("seconds", F.sum("duration_s").over(so_far))
+    marked = marked.withColumn("chain_no", F.sum("_break").over(so_far)).drop("_break")
+    return marked.withColumn("chain_len", F.sum(F.when(lane, 1).otherwise(0)).over(Window.partitionBy(*SESSION, "chain_no")))
 
 
 def chains(rows: DataFrame, gap_s: int = CHAIN_GAP_S, least: int = CHAIN_LEAST) -> DataFrame:
     """Runs of one area: ordinal, len, area, span_s, duration_s, door, place range.
 
-    Lengths count main-lane rows; the duration sums all rows of the range.
+    Lengths count main-lane rows; the duration sums all rows of the range, as a
+    difference of running sums.
     """
-    found = chain_rows(rows, gap_s, least).filter(F.col("chain_len") >= least)
+    found = main_lane(marked_chains(rows, gap_s)).filter(F.col("chain_len") >= least)
+    edged = F.when(F.col("edge").isNotNull(), F.col("place"))
     each = found.groupBy(*SESSION, "chain_no").agg(
         F.count("*").alias("len"), F.first("area").alias("area"), F.min("place").alias("first_place"), F.max("place").alias("last_place"),
         F.min("watched_at").alias("started"), F.max("watched_at").alias("ended"), F.min_by("area_before", "place").alias("door"),
         F.count_distinct("channel_id").alias("channels"), F.count_if(F.col("edge") == "through").alias("held"), F.count("edge").alias("edged"),
+        F.max_by("edge", edged).alias("exit_edge"), (F.max_by("seconds", "place") - F.min_by(F.col("seconds") - F.col("duration_s"), "place")).alias("duration_s"),
     )
-    last_edge = found.filter(F.col("edge").isNotNull()).groupBy(*SESSION, "chain_no").agg(F.max_by("edge", "place").alias("exit_edge"))
-    length = rows.select(*SESSION, "place", "duration_s").join(each.select(*SESSION, "chain_no", "first_place", "last_place"), SESSION)
-    length = length.filter(F.col("place").between(F.col("first_place"), F.col("last_place"))).groupBy(*SESSION, "chain_no").agg(F.sum("duration_s").alias("duration_s"))
     ordinal = F.row_number().over(Window.partitionBy(*SESSION).orderBy("chain_no"))
     span = F.floor((_us("ended") - _us("started")) / 1_000_000).cast("long")
-    return each.join(length, [*SESSION, "chain_no"]).join(last_edge, [*SESSION, "chain_no"], "left").withColumn("span_s", span).withColumn("ordinal", ordinal)
+    return each.withColumn("span_s", span).withColumn("ordinal", ordinal)
 
 
 def dominant(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -128,24 +136,19 @@ def dominant(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFra
     return rows.groupBy(*keys).agg(F.mode(value, deterministic=True).alias(name))
 
 
-def days(rows: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def days(rows: DataFrame, least: int = CHAIN_LEAST) -> DataFrame:
     """A row per viewer and day on which a session began; all its views count there."""
-    found = chains(rows) if found is None else found
     first = F.row_number().over(Window.partitionBy("viewer_id", "channel_id").orderBy("watched_at", "event_id")) == 1
     start = F.min("watched_at").over(Window.partitionBy(*SESSION))
-    inside = chain_rows(rows).filter(F.col("chain_len") >= CHAIN_LEAST).select("event_id", F.lit(True).alias("in_chain"))
-    placed = rows.withColumn("day", F.date_format(start, "yyyy-MM-dd")).withColumn("new_channel", F.col("channel_id").isNotNull() & first).join(inside, "event_id", "left")
-    lane = ~F.col("overlap")
+    placed = marked_chains(rows).withColumn("day", F.date_format(start, "yyyy-MM-dd")).withColumn("new_channel", F.col("channel_id").isNotNull() & first)
+    lane, deep = ~F.col("overlap"), F.col("chain_len") >= least
     count = lambda c: F.count_if(lane & c)
     each = placed.groupBy("viewer_id", "day").agg(
         F.count("*").alias("views"), F.sum("duration_s").alias("duration_s"), F.count_distinct("session_no").alias("sessions"), F.min("session_no").alias("session_from"), F.max("session_no").alias("session_to"),
-        F.mode(F.when(lane, F.col("area")), deterministic=True).alias("area"), F.count_distinct(F.when(lane, F.col("area"))).alias("areas"), count(F.coalesce("in_chain", F.lit(False))).alias("chain_views"), count(is_night("watched_at")).alias("night_views"),
+        F.mode(F.when(lane, F.col("area")), deterministic=True).alias("area"), F.count_distinct(F.when(lane, F.col("area"))).alias("areas"), count(deep).alias("chain_views"), F.coalesce(F.max(F.when(lane & deep, F.col("chain_len"))), F.lit(0)).alias("chain_max"), count(is_night("watched_at")).alias("night_views"),
         count(F.col("edge") == "through").alias("through"), count(F.col("edge").isNotNull()).alias("edged"), F.count_if("new_channel").alias("new_channels"),
     )
-    begun = sessions(rows).select(*SESSION, F.date_format("started", "yyyy-MM-dd").alias("day"))
-    deepest = found.join(begun, SESSION).groupBy("viewer_id", "day").agg(F.max("len").alias("chain_max"))
-    out = each.join(deepest, ["viewer_id", "day"], "left").withColumn("chain_max", F.coalesce("chain_max", F.lit(0)))
-    return out.withColumn("epoch_day", F.unix_date(F.to_date("day")))
+    return each.withColumn("epoch_day", F.unix_date(F.to_date("day")))
 
 
 def peaks(found: DataFrame) -> DataFrame:

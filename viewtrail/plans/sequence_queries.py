@@ -128,7 +128,7 @@ FROM tt JOIN ls USING (viewer_id) LEFT JOIN dp USING (viewer_id) JOIN bd ON bd.v
 def a22_headline(spark, d) -> DataFrame:
     rows = q.timeline(views(spark, d))
     found = q.chains(rows)
-    return q.headline(rows, found, q.days(rows, found))
+    return q.headline(rows, found, q.days(rows))
 
 
 @register("a24_retention", sql(TIMELINE, """, a AS (SELECT viewer_id, area, count(*) AS main, count(*) FILTER (WHERE edge = 'through') AS through, count(*) FILTER (WHERE edge = 'most') AS most, count(*) FILTER (WHERE edge = 'skipped') AS skipped FROM main GROUP BY viewer_id, area)
