@@ -80,3 +80,41 @@ def test_a_crowd_of_near_copies_is_one_component(spark):
     docs = spark.createDataFrame([(d, f"{base}{d:05d}") for d in range(400)], "doc_id long, text string")
     got = m.decisions(docs).collect()
     assert sum(r["kept"] for r in got) == 1
+
+
+def kept_of(rows):
+    return {p for p, keeper in brute(rows).items() if p == keeper}
+
+
+def kept_by(spark, rows):
+    got = m.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {(False, r["doc_id"], r["line_no"]) for r in got if r["kept"]}
+
+
+def test_a_template_of_many_classes_links_every_class(spark, monkeypatch):
+    """Pairs of one template with own tails: links inside a class, none across."""
+    monkeypatch.setattr(m, "BLOCK", 64, raising=False)
+    monkeypatch.setattr(m, "PART", 30_000, raising=False)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base, rows = word(240), []
+    for c in range(200):
+        tail = word(72)
+        rows += [(2 * c, base + tail), (2 * c + 1, base + tail[:-1] + "#")]
+    rng.shuffle(rows)
+    assert len(kept_of(rows)) == 200
+    assert kept_by(spark, rows) == kept_of(rows)
+
+
+def test_a_crowd_of_random_edits_is_linked_like_all_pairs(spark):
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300))
+    rows = []
+    for d in range(250):
+        t = list(base)
+        for _ in range(rng.choice((2, 3, 4))):
+            t[rng.randrange(len(t))] = "#"
+        rows.append((d, "".join(t)))
+    want = kept_of(rows)
+    assert 1 < len(want) < 250
+    assert len(kept_by(spark, rows) ^ want) <= 3

@@ -51,6 +51,12 @@ def drop_folder(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the folder of a table of ``stored`` that nothing reads again."""
+    for folder in {posixpath.dirname(f) for f in df.inputFiles()}:
+        drop_folder(df.sparkSession, folder)
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it) of a shared folder's file."""
     from pyarrow import fs

@@ -12,10 +12,14 @@
    others are verified by the exact Jaccard similarity of their shingles, which
    are told apart by 64-bit hashes.
 4. Bands that the stars left in several components get further stars, each
-   around another of their lines, across those components only. A band of
-   thousands of near copies so costs a few pairs a line and never all pairs; a
-   link is missed only if no centre of any of its bands joins both its lines.
-5. A distributed union-find over the verified links gives components; the first
+   around another of their lines, across those components only. They only save
+   work: a crowd of near copies so costs a few pairs a line.
+5. In the bands that hold several components yet, every pair of lines across
+   components meets: bands are cut into blocks, pairs of blocks are dealt out,
+   and signatures are compared in the join. What agrees is verified part by
+   part; pairs that an earlier part joined drop out, the others are all tested.
+   Two lines that share a band so end in one component or have been compared.
+6. A distributed union-find over the verified links gives components; the first
    line of each (by document, then place) is kept.
 
 Defined cases: null and empty texts have no lines; blank lines are kept and
@@ -32,11 +36,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import forget, stored, table
 from ._components import components
 
 #: Turns of stars around other lines, after the first around both ends of a band.
 ROUNDS = 3
+#: Lines of a band's block; pairs that are verified at once.
+BLOCK, PART = 2048, 1_000_000
 #: Characters of a shingle, least Jaccard similarity.
 SHINGLE, SIMILARITY = 8, 0.8
 #: Minima of a signature, and the steps of a band's three places in it.
@@ -100,20 +106,62 @@ def _agreeing(pairs: DataFrame, signed: DataFrame, count: int, least: int) -> Da
 def _verified(pairs: DataFrame, signed: DataFrame, found: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of line numbers whose exact similarity reaches the bound."""
     likely = stored(_agreeing(pairs, signed, MINIMA, AGREE), "line-likely")
+    out = _exact(likely, signed, found, size, similarity)
+    forget(likely)
+    return out
+
+
+def _exact(likely: DataFrame, signed: DataFrame, found: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The same of pairs whose signatures agree, from a table and as a table."""
     wanted = likely.select(F.col("a").alias("lid")).unionAll(likely.select("b")).distinct().join(signed.select("lid", "h1", "h2"), "lid")
     texts = stored(found.select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("lid").agg(F.first("line").alias("line")), "line-texts")
     units = texts.select("lid", F.encode("line", "UTF-16BE").alias("units"))
     finer = stored(_minima(units, ["lid"], size, MINIMA, FINE_MINIMA), "line-finer")
-    likely = _agreeing(likely, finer, FINE_MINIMA, FINE_AGREE)
-    both = likely.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("_l")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("_r")), "b")
+    near = _agreeing(likely, finer, FINE_MINIMA, FINE_AGREE)
+    both = near.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("_l")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("_r")), "b")
     # Dealt by pair, so that both aggregates below run without another exchange.
-    tasks = 4 * max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)
+    tasks = 4 * max(int(likely.sparkSession.conf.get("spark.sql.shuffle.partitions")), likely.sparkSession.sparkContext.defaultParallelism)
     sides = both.repartition(tasks, "a", "b").select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("_l").alias("line")), F.struct(F.lit(2).alias("side"), F.col("_r").alias("line")))).alias("s"))
     units = sides.select("a", "b", "s.side", F.encode("s.line", "UTF-16BE").alias("units"))
     each = units.select("a", "b", "side", "units", F.expr(f"explode(sequence(0, {_last('units', size)}))").alias("i"))
     shingles = each.select("a", "b", "side", F.expr(_shingle_at("units", "i", size)).alias("s")).groupBy("a", "b", "s").agg(F.bit_or("side").alias("sides"))
     counts = shingles.groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("both"), F.count("*").alias("any"))
-    return counts.filter(F.col("both") >= similarity * F.col("any")).select("a", "b")
+    links = stored(counts.filter(F.col("both") >= similarity * F.col("any")).select("a", "b"), "line-links")
+    for done in (texts, finer):
+        forget(done)
+    return links
+
+
+def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, lid, root) of the lines of bands."""
+    return shared.select("band", "lid").join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+
+
+def _across(shared: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a band and of two components whose signatures agree."""
+    placed = _placed(shared, roots)
+    mixed = placed.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).filter(F.col("_lo") < F.col("_hi"))
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("lid"), blocks).cast("int")
+    minima = [f"m{k}" for k in range(MINIMA)]
+    held = placed.join(mixed.select("band", blocks.alias("_blocks"), "_n"), "band").withColumn("_own", own).join(signed.select("lid", *minima), "lid")
+    held = stored(held.select("band", "lid", "root", "_blocks", "_own", *minima), "line-mixed")
+    # Every pair of blocks is a cell; a line stands in a row and a column of them.
+    left = held.select("band", F.col("_own").alias("_i"), F.explode(F.expr("sequence(_own, _blocks - 1)")).alias("_j"), F.col("lid").alias("_a"), F.col("root").alias("_ra"), *(F.col(c).alias(f"_a{c}") for c in minima))
+    right = held.select("band", F.explode(F.expr("sequence(0, _own)")).alias("_i"), F.col("_own").alias("_j"), F.col("lid").alias("_b"), F.col("root").alias("_rb"), *(F.col(c).alias(f"_b{c}") for c in minima))
+    agree = reduce(lambda x, y: x + y, [F.when(F.col(f"_a{c}") == F.col(f"_b{c}"), 1).otherwise(0) for c in minima])
+    cell = ["band", "_i", "_j"]
+    met = left.alias("l").join(right.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in cell] + [((F.col("l._i") < F.col("l._j")) | (F.col("_a") < F.col("_b"))) & (F.col("_ra") != F.col("_rb")) & (agree >= AGREE)])
+    pairs = stored(met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "line-across")
+    forget(held)
+    return pairs
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose lines are in different components."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left")
+    return pairs.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -126,21 +174,32 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stored(bands.join(ends, "band"), "line-bands")  # only bands of several lines
     pair = F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("lid").alias("b")), F.struct(F.col("lid").alias("a"), F.col("high").alias("b"))))
     stars = shared.select(pair.alias("p")).select("p.a", "p.b").filter(F.col("a") < F.col("b")).distinct()
-    links = stored(_verified(stars, signed, found, size, similarity), "line-links")
+    links = _verified(stars, signed, found, size, similarity)
     roots = stored(components(links, "a", "b"), "line-roots")
     for turn in range(ROUNDS):
         # Bands that hold several components yet: all their lines meet one line, another each turn.
-        placed = shared.select("band", "lid").join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+        placed = _placed(shared, roots)
         drawn = F.min(F.struct(F.xxhash64("lid", "band", F.lit(turn)).alias("by"), F.col("lid").alias("c"), F.col("root").alias("c_root"))).alias("centre")
         centres = placed.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), drawn).filter(F.col("_lo") < F.col("_hi")).select("band", "centre.c", "centre.c_root")
         across = placed.join(centres, "band").filter(F.col("root") != F.col("c_root"))
-        more = stored(_verified(across.select(F.least("lid", "c").alias("a"), F.greatest("lid", "c").alias("b")).distinct(), signed, found, size, similarity), "line-links")
+        more = _verified(across.select(F.least("lid", "c").alias("a"), F.greatest("lid", "c").alias("b")).distinct(), signed, found, size, similarity)
         if more.isEmpty():
             break
         links = links.unionByName(more)
         roots = stored(components(links, "a", "b"), "line-roots")
-    final = roots
-    rows = signed.select("lid", "h1", "h2", "n").join(final.withColumnRenamed("node", "lid"), "lid", "left")
+    left, turn = _across(shared, roots, signed), 0
+    while count := left.count():
+        # Parts are drawn anew each turn, so that every pair's turn comes.
+        chosen = F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.lit(-(-count // PART))) == 0
+        part = stored(left.filter(chosen), "line-part")
+        more = _exact(part, signed, found, size, similarity)
+        links = links.unionByName(more)
+        roots = stored(components(links, "a", "b"), "line-roots") if not more.isEmpty() else roots
+        rest = stored(_apart(left.filter(~chosen), roots), "line-across")
+        for done in (part, left):
+            forget(done)
+        left, turn = rest, turn + 1
+    rows = signed.select("lid", "h1", "h2", "n").join(roots.withColumnRenamed("node", "lid"), "lid", "left")
     return rows.filter((F.col("n") > 1) | F.col("root").isNotNull()).select("h1", "h2", F.coalesce("root", "lid").alias("root"))
 
 
