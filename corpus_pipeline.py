@@ -4,7 +4,7 @@
 2. line_dedup: lines that repeat an earlier line, nearly or exactly, go from
    their texts; the documents stay, though a copy may be left with no text.
 3. near_duplicates: of documents with linked fingerprints the one of the
-   smallest id stays.
+   smallest id stays, whatever ids the documents have.
 4. decontamination: documents that hold a passage of the benchmark go.
 5. encoding: texts are encoded to token ids; decoded bytes equal the texts'.
 
@@ -37,12 +37,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component; rows that repeat its id stay one row."""
+    """One document of each component.
+
+    Rows are told apart by id and text: ids may be null or stand for several
+    texts. Rows of equal id and text are in one component, so one of them stays.
+    """
     ship(spark)
-    found = simhash.near_duplicates(docs)
-    # A null id is no smallest id of a component that has another.
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_vt_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_vt_id")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    own = docs.withColumn("_vt_h1", F.xxhash64("text")).withColumn("_vt_h2", F.xxhash64(F.lit(1), "text"))
+    keep = simhash.representatives(own, ["_vt_h1", "_vt_h2"]).select(F.col("doc_id").alias("_vt_id"), F.col("_vt_h1").alias("_vt_k1"), F.col("_vt_h2").alias("_vt_k2"))
+    same = own["doc_id"].eqNullSafe(F.col("_vt_id")) & (F.col("_vt_h1") == F.col("_vt_k1")) & (F.col("_vt_h2") == F.col("_vt_k2"))
+    return own.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_vt_h1", "_vt_h2"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

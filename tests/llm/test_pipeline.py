@@ -44,6 +44,15 @@ def test_planted_cases(spark):
     assert done[0]["decoded_sha256"] == hashlib.sha256(clean[0].encode()).hexdigest() and done[103]["n_tokens"] == 0
 
 
+def test_near_duplicates_keeps_rows_of_null_and_repeated_ids(spark):
+    rng = random.Random(10)
+    a, b, c, d, e = (text(rng, 120) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c), (5, c), (5, d), (7, e), (7, e), (8, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert len(got) == 5 and set(got) == {(8, a), (None, b), (5, c), (5, d), (7, e)}
+
+
 def test_empty_table_stays_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES[1:]:

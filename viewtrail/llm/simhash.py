@@ -54,15 +54,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(votes * 2 > len(hashes)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp long): the fingerprint's bits as a signed long."""
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_vt_text"))
-    schema = StructType([source.schema["doc_id"]]).add("fp", LongType())
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, also .., fp long): the fingerprint's bits as a signed long."""
+    source = docs.select(docs[id_col].alias("doc_id"), *also, docs[text_col].alias("_vt_text"))
+    names = ["doc_id", *also]
+    schema = StructType([source.schema[c] for c in names]).add("fp", LongType())
 
     def run(batches):
         for batch in batches:
             values = np.array([fingerprint(t.as_py(), width) for t in batch.column("_vt_text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(values)], names=[*names, "fp"])
 
     return source.mapInArrow(run, schema)
 
@@ -220,12 +221,30 @@ def links(fps: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, chunk_r
     return cut.repartition(n, "shard", "h", "q").groupBy("shard", "h", "q").applyInPandas(answer, "x long, y long")
 
 
+def _rooted(prints: DataFrame, radius: int, shard_rows: int, chunk_rows: int) -> DataFrame:
+    """Distinct fingerprints ``fp`` with the root of their component."""
+    roots = components(links(prints.select("fp"), radius, shard_rows, chunk_rows))
+    return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def representatives(docs: DataFrame, keys: list[str], id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, shard_rows: int = SHARD_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """doc_id and keys of one row of each component, whatever ids its rows have.
+
+    It is the row of the smallest id, then of the smallest keys; a null id is
+    last. The keys should tell rows of different texts apart.
+    """
+    prints = stored(fingerprints(docs, id_col, text_col, width, tuple(keys)), "simhash-fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys)
+    least = stored(prints.groupBy("fp").agg(F.min(place).alias("least")), "simhash-distinct")
+    first = _rooted(least, radius, shard_rows, chunk_rows).groupBy("root").agg(F.min("least").alias("least"))
+    return first.select(*(F.col(f"least.{c}").alias(c) for c in ("doc_id", *keys)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, shard_rows: int = SHARD_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id; one row per input row."""
     prints = stored(fingerprints(docs, id_col, text_col, width), "simhash-fingerprints")
     least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(least.select("fp"), radius, shard_rows, chunk_rows))
-    found = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    found = _rooted(least, radius, shard_rows, chunk_rows)
     ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
     # Only fingerprints that several rows or several fingerprints share need a look-up.
     by_print = found.join(ids, "root").select("fp", "component_id")
