@@ -118,3 +118,11 @@ def test_a_crowd_of_random_edits_is_linked_like_all_pairs(spark):
     want = kept_of(rows)
     assert 1 < len(want) < 250
     assert len(kept_by(spark, rows) ^ want) <= 3
+
+
+def test_rows_of_null_and_repeated_ids_lose_only_their_own_lines(spark):
+    copied, own = "a line that document one holds as well", "only this document has these words"
+    rows = [(1, copied), (None, f"{copied}\nthe first text without an id"), (None, f"{own}\nanother text that has no id"), (2, f"{copied}\nold words of the second"), (2, f"quite fresh words of the second\n{copied}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]) for r in m.deduplicated(docs).collect()}
+    assert got == {(1, copied), (None, "the first text without an id"), (None, f"{own}\nanother text that has no id"), (2, "old words of the second"), (2, "quite fresh words of the second")}

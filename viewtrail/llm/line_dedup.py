@@ -25,7 +25,8 @@
 Defined cases: null and empty texts have no lines; blank lines are kept and
 never compared; a line shorter than a shingle is one shingle; repeated lines of
 one document count as copies; rows that repeat a document id with the same text
-are one document; a null id sorts last; an empty table gives an empty result;
+are one document, rows of one id (or of none) with different texts are several;
+a null id sorts last; an empty table gives an empty result;
 other columns aren't read.
 """
 
@@ -65,11 +66,17 @@ def _masks(first: int, count: int) -> list[int]:
     return out[first:]
 
 
+def _text_hashes(text) -> list:
+    """Two hashes that tell documents of one id, or of none, apart."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, line, h1, h2) of the lines that aren't blank."""
-    split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
+    """(doc_id, t1, t2, line_no, line, h1, h2) of the lines that aren't blank."""
+    text = F.col(text_col).cast("string")
+    split = docs.select(F.col(id_col).alias("doc_id"), *_text_hashes(text), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     split = split.withColumn("line", F.trim("line")).filter(F.col("line") != "")
-    return split.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return split.select("doc_id", "t1", "t2", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def _shingle_at(units: str, i: str, size: int) -> str:
@@ -205,19 +212,26 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, line_no, kept, keeper_doc, keeper_line of every line that isn't blank."""
+    return _decided(docs, id_col, text_col, size, similarity).drop("t1", "t2")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
+    """The same beside the hashes t1, t2 of the document's text."""
     roots = stored(line_components(docs, id_col, text_col, size, similarity), "line-classes")
-    where = lines(docs, id_col, text_col).drop("line").join(roots, ["h1", "h2"], "left").select("doc_id", "line_no", "root")
+    where = lines(docs, id_col, text_col).drop("line").join(roots, ["h1", "h2"], "left").select("doc_id", "t1", "t2", "line_no", "root")
     where = stored(where, "line-places")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "line_no")
     keeper = where.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(place).alias("keeper"))
     out = where.join(keeper, "root", "left").withColumn("keeper", F.coalesce("keeper", place))
-    return out.select("doc_id", "line_no", (F.col("keeper") == place).alias("kept"), F.col("keeper.doc_id").alias("keeper_doc"), F.col("keeper.line_no").alias("keeper_line"))
+    return out.select("doc_id", "t1", "t2", "line_no", (F.col("keeper") == place).alias("kept"), F.col("keeper.doc_id").alias("keeper_doc"), F.col("keeper.line_no").alias("keeper_line"))
 
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, texts without their dropped lines, n_chars as they are now."""
-    dropped = decisions(docs, "doc_id", "text", size, similarity).filter(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("_vt_dropped"))
-    joined = docs.join(dropped.withColumnRenamed("doc_id", "_vt_id"), docs["doc_id"].eqNullSafe(F.col("_vt_id")), "left")
+    dropped = _decided(docs, "doc_id", "text", size, similarity).filter(~F.col("kept")).groupBy("doc_id", "t1", "t2").agg(F.collect_set("line_no").alias("_vt_dropped"))
+    dropped = dropped.select(F.col("doc_id").alias("_vt_id"), F.col("t1").alias("_vt_t1"), F.col("t2").alias("_vt_t2"), "_vt_dropped")
+    t1, t2 = _text_hashes(docs["text"].cast("string"))
+    joined = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_vt_id")) & (t1 == F.col("_vt_t1")) & (t2 == F.col("_vt_t2")), "left")
     kept = F.expr("array_join(filter(split(text, '\\n'), (l, i) -> not array_contains(_vt_dropped, i)), '\\n')")
     text = F.when(F.col("_vt_dropped").isNull(), F.col("text")).otherwise(kept)
     out = joined.withColumn("text", text)
