@@ -33,6 +33,7 @@ other columns aren't read.
 from __future__ import annotations
 
 from functools import reduce
+from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,24 +49,40 @@ BLOCK, PART = 2048, 1_000_000
 SHINGLE, SIMILARITY = 8, 0.8
 #: Minima of a signature, and the steps of a band's three places in it.
 MINIMA, BANDS, STEPS = 16, 12, (0, 1, 4)
-#: Places in which the signatures of a pair must agree before it is verified; a
-#: pair at the bound falls short of it seven times in ten thousand.
-AGREE = 8
-#: A second, finer signature of the lines that pass: a pair at the bound falls
-#: short of it twice in ten thousand times.
-FINE_MINIMA, FINE_AGREE = 48, 29
+#: Minima of a second, finer signature of the lines that pass the first.
+FINE_MINIMA = 48
+#: Share of pairs at the bound that either signature may set aside.
+LOST = 0.0005
 
 
-def _masks(first: int, count: int) -> list[int]:
-    """32-bit masks from a linear congruential rule."""
+def least_agreeing(count: int, similarity: float) -> int:
+    """Places of ``count`` in which a pair at the bound agrees but for a share LOST."""
+    below, least = 0.0, 0
+    while (below := below + comb(count, least) * similarity**least * (1 - similarity) ** (count - least)) <= LOST:
+        least += 1
+    return least
+
+
+def _draws(first: int, count: int) -> list[int]:
+    """64-bit numbers from a linear congruential rule."""
     x, out = 0x9E3779B97F4A7C15, []
     for _ in range(first + count):
         x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        top = x >> 32
-        out.append(top - 2**32 if top >= 2**31 else top)
+        out.append(x)
     return out[first:]
 
 
+def _masked(first: int, count: int) -> list[str]:
+    """SQL of minima of s, 32 bits as a long, under masks. Those of a short line
+    depend on each other, which costs bands nothing but a finer count much."""
+    return [f"cast(min(s ^ {x >> 32}L) - 2147483648L as int)" for x in _draws(first, count)]
+
+
+def _multiplied(first: int, count: int) -> list[str]:
+    """The same of the low 32 bits of s times odd 31-bit factors (a long holds it)."""
+    return [f"cast(min(s * {x >> 33 | 1}L & 4294967295L) - 2147483648L as int)" for x in _draws(first, count)]
+
+
 def _text_hashes(text) -> list:
     """Two hashes that tell documents of one id, or of none, apart."""
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
@@ -88,18 +105,17 @@ def _last(units: str, size: int) -> str:
     return f"greatest(cast(length({units}) / 2 as int) - {size}, 0)"
 
 
-def _minima(units: DataFrame, keys: list[str], size: int, first: int, count: int, *more) -> DataFrame:
+def _minima(units: DataFrame, keys: list[str], size: int, minima: list[str], *more) -> DataFrame:
     """Minima m0, m1 .. of each key's shingles, from ``units`` beside the keys."""
     each = units.select(*keys, "units", F.expr(f"explode(sequence(0, {_last('units', size)}))").alias("i"))
-    hashed = each.select(*keys, "i", F.expr(f"cast(shiftright({_shingle_at('units', 'i', size)}, 32) as int)").alias("s"))
-    minima = [F.expr(f"min(s ^ ({m}))").alias(f"m{k}") for k, m in enumerate(_masks(first, count))]
-    return hashed.groupBy(*keys).agg(*more, *minima)
+    hashed = each.select(*keys, "i", F.expr(f"shiftrightunsigned({_shingle_at('units', 'i', size)}, 32)").alias("s"))
+    return hashed.groupBy(*keys).agg(*more, *(F.expr(x).alias(f"m{k}") for k, x in enumerate(minima)))
 
 
 def signatures(found: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(h1, h2, n, m0 .. mK) of each distinct line; n: how often it stands."""
     units = found.select("h1", "h2", F.encode("line", "UTF-16BE").alias("units"))
-    return _minima(units, ["h1", "h2"], size, 0, MINIMA, F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"))
+    return _minima(units, ["h1", "h2"], size, _masked(0, MINIMA), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"))
 
 
 def _agreeing(pairs: DataFrame, signed: DataFrame, count: int, least: int) -> DataFrame:
@@ -112,7 +128,7 @@ def _agreeing(pairs: DataFrame, signed: DataFrame, count: int, least: int) -> Da
 
 def _verified(pairs: DataFrame, signed: DataFrame, found: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of line numbers whose exact similarity reaches the bound."""
-    likely = stored(_agreeing(pairs, signed, MINIMA, AGREE), "line-likely")
+    likely = stored(_agreeing(pairs, signed, MINIMA, least_agreeing(MINIMA, similarity)), "line-likely")
     out = _exact(likely, signed, found, size, similarity)
     forget(likely)
     return out
@@ -123,8 +139,8 @@ def _exact(likely: DataFrame, signed: DataFrame, found: DataFrame, size: int, si
     wanted = likely.select(F.col("a").alias("lid")).unionAll(likely.select("b")).distinct().join(signed.select("lid", "h1", "h2"), "lid")
     texts = stored(found.select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("lid").agg(F.first("line").alias("line")), "line-texts")
     units = texts.select("lid", F.encode("line", "UTF-16BE").alias("units"))
-    finer = stored(_minima(units, ["lid"], size, MINIMA, FINE_MINIMA), "line-finer")
-    near = _agreeing(likely, finer, FINE_MINIMA, FINE_AGREE)
+    finer = stored(_minima(units, ["lid"], size, _multiplied(MINIMA, FINE_MINIMA)), "line-finer")
+    near = _agreeing(likely, finer, FINE_MINIMA, least_agreeing(FINE_MINIMA, similarity))
     both = near.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("_l")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("_r")), "b")
     # Dealt by pair, so that both aggregates below run without another exchange.
     tasks = 4 * max(int(likely.sparkSession.conf.get("spark.sql.shuffle.partitions")), likely.sparkSession.sparkContext.defaultParallelism)
@@ -144,7 +160,7 @@ def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return shared.select("band", "lid").join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
 
 
-def _across(shared: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
+def _across(shared: DataFrame, roots: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of a band and of two components whose signatures agree."""
     placed = _placed(shared, roots)
     mixed = placed.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).filter(F.col("_lo") < F.col("_hi"))
@@ -158,7 +174,7 @@ def _across(shared: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame
     right = held.select("band", F.explode(F.expr("sequence(0, _own)")).alias("_i"), F.col("_own").alias("_j"), F.col("lid").alias("_b"), F.col("root").alias("_rb"), *(F.col(c).alias(f"_b{c}") for c in minima))
     agree = reduce(lambda x, y: x + y, [F.when(F.col(f"_a{c}") == F.col(f"_b{c}"), 1).otherwise(0) for c in minima])
     cell = ["band", "_i", "_j"]
-    met = left.alias("l").join(right.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in cell] + [((F.col("l._i") < F.col("l._j")) | (F.col("_a") < F.col("_b"))) & (F.col("_ra") != F.col("_rb")) & (agree >= AGREE)])
+    met = left.alias("l").join(right.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in cell] + [((F.col("l._i") < F.col("l._j")) | (F.col("_a") < F.col("_b"))) & (F.col("_ra") != F.col("_rb")) & (agree >= least_agreeing(MINIMA, similarity))])
     pairs = stored(met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "line-across")
     forget(held)
     return pairs
@@ -194,7 +210,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         links = links.unionByName(more)
         roots = stored(components(links, "a", "b"), "line-roots")
-    left, turn = _across(shared, roots, signed), 0
+    left, turn = _across(shared, roots, signed, similarity), 0
     while count := left.count():
         # Parts are drawn anew each turn, so that every pair's turn comes.
         chosen = F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.lit(-(-count // PART))) == 0
