@@ -44,7 +44,7 @@ from ._components import components
 #: Turns of stars around other lines, after the first around both ends of a band.
 ROUNDS = 3
 #: Lines of a band's block; pairs that are verified at once.
-BLOCK, PART = 2048, 1_000_000
+BLOCK, PART = 2048, 250_000
 #: Characters of a shingle, least Jaccard similarity.
 SHINGLE, SIMILARITY = 8, 0.8
 #: Minima of a signature, and the steps of a band's three places in it.
@@ -155,6 +155,11 @@ def _exact(likely: DataFrame, signed: DataFrame, found: DataFrame, size: int, si
     return links
 
 
+def _band(k: int, prefix: str = ""):
+    """The key of a line's band k."""
+    return F.xxhash64(*(F.col(f"{prefix}m{(k + s) % MINIMA}") for s in STEPS), F.lit(k))
+
+
 def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """(band, lid, root) of the lines of bands."""
     return shared.select("band", "lid").join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
@@ -173,9 +178,14 @@ def _across(shared: DataFrame, roots: DataFrame, signed: DataFrame, similarity:
     left = held.select("band", F.col("_own").alias("_i"), F.explode(F.expr("sequence(_own, _blocks - 1)")).alias("_j"), F.col("lid").alias("_a"), F.col("root").alias("_ra"), *(F.col(c).alias(f"_a{c}") for c in minima))
     right = held.select("band", F.explode(F.expr("sequence(0, _own)")).alias("_i"), F.col("_own").alias("_j"), F.col("lid").alias("_b"), F.col("root").alias("_rb"), *(F.col(c).alias(f"_b{c}") for c in minima))
     agree = reduce(lambda x, y: x + y, [F.when(F.col(f"_a{c}") == F.col(f"_b{c}"), 1).otherwise(0) for c in minima])
+    # A pair is met in the first of the bands that it shares only.
+    first = F.lit(None).cast("long")
+    for k in reversed(range(BANDS)):
+        same = reduce(lambda x, y: x & y, [F.col(f"_am{(k + s) % MINIMA}") == F.col(f"_bm{(k + s) % MINIMA}") for s in STEPS])
+        first = F.when(same, _band(k, "_a")).otherwise(first)
     cell = ["band", "_i", "_j"]
-    met = left.alias("l").join(right.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in cell] + [((F.col("l._i") < F.col("l._j")) | (F.col("_a") < F.col("_b"))) & (F.col("_ra") != F.col("_rb")) & (agree >= least_agreeing(MINIMA, similarity))])
-    pairs = stored(met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "line-across")
+    met = left.alias("l").join(right.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in cell] + [((F.col("l._i") < F.col("l._j")) | (F.col("_a") < F.col("_b"))) & (F.col("_ra") != F.col("_rb")) & (agree >= least_agreeing(MINIMA, similarity)) & (F.col("l.band") == first)])
+    pairs = stored(met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")), "line-across")
     forget(held)
     return pairs
 
@@ -191,7 +201,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(h1, h2, root) of the lines that stand more than once or have a link."""
     found = lines(docs, id_col, text_col)
     signed = stored(signatures(found, size).withColumn("lid", F.monotonically_increasing_id()), "line-signatures")
-    keys = [F.xxhash64(*(F.col(f"m{(k + s) % MINIMA}") for s in STEPS), F.lit(k)) for k in range(BANDS)]
+    keys = [_band(k) for k in range(BANDS)]
     bands = signed.select("lid", F.explode(F.array(*keys)).alias("band"))
     ends = bands.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).filter(F.col("low") < F.col("high"))
     shared = stored(bands.join(ends, "band"), "line-bands")  # only bands of several lines
