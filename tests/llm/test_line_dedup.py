@@ -94,7 +94,6 @@ def kept_by(spark, rows):
 def test_a_template_of_many_classes_links_every_class(spark, monkeypatch):
     """Pairs of one template with own tails: links inside a class, none across."""
     monkeypatch.setattr(m, "BLOCK", 64, raising=False)
-    monkeypatch.setattr(m, "PART", 30_000, raising=False)
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     base, rows = word(240), []
@@ -138,5 +137,4 @@ def test_signatures_set_few_pairs_of_short_lines_aside(spark):
         rows += [(2 * p, base + "AB"), (2 * p + 1, base + "CD")]
     missed = len(kept_by(spark, rows)) - 4000
     assert 0 <= missed < 48
-    assert m.least_agreeing(16, 0.9) > m.least_agreeing(16, 0.8) > m.least_agreeing(16, 0.6)
     print("missed", missed)

@@ -1,39 +1,42 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 1. Lines are split off, trimmed and named by two independent 64-bit hashes.
-   Their character shingles are exploded, and one aggregate per distinct line
-   takes the minima of the shingles' hashes under K masks: the signature. A
-   line's shingles stand together in one task, so partial sums leave one row.
+   Their character shingles are exploded, a few to a row, and one aggregate per
+   distinct line takes the minima of the shingles' hashes under K multipliers:
+   the signature. A line's shingles stand together in one task, so partial sums
+   leave one row of it.
 2. Banding: each band hashes a few of the minima; lines that share a band are
    candidates. The bands overlap in a cyclic design, so that a pair at the
    similarity bound is missed only if many minima differ at once.
-3. Stars: within a band each line is paired with the band's least and greatest
-   line only. Pairs whose signatures agree in too few places are set aside; the
-   others are verified by the exact Jaccard similarity of their shingles, which
-   are told apart by 64-bit hashes.
-4. Bands that the stars left in several components get further stars, each
-   around another of their lines, across those components only. They only save
-   work: a crowd of near copies so costs a few pairs a line.
+3. Candidates get their text once, from their first place, and a sketch: the
+   number of their shingles and a bitmap in which every shingle flips one bit.
+   Two bitmaps differ in no more bits than the sets in shingles, so the sketch
+   sets pairs aside without losing any. What is left is verified by the exact
+   Jaccard similarity of the shingles, told apart by 64-bit hashes, as part of
+   the join that makes the pairs.
+4. Stars: within a band each line is paired with the band's least and greatest
+   line; bands that hold several components yet get one more star. Stars only
+   save work: a crowd of near copies so costs a few pairs a line.
 5. In the bands that hold several components yet, every pair of lines across
-   components meets: bands are cut into blocks, pairs of blocks are dealt out,
-   and signatures are compared in the join. What agrees is verified part by
-   part; pairs that an earlier part joined drop out, the others are all tested.
-   Two lines that share a band so end in one component or have been compared.
+   components is tested: bands are cut into blocks and pairs of blocks are dealt
+   out; the join returns the links alone. Two lines that share a band so end in
+   one component or have been compared. The number of comparisons grows with the
+   square of the lines of a band that stars leave in several components.
 6. A distributed union-find over the verified links gives components; the first
    line of each (by document, then place) is kept.
 
 Defined cases: null and empty texts have no lines; blank lines are kept and
-never compared; a line shorter than a shingle is one shingle; repeated lines of
-one document count as copies; rows that repeat a document id with the same text
-are one document, rows of one id (or of none) with different texts are several;
-a null id sorts last; an empty table gives an empty result;
-other columns aren't read.
+never compared; a line shorter than a shingle is one shingle; lines of any
+length are taken whole; repeated lines of one document count as copies, of
+which the first by place is kept; rows that repeat a document id with the same
+text are one document, rows of one id (or of none) with different texts are
+several, in the order of their texts' hashes; a null id sorts last; an empty
+table gives an empty result; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,46 +44,27 @@ from pyspark.sql import functions as F
 from ._common import forget, stored, table
 from ._components import components
 
-#: Turns of stars around other lines, after the first around both ends of a band.
-ROUNDS = 3
-#: Lines of a band's block; pairs that are verified at once.
-BLOCK, PART = 2048, 250_000
+#: Turns of one more star in bands that hold several components.
+TURNS = 1
+#: Lines of a band's block.
+BLOCK = 512
 #: Characters of a shingle, least Jaccard similarity.
 SHINGLE, SIMILARITY = 8, 0.8
-#: Minima of a signature, and the steps of a band's three places in it.
-MINIMA, BANDS, STEPS = 16, 12, (0, 1, 4)
-#: Minima of a second, finer signature of the lines that pass the first.
-FINE_MINIMA = 48
-#: Share of pairs at the bound that either signature may set aside.
-LOST = 0.0005
+#: Minima of a signature, a band for each, and the steps of a band's three places.
+MINIMA, STEPS = 13, (0, 1, 3)
+#: Shingles that one row of the signature's aggregate holds.
+STRIDE = 4
+#: 64-bit words of a sketch's bitmap.
+WORDS = 16
 
 
-def least_agreeing(count: int, similarity: float) -> int:
-    """Places of ``count`` in which a pair at the bound agrees but for a share LOST."""
-    below, least = 0.0, 0
-    while (below := below + comb(count, least) * similarity**least * (1 - similarity) ** (count - least)) <= LOST:
-        least += 1
-    return least
-
-
-def _draws(first: int, count: int) -> list[int]:
-    """64-bit numbers from a linear congruential rule."""
+def _factors(count: int) -> list[int]:
+    """Odd 31-bit numbers from a linear congruential rule."""
     x, out = 0x9E3779B97F4A7C15, []
-    for _ in range(first + count):
+    for _ in range(count):
         x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        out.append(x)
-    return out[first:]
-
-
-def _masked(first: int, count: int) -> list[str]:
-    """SQL of minima of s, 32 bits as a long, under masks. Those of a short line
-    depend on each other, which costs bands nothing but a finer count much."""
-    return [f"cast(min(s ^ {x >> 32}L) - 2147483648L as int)" for x in _draws(first, count)]
-
-
-def _multiplied(first: int, count: int) -> list[str]:
-    """The same of the low 32 bits of s times odd 31-bit factors (a long holds it)."""
-    return [f"cast(min(s * {x >> 33 | 1}L & 4294967295L) - 2147483648L as int)" for x in _draws(first, count)]
+        out.append(x >> 33 | 1)
+    return out
 
 
 def _text_hashes(text) -> list:
@@ -105,54 +89,71 @@ def _last(units: str, size: int) -> str:
     return f"greatest(cast(length({units}) / 2 as int) - {size}, 0)"
 
 
-def _minima(units: DataFrame, keys: list[str], size: int, minima: list[str], *more) -> DataFrame:
-    """Minima m0, m1 .. of each key's shingles, from ``units`` beside the keys."""
-    each = units.select(*keys, "units", F.expr(f"explode(sequence(0, {_last('units', size)}))").alias("i"))
-    hashed = each.select(*keys, "i", F.expr(f"shiftrightunsigned({_shingle_at('units', 'i', size)}, 32)").alias("s"))
-    return hashed.groupBy(*keys).agg(*more, *(F.expr(x).alias(f"m{k}") for k, x in enumerate(minima)))
-
-
 def signatures(found: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(h1, h2, n, m0 .. mK) of each distinct line; n: how often it stands."""
-    units = found.select("h1", "h2", F.encode("line", "UTF-16BE").alias("units"))
-    return _minima(units, ["h1", "h2"], size, _masked(0, MINIMA), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"))
-
-
-def _agreeing(pairs: DataFrame, signed: DataFrame, count: int, least: int) -> DataFrame:
-    """The pairs whose signatures agree in so many places."""
-    minima = F.array(*(f"m{k}" for k in range(count)))
-    left, right = (signed.select(F.col("lid").alias(c), minima.alias(f"_{c}")) for c in ("a", "b"))
-    agree = reduce(lambda x, y: x + y, [F.when(F.col("_a")[k] == F.col("_b")[k], 1).otherwise(0) for k in range(count)])
-    return pairs.join(left, "a").join(right, "b").filter(agree >= least).select("a", "b")
-
-
-def _verified(pairs: DataFrame, signed: DataFrame, found: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(h1, h2, n, place, m0 .. mK) of each distinct line.
+
+    n: how often it stands; place: the least hash of its places. A row holds
+    STRIDE shingles; the last one stands for those beyond the end.
+    """
+    place = F.xxhash64("doc_id", "t1", "t2", "line_no")
+    units = found.select("h1", "h2", place.alias("place"), F.encode("line", "UTF-16BE").alias("units"))
+    last = _last("units", size)
+    rows = units.select("h1", "h2", "place", "units", F.expr(last).alias("last"), F.expr(f"explode(sequence(0, {last}, {STRIDE}))").alias("i"))
+    hashed = (F.expr(f"shiftrightunsigned({_shingle_at('units', f'least(i + {j}, last)', size)}, 32)").alias(f"s{j}") for j in range(STRIDE))
+    rows = rows.select("h1", "h2", "place", "i", *hashed)
+    minima = []
+    for k, x in enumerate(_factors(MINIMA)):
+        least = ", ".join(f"s{j} * {x}L & 4294967295L" for j in range(STRIDE))  # a long holds the product
+        minima.append(F.expr(f"cast(min(least({least})) - 2147483648L as int)").alias(f"m{k}"))
+    return rows.groupBy("h1", "h2").agg(F.count_if(F.col("i") == 0).alias("n"), F.min("place").alias("place"), *minima)
+
+
+def _set(units: str, size: int) -> str:
+    """SQL of the hashes of a line's shingles, repeats included."""
+    return f"transform(sequence(0, {_last(units, size)}), i -> {_shingle_at(units, 'i', size)})"
+
+
+def _sketched(wanted: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """(lid, units, size, bits, m0 .. mK) of the wanted lines (lid, h1, h2, place, m0 .. mK)."""
+    place = F.xxhash64("doc_id", "t1", "t2", "line_no")
+    named = found.select("h1", "h2", place.alias("place"), F.encode("line", "UTF-16BE").alias("units"))
+    keys = wanted.select("lid", "h1", "h2", "place")
+    # A place is one row, but for rows of documents that repeat id and text.
+    texts = stored(named.join(keys, ["h1", "h2", "place"]).groupBy("lid").agg(F.first("units").alias("units")), "line-texts")
+    each = texts.select("lid", F.expr(f"explode(array_distinct({_set('units', size)}))").alias("s"))
+    flip = "if(s & {m} = {k}, shiftleft(1L, cast(shiftright(s, 8) & 63 as int)), 0L)"
+    words = [F.expr(f"bit_xor({flip.format(m=WORDS - 1, k=k)})").alias(f"w{k}") for k in range(WORDS)]
+    bits = each.groupBy("lid").agg(F.count("*").cast("int").alias("size"), *words)
+    bits = bits.select("lid", "size", F.array(*(f"w{k}" for k in range(WORDS))).alias("bits"))
+    sketched = stored(texts.join(bits, "lid").join(wanted.drop("h1", "h2", "place"), "lid"), "line-sketches")
+    forget(texts)
+    return sketched
+
+
+def _similar(a: str, b: str, size: int, similarity: float):
+    """Whether two lines' sets, in columns with these prefixes, reach the bound.
+
+    The sizes and the differing bits of the bitmaps bound the similarity from
+    above; only pairs that they allow come to the exact intersection.
+    """
+    total = f"({a}size + {b}size)"
+    fit = f"least({a}size, {b}size) >= {similarity!r}D * greatest({a}size, {b}size) - 1e-9D"
+    differing = " + ".join(f"bit_count({a}bits[{k}] ^ {b}bits[{k}])" for k in range(WORDS))
+    few = f"({differing}) <= {total} * {(1 - similarity) / (1 + similarity)!r}D + 1e-9D"
+    both = f"size(array_intersect({_set(f'{a}units', size)}, {_set(f'{b}units', size)}))"
+    return F.expr(f"{fit} AND {few} AND {both} >= {total} * {similarity / (1 + similarity)!r}D - 1e-9D")
+
+
+def _side(sketched: DataFrame, prefix: str, *columns: str) -> list:
+    return [F.col(c).alias(f"{prefix}{c}") for c in ("units", "size", "bits", *columns)]
+
+
+def _verified(pairs: DataFrame, sketched: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of line numbers whose exact similarity reaches the bound."""
-    likely = stored(_agreeing(pairs, signed, MINIMA, least_agreeing(MINIMA, similarity)), "line-likely")
-    out = _exact(likely, signed, found, size, similarity)
-    forget(likely)
-    return out
-
-
-def _exact(likely: DataFrame, signed: DataFrame, found: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The same of pairs whose signatures agree, from a table and as a table."""
-    wanted = likely.select(F.col("a").alias("lid")).unionAll(likely.select("b")).distinct().join(signed.select("lid", "h1", "h2"), "lid")
-    texts = stored(found.select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("lid").agg(F.first("line").alias("line")), "line-texts")
-    units = texts.select("lid", F.encode("line", "UTF-16BE").alias("units"))
-    finer = stored(_minima(units, ["lid"], size, _multiplied(MINIMA, FINE_MINIMA)), "line-finer")
-    near = _agreeing(likely, finer, FINE_MINIMA, least_agreeing(FINE_MINIMA, similarity))
-    both = near.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("_l")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("_r")), "b")
-    # Dealt by pair, so that both aggregates below run without another exchange.
-    tasks = 4 * max(int(likely.sparkSession.conf.get("spark.sql.shuffle.partitions")), likely.sparkSession.sparkContext.defaultParallelism)
-    sides = both.repartition(tasks, "a", "b").select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("_l").alias("line")), F.struct(F.lit(2).alias("side"), F.col("_r").alias("line")))).alias("s"))
-    units = sides.select("a", "b", "s.side", F.encode("s.line", "UTF-16BE").alias("units"))
-    each = units.select("a", "b", "side", "units", F.expr(f"explode(sequence(0, {_last('units', size)}))").alias("i"))
-    shingles = each.select("a", "b", "side", F.expr(_shingle_at("units", "i", size)).alias("s")).groupBy("a", "b", "s").agg(F.bit_or("side").alias("sides"))
-    counts = shingles.groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("both"), F.count("*").alias("any"))
-    links = stored(counts.filter(F.col("both") >= similarity * F.col("any")).select("a", "b"), "line-links")
-    for done in (texts, finer):
-        forget(done)
-    return links
+    left = sketched.select(F.col("lid").alias("a"), *_side(sketched, "_a"))
+    right = sketched.select(F.col("lid").alias("_b"), *_side(sketched, "_b"))
+    met = pairs.join(left, "a").join(right, (F.col("b") == F.col("_b")) & _similar("_a", "_b", size, similarity))
+    return stored(met.select("a", "b"), "line-links")
 
 
 def _band(k: int, prefix: str = ""):
@@ -165,75 +166,69 @@ def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return shared.select("band", "lid").join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
 
 
-def _across(shared: DataFrame, roots: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of a band and of two components whose signatures agree."""
+def _stars(shared: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each line of a band of several components, and the band's drawn line."""
     placed = _placed(shared, roots)
+    drawn = F.min(F.struct(F.xxhash64("lid", "band", F.lit(turn)).alias("by"), F.col("lid").alias("c"), F.col("root").alias("c_root"))).alias("centre")
+    centres = placed.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), drawn).filter(F.col("_lo") < F.col("_hi")).select("band", "centre.c", "centre.c_root")
+    across = placed.join(centres, "band").filter(F.col("root") != F.col("c_root"))
+    return across.select(F.least("lid", "c").alias("a"), F.greatest("lid", "c").alias("b")).distinct()
+
+
+def _across(shared: DataFrame, roots: DataFrame, sketched: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The links (a, b) between lines of a band that are in two components."""
+    placed = stored(_placed(shared, roots), "line-placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).filter(F.col("_lo") < F.col("_hi"))
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("lid"), blocks).cast("int")
-    minima = [f"m{k}" for k in range(MINIMA)]
-    held = placed.join(mixed.select("band", blocks.alias("_blocks"), "_n"), "band").withColumn("_own", own).join(signed.select("lid", *minima), "lid")
-    held = stored(held.select("band", "lid", "root", "_blocks", "_own", *minima), "line-mixed")
+    held = placed.join(mixed.select("band", blocks.alias("_blocks")), "band").withColumn("_own", F.pmod(F.xxhash64("lid"), F.col("_blocks")).cast("int"))
+    held = stored(held.join(sketched, "lid"), "line-mixed")
     # Every pair of blocks is a cell; a line stands in a row and a column of them.
-    left = held.select("band", F.col("_own").alias("_i"), F.explode(F.expr("sequence(_own, _blocks - 1)")).alias("_j"), F.col("lid").alias("_a"), F.col("root").alias("_ra"), *(F.col(c).alias(f"_a{c}") for c in minima))
-    right = held.select("band", F.explode(F.expr("sequence(0, _own)")).alias("_i"), F.col("_own").alias("_j"), F.col("lid").alias("_b"), F.col("root").alias("_rb"), *(F.col(c).alias(f"_b{c}") for c in minima))
-    agree = reduce(lambda x, y: x + y, [F.when(F.col(f"_a{c}") == F.col(f"_b{c}"), 1).otherwise(0) for c in minima])
+    more = ("lid", "root", *(f"m{k}" for k in range(MINIMA)))
+    left = held.select("band", F.col("_own").alias("_i"), F.explode(F.expr("sequence(_own, _blocks - 1)")).alias("_j"), *_side(held, "_a", *more))
+    right = held.select(F.col("band").alias("_band"), F.explode(F.expr("sequence(0, _own)")).alias("_bi"), F.col("_own").alias("_bj"), *_side(held, "_b", *more))
     # A pair is met in the first of the bands that it shares only.
     first = F.lit(None).cast("long")
-    for k in reversed(range(BANDS)):
+    for k in reversed(range(MINIMA)):
         same = reduce(lambda x, y: x & y, [F.col(f"_am{(k + s) % MINIMA}") == F.col(f"_bm{(k + s) % MINIMA}") for s in STEPS])
         first = F.when(same, _band(k, "_a")).otherwise(first)
-    cell = ["band", "_i", "_j"]
-    met = left.alias("l").join(right.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in cell] + [((F.col("l._i") < F.col("l._j")) | (F.col("_a") < F.col("_b"))) & (F.col("_ra") != F.col("_rb")) & (agree >= least_agreeing(MINIMA, similarity)) & (F.col("l.band") == first)])
-    pairs = stored(met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")), "line-across")
-    forget(held)
-    return pairs
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose lines are in different components."""
-    for c in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left")
-    return pairs.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    cell = (F.col("band") == F.col("_band")) & (F.col("_i") == F.col("_bi")) & (F.col("_j") == F.col("_bj"))
+    once = ((F.col("_i") < F.col("_j")) | (F.col("_alid") < F.col("_blid"))) & (F.col("_aroot") != F.col("_broot"))
+    met = left.join(right, cell & once & (F.col("band") == first) & _similar("_a", "_b", size, similarity))
+    links = stored(met.select(F.least("_alid", "_blid").alias("a"), F.greatest("_alid", "_blid").alias("b")), "line-links")
+    for done in (placed, held):
+        forget(done)
+    return links
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(h1, h2, root) of the lines that stand more than once or have a link."""
     found = lines(docs, id_col, text_col)
     signed = stored(signatures(found, size).withColumn("lid", F.monotonically_increasing_id()), "line-signatures")
-    keys = [_band(k) for k in range(BANDS)]
-    bands = signed.select("lid", F.explode(F.array(*keys)).alias("band"))
-    ends = bands.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).filter(F.col("low") < F.col("high"))
+    bands = signed.select("lid", F.explode(F.array(*(_band(k) for k in range(MINIMA)))).alias("band"))
+    ends = stored(bands.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).filter(F.col("low") < F.col("high")), "line-ends")
     shared = stored(bands.join(ends, "band"), "line-bands")  # only bands of several lines
+    forget(ends)
+    wanted = shared.select("lid").distinct().join(signed.drop("n"), "lid")
+    sketched = _sketched(wanted, found, size)
     pair = F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("lid").alias("b")), F.struct(F.col("lid").alias("a"), F.col("high").alias("b"))))
     stars = shared.select(pair.alias("p")).select("p.a", "p.b").filter(F.col("a") < F.col("b")).distinct()
-    links = _verified(stars, signed, found, size, similarity)
-    roots = stored(components(links, "a", "b"), "line-roots")
-    for turn in range(ROUNDS):
-        # Bands that hold several components yet: all their lines meet one line, another each turn.
-        placed = _placed(shared, roots)
-        drawn = F.min(F.struct(F.xxhash64("lid", "band", F.lit(turn)).alias("by"), F.col("lid").alias("c"), F.col("root").alias("c_root"))).alias("centre")
-        centres = placed.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), drawn).filter(F.col("_lo") < F.col("_hi")).select("band", "centre.c", "centre.c_root")
-        across = placed.join(centres, "band").filter(F.col("root") != F.col("c_root"))
-        more = _verified(across.select(F.least("lid", "c").alias("a"), F.greatest("lid", "c").alias("b")).distinct(), signed, found, size, similarity)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        roots = stored(components(links, "a", "b"), "line-roots")
-    left, turn = _across(shared, roots, signed, similarity), 0
-    while count := left.count():
-        # Parts are drawn anew each turn, so that every pair's turn comes.
-        chosen = F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.lit(-(-count // PART))) == 0
-        part = stored(left.filter(chosen), "line-part")
-        more = _exact(part, signed, found, size, similarity)
-        links = links.unionByName(more)
-        roots = stored(components(links, "a", "b"), "line-roots") if not more.isEmpty() else roots
-        rest = stored(_apart(left.filter(~chosen), roots), "line-across")
-        for done in (part, left):
-            forget(done)
-        left, turn = rest, turn + 1
+    links = [_verified(stars, sketched, size, similarity)]
+    roots = _roots(links)
+    for turn in range(TURNS + 1):
+        more = _verified(_stars(shared, roots, turn), sketched, size, similarity) if turn < TURNS else _across(shared, roots, sketched, size, similarity)
+        links.append(more)
+        old, roots = roots, _roots(links)
+        forget(old)
     rows = signed.select("lid", "h1", "h2", "n").join(roots.withColumnRenamed("node", "lid"), "lid", "left")
-    return rows.filter((F.col("n") > 1) | F.col("root").isNotNull()).select("h1", "h2", F.coalesce("root", "lid").alias("root"))
+    rows = rows.filter((F.col("n") > 1) | F.col("root").isNotNull()).select("h1", "h2", F.coalesce("root", "lid").alias("root"))
+    classes = stored(rows, "line-classes")
+    for done in (signed, shared, sketched, roots, *links):
+        forget(done)
+    return classes
+
+
+def _roots(links: list[DataFrame]) -> DataFrame:
+    return stored(components(reduce(DataFrame.unionByName, links), "a", "b"), "line-roots")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -242,20 +237,25 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
-    """The same beside the hashes t1, t2 of the document's text."""
-    roots = stored(line_components(docs, id_col, text_col, size, similarity), "line-classes")
-    where = lines(docs, id_col, text_col).drop("line").join(roots, ["h1", "h2"], "left").select("doc_id", "t1", "t2", "line_no", "root")
-    where = stored(where, "line-places")
+    """The same beside the hashes t1, t2 of the document's text.
+
+    Both joins have stored tables on their right, so that adaptive execution
+    can split the places of a common line or of a large component.
+    """
+    classes = line_components(docs, id_col, text_col, size, similarity)
+    where = stored(lines(docs, id_col, text_col).drop("line").join(classes, ["h1", "h2"], "left").drop("h1", "h2"), "line-places")
+    forget(classes)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "line_no")
-    keeper = where.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(place).alias("keeper"))
-    out = where.join(keeper, "root", "left").withColumn("keeper", F.coalesce("keeper", place))
+    copied = where.filter(F.col("root").isNotNull())
+    keeper = stored(copied.groupBy("root").agg(F.min(place).alias("keeper")), "line-keepers")
+    out = copied.join(keeper, "root").unionByName(where.filter(F.col("root").isNull()).withColumn("keeper", place))
     return out.select("doc_id", "t1", "t2", "line_no", (F.col("keeper") == place).alias("kept"), F.col("keeper.doc_id").alias("keeper_doc"), F.col("keeper.line_no").alias("keeper_line"))
 
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, texts without their dropped lines, n_chars as they are now."""
     dropped = _decided(docs, "doc_id", "text", size, similarity).filter(~F.col("kept")).groupBy("doc_id", "t1", "t2").agg(F.collect_set("line_no").alias("_vt_dropped"))
-    dropped = dropped.select(F.col("doc_id").alias("_vt_id"), F.col("t1").alias("_vt_t1"), F.col("t2").alias("_vt_t2"), "_vt_dropped")
+    dropped = stored(dropped, "line-dropped").select(F.col("doc_id").alias("_vt_id"), F.col("t1").alias("_vt_t1"), F.col("t2").alias("_vt_t2"), "_vt_dropped")
     t1, t2 = _text_hashes(docs["text"].cast("string"))
     joined = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_vt_id")) & (t1 == F.col("_vt_t1")) & (t2 == F.col("_vt_t2")), "left")
     kept = F.expr("array_join(filter(split(text, '\\n'), (l, i) -> not array_contains(_vt_dropped, i)), '\\n')")
