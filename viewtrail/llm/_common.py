@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import posixpath
 import tempfile
 import uuid
@@ -57,6 +58,16 @@ def forget(df: DataFrame) -> None:
         drop_folder(df.sparkSession, folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over.
+
+    Spark does so once the driver has collected its garbage, which may be long
+    after an operator of many jobs has filled the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it) of a shared folder's file."""
     from pyarrow import fs

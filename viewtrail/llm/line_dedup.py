@@ -9,14 +9,14 @@
    candidates. The bands overlap in a cyclic design, so that a pair at the
    similarity bound is missed only if many minima differ at once.
 3. Candidates get their text once, from their first place, and a sketch: the
-   number of their shingles and a bitmap in which every shingle flips one bit.
+   number of their shingles and a bitmap in which every shingle sets one bit.
    Two bitmaps differ in no more bits than the sets in shingles, so the sketch
    sets pairs aside without losing any. What is left is verified by the exact
    Jaccard similarity of the shingles, told apart by 64-bit hashes, as part of
    the join that makes the pairs.
-4. Stars: within a band each line is paired with the band's least and greatest
-   line; bands that hold several components yet get one more star. Stars only
-   save work: a crowd of near copies so costs a few pairs a line.
+4. Stars: within a band each line is paired with the band's least line; bands
+   that hold several components yet get one more star. Stars only save work: a
+   crowd of near copies so costs a few pairs a line.
 5. In the bands that hold several components yet, every pair of lines across
    components is tested: bands are cut into blocks and pairs of blocks are dealt
    out; the join returns the links alone. Two lines that share a band so end in
@@ -41,7 +41,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import forget, stored, table
+from ._common import forget, release, stored, table
 from ._components import components
 
 #: Turns of one more star in bands that hold several components.
@@ -52,18 +52,22 @@ BLOCK = 512
 SHINGLE, SIMILARITY = 8, 0.8
 #: Minima of a signature, a band for each, and the steps of a band's three places.
 MINIMA, STEPS = 13, (0, 1, 3)
+#: A minimum's hash is the shingle's, shifted by one of these and then masked.
+SHIFTS = (0, 16, 32)
 #: Shingles that one row of the signature's aggregate holds.
-STRIDE = 4
+STRIDE = 6
 #: 64-bit words of a sketch's bitmap.
-WORDS = 16
+WORDS = 32
 
 
-def _factors(count: int) -> list[int]:
-    """Odd 31-bit numbers from a linear congruential rule."""
+def _masks(count: int) -> list[int]:
+    """63-bit masks. Those of one shift begin with other bits each, so that their
+    minima come from other shingles."""
     x, out = 0x9E3779B97F4A7C15, []
-    for _ in range(count):
+    for k in range(count):
         x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        out.append(x >> 33 | 1)
+        turn = k // len(SHIFTS)  # its lowest bits, turned about, are the mask's first
+        out.append((turn & 1) << 62 | (turn >> 1 & 1) << 61 | (turn >> 2 & 1) << 60 | x >> 4)
     return out
 
 
@@ -80,13 +84,14 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return split.select("doc_id", "t1", "t2", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _shingle_at(units: str, i: str, size: int) -> str:
-    """SQL of the hash of a shingle: units is UTF-16BE, two bytes a character."""
-    return f"xxhash64(substring({units}, 2 * {i} + 1, {2 * size}))"
+def _end(units: str, size: int) -> str:
+    """SQL of the last shingle's place; units is UTF-16BE, two bytes a character from place 1."""
+    return f"greatest(length({units}) - {2 * size - 1}, 1)"
 
 
-def _last(units: str, size: int) -> str:
-    return f"greatest(cast(length({units}) / 2 as int) - {size}, 0)"
+def _shingle_at(units: str, place: str, size: int) -> str:
+    """SQL of the hash of the shingle at a place."""
+    return f"xxhash64(substring({units}, {place}, {2 * size}))"
 
 
 def signatures(found: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -97,55 +102,61 @@ def signatures(found: DataFrame, size: int = SHINGLE) -> DataFrame:
     """
     place = F.xxhash64("doc_id", "t1", "t2", "line_no")
     units = found.select("h1", "h2", place.alias("place"), F.encode("line", "UTF-16BE").alias("units"))
-    last = _last("units", size)
-    rows = units.select("h1", "h2", "place", "units", F.expr(last).alias("last"), F.expr(f"explode(sequence(0, {last}, {STRIDE}))").alias("i"))
-    hashed = (F.expr(f"shiftrightunsigned({_shingle_at('units', f'least(i + {j}, last)', size)}, 32)").alias(f"s{j}") for j in range(STRIDE))
-    rows = rows.select("h1", "h2", "place", "i", *hashed)
+    end = _end("units", size)
+    rows = units.select("h1", "h2", "place", "units", F.expr(end).alias("end"), F.expr(f"explode(sequence(1, {end}, {2 * STRIDE}))").alias("i"))
+    rows = rows.select("h1", "h2", "place", "i", *(F.expr(_shingle_at("units", f"least(i + {2 * j}, end)", size)).alias(f"s{j}") for j in range(STRIDE)))
+    shifted = [F.expr(f"shiftleft(s{j}, {by})" if by else f"s{j}").alias(f"s{j}_{by}") for j in range(STRIDE) for by in SHIFTS]
+    rows = rows.select("h1", "h2", "place", "i", *shifted)
     minima = []
-    for k, x in enumerate(_factors(MINIMA)):
-        least = ", ".join(f"s{j} * {x}L & 4294967295L" for j in range(STRIDE))  # a long holds the product
-        minima.append(F.expr(f"cast(min(least({least})) - 2147483648L as int)").alias(f"m{k}"))
-    return rows.groupBy("h1", "h2").agg(F.count_if(F.col("i") == 0).alias("n"), F.min("place").alias("place"), *minima)
+    for k, mask in enumerate(_masks(MINIMA)):
+        each = ", ".join(f"s{j}_{SHIFTS[k % len(SHIFTS)]} ^ {mask}L" for j in range(STRIDE))
+        minima.append(F.expr(f"hash(min(least({each})))").alias(f"m{k}"))
+    return rows.groupBy("h1", "h2").agg(F.count_if(F.col("i") == 1).alias("n"), F.min("place").alias("place"), *minima)
 
 
 def _set(units: str, size: int) -> str:
     """SQL of the hashes of a line's shingles, repeats included."""
-    return f"transform(sequence(0, {_last(units, size)}), i -> {_shingle_at(units, 'i', size)})"
+    return f"transform(sequence(1, {_end(units, size)}, 2), i -> {_shingle_at(units, 'i', size)})"
 
 
 def _sketched(wanted: DataFrame, found: DataFrame, size: int) -> DataFrame:
-    """(lid, units, size, bits, m0 .. mK) of the wanted lines (lid, h1, h2, place, m0 .. mK)."""
+    """(lid, units, count, set_bits, bits, m0 .. mK) of the wanted lines (lid, h1, h2, place, m0 .. mK).
+
+    A line has at most ``count`` different shingles, and at least ``set_bits``.
+    """
     place = F.xxhash64("doc_id", "t1", "t2", "line_no")
     named = found.select("h1", "h2", place.alias("place"), F.encode("line", "UTF-16BE").alias("units"))
     keys = wanted.select("lid", "h1", "h2", "place")
     # A place is one row, but for rows of documents that repeat id and text.
     texts = stored(named.join(keys, ["h1", "h2", "place"]).groupBy("lid").agg(F.first("units").alias("units")), "line-texts")
-    each = texts.select("lid", F.expr(f"explode(array_distinct({_set('units', size)}))").alias("s"))
-    flip = "if(s & {m} = {k}, shiftleft(1L, cast(shiftright(s, 8) & 63 as int)), 0L)"
-    words = [F.expr(f"bit_xor({flip.format(m=WORDS - 1, k=k)})").alias(f"w{k}") for k in range(WORDS)]
-    bits = each.groupBy("lid").agg(F.count("*").cast("int").alias("size"), *words)
-    bits = bits.select("lid", "size", F.array(*(f"w{k}" for k in range(WORDS))).alias("bits"))
+    each = texts.select("lid", "units", F.expr(f"explode(sequence(1, {_end('units', size)}, 2))").alias("i"))
+    each = each.select("lid", F.expr(_shingle_at("units", "i", size)).alias("s")).select("lid", F.expr(f"s & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, cast(shiftright(s, 8) & 63 as int))").alias("bit"))
+    words = [F.expr(f"bit_or(if(word = {k}, bit, 0L))").alias(f"w{k}") for k in range(WORDS)]
+    bits = each.groupBy("lid").agg(F.count("*").cast("int").alias("count"), *words)
+    set_bits = reduce(lambda x, y: x + y, (F.bit_count(f"w{k}") for k in range(WORDS)))
+    bits = bits.select("lid", "count", set_bits.alias("set_bits"), F.array(*(f"w{k}" for k in range(WORDS))).alias("bits"))
     sketched = stored(texts.join(bits, "lid").join(wanted.drop("h1", "h2", "place"), "lid"), "line-sketches")
     forget(texts)
+    release(found.sparkSession)
     return sketched
 
 
 def _similar(a: str, b: str, size: int, similarity: float):
     """Whether two lines' sets, in columns with these prefixes, reach the bound.
 
-    The sizes and the differing bits of the bitmaps bound the similarity from
-    above; only pairs that they allow come to the exact intersection.
+    Numbers of shingles and differing bits bound the similarity from above; only
+    pairs that they allow come to the exact sets.
     """
-    total = f"({a}size + {b}size)"
-    fit = f"least({a}size, {b}size) >= {similarity!r}D * greatest({a}size, {b}size) - 1e-9D"
+    fit = f"{a}set_bits * {similarity!r}D <= {b}count + 1e-9D AND {b}set_bits * {similarity!r}D <= {a}count + 1e-9D"
     differing = " + ".join(f"bit_count({a}bits[{k}] ^ {b}bits[{k}])" for k in range(WORDS))
-    few = f"({differing}) <= {total} * {(1 - similarity) / (1 + similarity)!r}D + 1e-9D"
-    both = f"size(array_intersect({_set(f'{a}units', size)}, {_set(f'{b}units', size)}))"
-    return F.expr(f"{fit} AND {few} AND {both} >= {total} * {similarity / (1 + similarity)!r}D - 1e-9D")
+    few = f"({differing}) <= ({a}count + {b}count) * {(1 - similarity) / (1 + similarity)!r}D + 1e-9D"
+    sets = f"array(named_struct('x', {_set(f'{a}units', size)}, 'y', {_set(f'{b}units', size)}))"
+    exact = f"exists({sets}, p -> size(array_intersect(p.x, p.y)) >= {similarity!r}D * size(array_union(p.x, p.y)) - 1e-9D)"
+    return F.expr(f"{fit} AND {few} AND {exact}")
 
 
 def _side(sketched: DataFrame, prefix: str, *columns: str) -> list:
-    return [F.col(c).alias(f"{prefix}{c}") for c in ("units", "size", "bits", *columns)]
+    return [F.col(c).alias(f"{prefix}{c}") for c in ("units", "count", "set_bits", "bits", *columns)]
 
 
 def _verified(pairs: DataFrame, sketched: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -205,13 +216,13 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = lines(docs, id_col, text_col)
     signed = stored(signatures(found, size).withColumn("lid", F.monotonically_increasing_id()), "line-signatures")
     bands = signed.select("lid", F.explode(F.array(*(_band(k) for k in range(MINIMA)))).alias("band"))
-    ends = stored(bands.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).filter(F.col("low") < F.col("high")), "line-ends")
-    shared = stored(bands.join(ends, "band"), "line-bands")  # only bands of several lines
-    forget(ends)
+    least = stored(bands.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).filter(F.col("low") < F.col("high")).drop("high"), "line-least")
+    shared = stored(bands.join(least, "band"), "line-bands")  # only bands of several lines
+    forget(least)
+    release(docs.sparkSession)
     wanted = shared.select("lid").distinct().join(signed.drop("n"), "lid")
     sketched = _sketched(wanted, found, size)
-    pair = F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("lid").alias("b")), F.struct(F.col("lid").alias("a"), F.col("high").alias("b"))))
-    stars = shared.select(pair.alias("p")).select("p.a", "p.b").filter(F.col("a") < F.col("b")).distinct()
+    stars = shared.filter(F.col("low") < F.col("lid")).select(F.col("low").alias("a"), F.col("lid").alias("b")).distinct()
     links = [_verified(stars, sketched, size, similarity)]
     roots = _roots(links)
     for turn in range(TURNS + 1):
@@ -219,6 +230,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links.append(more)
         old, roots = roots, _roots(links)
         forget(old)
+        release(docs.sparkSession)
     rows = signed.select("lid", "h1", "h2", "n").join(roots.withColumnRenamed("node", "lid"), "lid", "left")
     rows = rows.filter((F.col("n") > 1) | F.col("root").isNotNull()).select("h1", "h2", F.coalesce("root", "lid").alias("root"))
     classes = stored(rows, "line-classes")
@@ -245,6 +257,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
     classes = line_components(docs, id_col, text_col, size, similarity)
     where = stored(lines(docs, id_col, text_col).drop("line").join(classes, ["h1", "h2"], "left").drop("h1", "h2"), "line-places")
     forget(classes)
+    release(docs.sparkSession)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "line_no")
     copied = where.filter(F.col("root").isNotNull())
     keeper = stored(copied.groupBy("root").agg(F.min(place).alias("keeper")), "line-keepers")
