@@ -35,7 +35,7 @@ from ._common import stored, table
 
 #: Bytes of one block of queries, and rows of the two sides of a tile.
 BLOCK_BYTES, TILE_QUERIES, TILE_ROWS = 32 << 20, 256, 4096
-SCHEMA = "query_id long, vec_id long, score long"
+SCHEMA = "query_id long, query_key long, vec_id long, score long"
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -77,17 +77,18 @@ def select(scores: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int) -> tu
     return row[keep], found[keep], value[keep]
 
 
-def _shard_lists(block: list[tuple[int, np.ndarray, np.ndarray]], k: int):
+def _shard_lists(block: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], k: int):
     """mapInPandas function: a shard's k best for each query of the block.
 
-    block: (length, ids, vectors) for each length of vector.
+    block: (length, ids, keys, vectors) for each length of vector; a key tells
+    queries of one id apart.
     """
 
     def run(batches):
         best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for pdf in batches:
             lengths = pdf["vec"].map(len).to_numpy()
-            for n, q_ids, q in block:
+            for n, q_ids, _, q in block:
                 mine = pdf[lengths == n]
                 for a in range(0, len(mine), TILE_ROWS):
                     part = mine.iloc[a : a + TILE_ROWS]
@@ -104,11 +105,11 @@ def _shard_lists(block: list[tuple[int, np.ndarray, np.ndarray]], k: int):
                             row, found, value = row[keep], found[keep], value[keep]
                         best[n, b] = row, found, value
         shard = TaskContext.get().partitionId()
-        for n, q_ids, _ in block:
+        for n, q_ids, q_keys, _ in block:
             for b in range(0, len(q_ids), TILE_QUERIES):
                 if (n, b) in best:
                     row, found, value = best[n, b]
-                    yield pd.DataFrame({"query_id": q_ids[b + row], "vec_id": found, "score": value, "shard": shard})
+                    yield pd.DataFrame({"query_id": q_ids[b + row], "query_key": q_keys[b + row], "vec_id": found, "score": value, "shard": shard})
 
     return run
 
@@ -121,19 +122,19 @@ def _k_best(df: DataFrame, keys: list[str], k: int) -> DataFrame:
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score of every query's k best candidates."""
     spark = queries.sparkSession
-    q = stored(quantised(queries, id_col, vector_col, scale).dropDuplicates().withColumn("_vt_n", F.size("vec")), "topk-queries")
+    q = stored(quantised(queries, id_col, vector_col, scale).dropDuplicates().withColumn("_vt_n", F.size("vec")).withColumn("_vt_key", F.xxhash64("vec")), "topk-queries")
     size = q.agg(F.count("*"), F.sum(F.col("_vt_n") + 4) * 8).first()
     blocks = max(1, math.ceil((size[1] or 0) / block_bytes))
-    q = q.withColumn("_vt_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    q = q.withColumn("_vt_block", F.pmod(F.xxhash64("vec_id", "_vt_key"), F.lit(blocks)))
     rows = quantised(candidates, id_col, vector_col, scale)
     lists = None
     for b in range(blocks if size[0] else 0):
         pdf = q.filter(F.col("_vt_block") == b).drop("_vt_block").toPandas()
-        block = [(int(n), g["vec_id"].to_numpy(np.int64), np.stack(g["vec"].to_list()).astype(np.int64)) for n, g in pdf.groupby("_vt_n")]
+        block = [(int(n), g["vec_id"].to_numpy(np.int64), g["_vt_key"].to_numpy(np.int64), np.stack(g["vec"].to_list()).astype(np.int64)) for n, g in pdf.groupby("_vt_n")]
         shards = rows.mapInPandas(_shard_lists(block, k), f"{SCHEMA}, shard int")
         fan = max(2, math.isqrt(max(1, candidates.rdd.getNumPartitions())))
-        groups = _k_best(shards.withColumn("_vt_group", F.pmod(F.col("shard"), F.lit(fan))), ["query_id", "_vt_group"], k)
-        part = _k_best(groups.drop("rank"), ["query_id"], k).select("query_id", "rank", "vec_id", "score")
+        groups = _k_best(shards.withColumn("_vt_group", F.pmod(F.col("shard"), F.lit(fan))), ["query_id", "query_key", "_vt_group"], k)
+        part = _k_best(groups.drop("rank"), ["query_id", "query_key"], k).select("query_id", "rank", "vec_id", "score")
         part = stored(part, "topk-block") if blocks > 1 else part  # a lost job repeats one block only
         lists = part if lists is None else lists.unionByName(part)
     if lists is None:
