@@ -46,8 +46,8 @@ from ._components import components
 
 #: Turns of one more star in bands that hold several components.
 TURNS = 1
-#: Lines of a band's block.
-BLOCK = 512
+#: Lines of a band's block; parts of the mixed bands, one after another, so that one part's rows are on disk.
+BLOCK, PARTS = 512, 4
 #: Characters of a shingle, least Jaccard similarity.
 SHINGLE, SIMILARITY = 8, 0.8
 #: Minima of a signature, a band for each, and the steps of a band's three places.
@@ -125,10 +125,10 @@ def _sketched(wanted: DataFrame, found: DataFrame, size: int) -> DataFrame:
     A line has at most ``count`` different shingles, and at least ``set_bits``.
     """
     place = F.xxhash64("doc_id", "t1", "t2", "line_no")
-    named = found.select("h1", "h2", place.alias("place"), F.encode("line", "UTF-16BE").alias("units"))
-    keys = wanted.select("lid", "h1", "h2", "place")
+    named, keys = found.select("h1", "h2", place.alias("place"), "line"), wanted.select("lid", "h1", "h2", "place")
     # A place is one row, but for rows of documents that repeat id and text.
-    texts = stored(named.join(keys, ["h1", "h2", "place"]).groupBy("lid").agg(F.first("units").alias("units")), "line-texts")
+    texts = named.join(keys, ["h1", "h2", "place"]).groupBy("lid").agg(F.first("line").alias("line"))
+    texts = stored(texts.select("lid", F.encode("line", "UTF-16BE").alias("units")), "line-texts")
     each = texts.select("lid", "units", F.expr(f"explode(sequence(1, {_end('units', size)}, 2))").alias("i"))
     each = each.select("lid", F.expr(_shingle_at("units", "i", size)).alias("s")).select("lid", F.expr(f"s & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, cast(shiftright(s, 8) & 63 as int))").alias("bit"))
     words = [F.expr(f"bit_or(if(word = {k}, bit, 0L))").alias(f"w{k}") for k in range(WORDS)]
@@ -186,12 +186,24 @@ def _stars(shared: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     return across.select(F.least("lid", "c").alias("a"), F.greatest("lid", "c").alias("b")).distinct()
 
 
-def _across(shared: DataFrame, roots: DataFrame, sketched: DataFrame, size: int, similarity: float) -> DataFrame:
+def _across(shared: DataFrame, roots: DataFrame, sketched: DataFrame, size: int, similarity: float) -> list[DataFrame]:
     """The links (a, b) between lines of a band that are in two components."""
     placed = stored(_placed(shared, roots), "line-placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).filter(F.col("_lo") < F.col("_hi"))
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    held = placed.join(mixed.select("band", blocks.alias("_blocks")), "band").withColumn("_own", F.pmod(F.xxhash64("lid"), F.col("_blocks")).cast("int"))
+    blocks = stored(mixed.select("band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "line-blocks")
+    links = []
+    for part in range(PARTS):
+        mine = F.pmod("band", F.lit(PARTS)) == part
+        links.append(_met(placed.filter(mine).join(blocks.filter(mine), "band"), sketched, size, similarity))
+        release(shared.sparkSession)
+    for done in (placed, blocks):
+        forget(done)
+    return links
+
+
+def _met(placed: DataFrame, sketched: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The same of some bands (band, lid, root, _blocks)."""
+    held = placed.withColumn("_own", F.pmod(F.xxhash64("lid"), F.col("_blocks")).cast("int"))
     held = stored(held.join(sketched, "lid"), "line-mixed")
     # Every pair of blocks is a cell; a line stands in a row and a column of them.
     more = ("lid", "root", *(f"m{k}" for k in range(MINIMA)))
@@ -206,8 +218,7 @@ def _across(shared: DataFrame, roots: DataFrame, sketched: DataFrame, size: int,
     once = ((F.col("_i") < F.col("_j")) | (F.col("_alid") < F.col("_blid"))) & (F.col("_aroot") != F.col("_broot"))
     met = left.join(right, cell & once & (F.col("band") == first) & _similar("_a", "_b", size, similarity))
     links = stored(met.select(F.least("_alid", "_blid").alias("a"), F.greatest("_alid", "_blid").alias("b")), "line-links")
-    for done in (placed, held):
-        forget(done)
+    forget(held)
     return links
 
 
@@ -226,8 +237,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = [_verified(stars, sketched, size, similarity)]
     roots = _roots(links)
     for turn in range(TURNS + 1):
-        more = _verified(_stars(shared, roots, turn), sketched, size, similarity) if turn < TURNS else _across(shared, roots, sketched, size, similarity)
-        links.append(more)
+        links += [_verified(_stars(shared, roots, turn), sketched, size, similarity)] if turn < TURNS else _across(shared, roots, sketched, size, similarity)
         old, roots = roots, _roots(links)
         forget(old)
         release(docs.sparkSession)
