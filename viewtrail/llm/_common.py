@@ -93,22 +93,35 @@ def write_file(uri: str, write) -> None:
     fs.move(own, path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def held_out(id_column: str, folds: int, fold: int):
     """crc32(id as text) mod folds = fold; rows without an id are held out."""
     crc = F.crc32(F.col(id_column).cast("string").cast("binary"))
     return F.coalesce(crc % folds == fold, F.lit(True))
 
 
+#: Characters of a text that a model is fitted on at most: longer ones are left out of the fit, not of the scores.
+TRAIN_CHARS = 1_000_000
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, bound: int) -> DataFrame:
     """(doc_id, text, label) of labelled documents outside the held-out fold.
 
-    At most about ``bound`` documents, chosen by a hash of their id: a model is
-    fitted on a bounded sample. Rows without an id, a text or a label are left
-    out; repeated rows count as often as they stand there.
+    At most about ``bound`` rows, chosen by a hash of the id, then of id and text:
+    a model is fitted on a bounded sample. Rows without an id, a text or a label
+    are left out, and texts of over TRAIN_CHARS characters; repeated rows count
+    once.
     """
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out("doc_id", folds, fold)).select("doc_id", F.col(label_col).cast("int").alias("label"))
-    count = known.count()
-    if count > bound:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(bound / count * 1_000_003))
+    share = lambda rows, count, *key: rows.filter(F.pmod(F.xxhash64(*key), F.lit(1_000_003)) < int(bound / count * 1_000_003)) if count > bound else rows
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out("doc_id", folds, fold)).select("doc_id", F.col(label_col).cast("int").alias("label")).distinct()
+    known = share(known, known.count(), "doc_id")
     # About ``bound`` rows of 12 bytes: a proven bound for the broadcast.
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS)).join(F.broadcast(known), "doc_id").distinct()
+    return share(rows, rows.count(), "doc_id", "text")

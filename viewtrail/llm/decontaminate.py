@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from ._common import table
+from ._common import free_name, table
 
 #: Bytes of a q-gram, of a piece and from piece to piece; edits per byte.
 Q, PIECE, STEP, EDITS = 8, 96, 48, 0.08
@@ -220,14 +220,15 @@ class Searcher:
                         out[n][item] = min(found, out[n].get(item, found))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs with ``leaked`` added: an array of (item_id, edits), by item."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("item_text")).filter(F.col("item_text").isNotNull())
+def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, leaked_col: str = "leaked") -> DataFrame:
+    """The rows of docs with an array of (item_id, edits), by item, added; an own column of its name gives way."""
+    docs = docs.drop(leaked_col)
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("item_text")).filter(F.col("item_text").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     entry = StructType([items.schema["item_id"]]).add("edits", "integer")
-    schema = StructType([*docs.schema.fields]).add("leaked", ArrayType(entry))
-    at, out = docs.columns.index(text_col), docs.withColumn("leaked", F.array().cast(ArrayType(entry)))
+    schema = StructType([*docs.schema.fields]).add(leaked_col, ArrayType(entry))
+    at, out = docs.columns.index(text_col), docs.withColumn(leaked_col, F.array().cast(ArrayType(entry)))
 
     def search(block):
         def run(batches):
@@ -241,7 +242,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         return run
 
     for b in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item_text"), F.lit(blocks)) == b) if blocks > 1 else items
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == b) if blocks > 1 else items
         block = sorted(((r[0], r[1]) for r in mine.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))  # bounded by block_bytes
         out = out.mapInArrow(search(block), schema)
     return out
@@ -249,7 +250,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs without a leaked item."""
-    return leaks(docs, benchmark, **options).filter(F.size("leaked") == 0).drop("leaked")
+    own = free_name(docs, "leaked")
+    return leaks(docs, benchmark, leaked_col=own, **options).filter(F.size(own) == 0).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

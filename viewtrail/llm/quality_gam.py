@@ -186,15 +186,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
     return fit(pdf[names].to_numpy(np.float64), pdf["label"].to_numpy(np.float64))
 
 
-def classify(docs: DataFrame, model: Gam, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs with ``quality_score`` and ``quality_kept`` added."""
-    schema = StructType([*docs.schema.fields]).add("quality_score", DoubleType()).add("quality_kept", "boolean")
+def classify(docs: DataFrame, model: Gam, threshold: float = 0.5, score_col: str = "quality_score", kept_col: str = "quality_kept") -> DataFrame:
+    """The rows of docs with a score and whether it is kept; own columns of these names give way."""
+    docs = docs.drop(score_col, kept_col)
+    schema = StructType([*docs.schema.fields]).add(score_col, DoubleType()).add(kept_col, "boolean")
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             s = model.score(_matrix(batch.column(at).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(s >= threshold)], schema=pa.schema([*batch.schema, ("quality_score", pa.float64()), ("quality_kept", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(s >= threshold)], schema=pa.schema([*batch.schema, (score_col, pa.float64()), (kept_col, pa.bool_())]))
 
     return docs.mapInArrow(run, schema)
 

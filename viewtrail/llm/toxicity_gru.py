@@ -293,16 +293,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
     return fit(rows["text"].tolist(), rows["label"].to_numpy(np.float32))
 
 
-def classify(docs: DataFrame, net: Net) -> DataFrame:
-    """The rows of docs with ``toxicity`` added."""
-    schema = StructType([*docs.schema.fields]).add("toxicity", DoubleType())
+def classify(docs: DataFrame, net: Net, score_col: str = "toxicity") -> DataFrame:
+    """The rows of docs with a score added; an own column of its name gives way."""
+    docs = docs.drop(score_col)
+    schema = StructType([*docs.schema.fields]).add(score_col, DoubleType())
     at = docs.columns.index("text")
 
     def run(batches):
         scorer = Scorer(net)
         for batch in batches:
             s = scorer.texts(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], schema=pa.schema([*batch.schema, ("toxicity", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], schema=pa.schema([*batch.schema, (score_col, pa.float64())]))
 
     return docs.mapInArrow(run, schema)
 
