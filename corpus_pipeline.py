@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewtrail.llm import byte_bpe, decontaminate, line_dedup, quality_gam, simhash
-from viewtrail.llm._common import stored, table
+from viewtrail.llm._common import free_name, stored, table
 from viewtrail.plans.shipping import ship
 
 #: No stage but the first could be stated in SQL; tests hold them to brute force.
@@ -29,7 +29,8 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
-    return quality_gam.classify(docs, model).filter("quality_kept").select(*docs.columns)
+    score, kept = free_name(docs, "quality_score"), free_name(docs, "quality_kept")
+    return quality_gam.classify(docs, model, score_col=score, kept_col=kept).filter(kept).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
