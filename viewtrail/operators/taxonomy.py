@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import UNCLEAR, area_of, sub_of
+from . import clusters as k
 
-FINE, COARSE, LEAST_VIDEOS, LEAST_TOP_VIDEOS, MOST_RADIUS = 0.70, 0.85, 3, 25, 0.50
-MOST_LABELS = 20_000
+LEAST_VIDEOS, MOST_LABELS = 3, 20_000
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -36,29 +38,76 @@ def normalised(v: Column) -> Column:
 
 
 def mean_vector(df: DataFrame, vec: str, keys: list[str] = [], weight: Column | None = None) -> DataFrame:  # noqa: B006
-    """The weighted mean of each group, one row of arrays a group."""
+    """The weighted mean of each group, one row of arrays a group; a group's vectors are of one length.
+
+    Sums of whole vectors are kept in one buffer a group, and partial ones are
+    shuffled: no element becomes a row of its own.
+    """
     w = F.lit(1.0) if weight is None else F.greatest(weight.cast("double"), F.lit(1.0))
-    each = df.select(*keys, w.alias("_w"), F.posexplode(F.col(vec).cast("array<double>")).alias("_i", "_x")).groupBy(*keys, "_i").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_m"))
-    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("mean"))
+    each = df.select(*keys, w.alias("_w"), array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    return each.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("_v"), F.col("_w"))).alias("mean"))
 
 
 def centred(df: DataFrame, vec: str) -> DataFrame:
-    """Vectors less their mean, of unit length; of unequal lengths unchanged."""
-    ragged = df.agg(F.count_distinct(F.size(vec)).alias("_k"))
-    mean = F.broadcast(mean_vector(df, vec).crossJoin(ragged))  # one row
-    moved = normalised(F.zip_with(F.col(vec).cast("array<double>"), F.col("mean"), lambda x, m: x - m))
-    return df.join(mean, how="left").withColumn(vec, F.when(F.coalesce(F.col("_k"), F.lit(0)) > 1, F.col(vec).cast("array<double>")).otherwise(moved)).drop("mean", "_k")
+    """Vectors less their mean, of unit length; of unequal lengths, or none, unchanged."""
+    least, most = df.agg(F.min(F.size(vec)), F.max(F.size(vec))).first()
+    own = F.col(vec).cast("array<double>")
+    if least is None or least != most:
+        return df.withColumn(vec, own)
+    mean = df.sparkSession.createDataFrame([mean_vector(df, vec).first()], "_mean array<double>")  # one row
+    moved = normalised(F.zip_with(own, F.col("_mean"), lambda x, m: x - m))
+    return df.crossJoin(F.broadcast(mean)).withColumn(vec, moved).drop("_mean")
 
 
 def centroids(df: DataFrame, vec: str, keys: list[str], weight: Column | None = None) -> DataFrame:
     return mean_vector(df, vec, keys, weight).withColumn("mean", normalised(F.col("mean"))).withColumnRenamed("mean", "centroid")
 
 
+def few(df: DataFrame, most: int = MOST_LABELS) -> DataFrame:
+    """The same rows, held by the driver once their number is known to be bounded."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} labels")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def nearest(df: DataFrame, vec: str, centres: DataFrame, label: str) -> DataFrame:
+    """Adds ``nearest``, the label of the closest centroid: chosen in each row, without a shuffle.
+
+    centres: a table of ``few``, label and centroid. The greater label wins ties
+    of nine places.
+    """
+    listed = F.broadcast(centres.agg(F.collect_list(F.struct(label, "centroid")).alias("_all")))  # one row of at most MOST_LABELS
+    best = F.array_max(F.transform("_all", lambda c: F.struct(F.round(cosine(F.col(vec), c["centroid"]), 9).alias("s"), c[label].alias("l"))))
+    return df.crossJoin(listed).withColumn("nearest", best["l"]).drop("_all")
+
+
 def labels(views: DataFrame) -> DataFrame:
-    """area, sub: views, distinct videos, channels by views, tags aside, two titles."""
-    v = views.select(area_of("topic").alias("area"), F.nullif(sub_of("topic"), F.lit("")).alias("sub"), "video_id", "title", "channel").filter((F.col("area") != "") & (F.col("area") != UNCLEAR))
-    video = F.coalesce(F.nullif("video_id", F.lit("")), F.concat(F.lit("t:"), "title"))
-    return v.groupBy("area", "sub").agg(F.count("*").alias("views"), F.count_distinct(video).alias("videos"), F.count_distinct("channel").alias("channels"))
+    """area, sub: views, distinct videos and channels; a title stands in for a missing id."""
+    v = _named(views)
+    return v.groupBy("area", "sub").agg(F.count("*").alias("views"), F.count_distinct(_video()).alias("videos"), F.count_distinct("channel").alias("channels"))
+
+
+def _named(views: DataFrame) -> DataFrame:
+    keep = [c for c in ("video_id", "title", "channel", "tags") if c in views.columns]
+    v = views.select(area_of("topic").alias("area"), F.nullif(sub_of("topic"), F.lit("")).alias("sub"), *keep)
+    return v.filter((F.col("area") != "") & (F.col("area") != UNCLEAR))
+
+
+def _video():
+    return F.coalesce(F.nullif("video_id", F.lit("")), F.concat(F.lit("t:"), F.coalesce("title", F.lit(""))))
+
+
+def label_facts(views: DataFrame, channels: int = 3, tags: int = 8, titles: int = 2) -> DataFrame:
+    """kind, area, sub, name, n, rank: a label's first channels and titles by views and tags by videos."""
+    v = _named(views)
+    by = lambda name, kind: v.filter(F.coalesce(name, F.lit("")) != "").groupBy("area", "sub", F.col(name).alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    each = v.groupBy("area", "sub", _video().alias("v")).agg(F.first("tags", ignorenulls=True).alias("tags"))
+    tagged = each.select("area", "sub", F.explode("tags").alias("name")).groupBy("area", "sub", "name").agg(F.count("*").alias("n")).withColumn("kind", F.lit("tag"))
+    every = by("channel", "channel").unionByName(tagged).unionByName(by("title", "title"))
+    most = F.when(F.col("kind") == "channel", channels).when(F.col("kind") == "tag", tags).otherwise(titles)
+    w = Window.partitionBy("kind", "area", "sub").orderBy(F.col("n").desc(), "name")
+    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
 def top_channels(views: DataFrame, k: int = 3) -> DataFrame:
@@ -66,137 +115,56 @@ def top_channels(views: DataFrame, k: int = 3) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.col("n").desc(), "channel"))).filter(F.col("rank") <= k)
 
 
+def embedded(views: DataFrame) -> DataFrame:
+    """area, sub, text: what is embedded for each label."""
+    facts = label_facts(views).groupBy("area", "sub", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("names"))
+    wide = facts.groupBy("area", "sub").pivot("kind", ["channel", "tag", "title"]).agg(F.first("names"))
+    return wide.select("area", "sub", embed_text(F.col("area"), F.col("sub"), F.col("channel"), F.col("tag"), F.col("title")).alias("text"))
+
+
 def embed_text(area: Column, sub: Column, channels: Column, tags: Column, titles: Column) -> Column:
-    """The text that stands for a label: its words, then channels, tags and titles."""
-    few = lambda a, n: F.array_join(F.slice(a, 1, n), ", ")
-    return F.concat_ws(" | ", F.regexp_replace(F.concat_ws(" ", area, sub), "-", " "), few(channels, 3), few(tags, 8), few(titles, 2))
+    """The text that stands for a label: its words, then what it has of channels, tags and titles, a line each."""
+    few = lambda head, a, n, by: F.when(F.size(F.coalesce(a, F.array().cast("array<string>"))) > 0, F.concat(F.lit(head), F.array_join(F.slice(a, 1, n), by)))
+    words = F.regexp_replace(F.concat_ws(" ", area, sub), "[-/]", " ")
+    return F.concat_ws("\n", words, few("channels: ", channels, 3, ", "), few("tags: ", tags, 8, ", "), few("titles: ", titles, 2, " | "))
 
 
 # --- one group of labels ------------------------------------------------
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(v, axis=-1, keepdims=True)
-    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+def _labels(pdf: pd.DataFrame) -> k.Labels:
+    if len(pdf) > MOST_LABELS:
+        raise ValueError(f"{len(pdf)} labels; a taxonomy has at most {MOST_LABELS}")
+    pdf = pdf.sort_values(["views", "area", "sub"], ascending=[False, True, True], na_position="first")
+    subs = [s if isinstance(s, str) and s else None for s in pdf["sub"]]
+    vectors = np.stack(pdf["vec"].to_list()).astype(np.float64)
+    channels = [list(x) if x is not None else [] for x in pdf["channel_names"]] if "channel_names" in pdf else None
+    return k.Labels(pdf["area"].to_list(), subs, pdf["views"].to_numpy(np.int64), pdf["videos"].to_numpy(np.int64), vectors, channels)
 
 
-def agglomerate(vectors: np.ndarray, weights: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster number of each vector, by centroid linkage.
+CLUSTERS = "area string, sub string, cluster long, parent_name string, cluster_name string, radius double, round_no int"
 
-    The closest pair of clusters merges, the lowest pair of places on ties, as
-    long as its cosine distance isn't above the threshold.
-    """
-    n = len(vectors)
-    weights = np.maximum(weights.astype(np.float64), 1.0)
-    sums, alive, root = _unit(vectors.astype(np.float64)) * weights[:, None], np.ones(n, bool), np.arange(n)
-    unit = _unit(sums)
-    d = 1.0 - unit @ unit.T
-    d[np.tril_indices(n)] = np.inf  # row < column
-    best = d.argmin(axis=1) if n else np.zeros(0, int)
-    least = d[np.arange(n), best] if n else np.zeros(0)
-    while n:
-        i = int(least.argmin())
-        if not least[i] <= threshold:
-            break
-        j = int(best[i])
-        sums[i] += sums[j]
-        alive[j] = False
-        root[root == j] = i
-        d[j, :], d[:, j], least[j] = np.inf, np.inf, np.inf
-        unit[i] = _unit(sums[i])
-        new = np.where(alive, 1.0 - unit @ unit[i], np.inf)
-        d[i, i + 1 :], d[:i, i] = new[i + 1 :], np.where(alive[:i], new[:i], np.inf)
-        stale = np.flatnonzero(alive & ((best == i) | (best == j) | (np.arange(n) == i)))
-        best[stale] = d[stale].argmin(axis=1)
-        least[stale] = d[stale, best[stale]]
-        closer = np.flatnonzero(alive[:i] & ((d[:i, i] < least[:i]) | ((d[:i, i] == least[:i]) & (i < best[:i]))))
-        best[closer], least[closer] = i, d[closer, i]
-    return np.unique(root, return_inverse=True)[1] if n else root
-
-
-def cluster_centroid(vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return _unit((_unit(vectors.astype(np.float64)) * np.maximum(weights, 1)[:, None]).sum(axis=0))
-
-
-def fold_small(numbers: np.ndarray, vectors: np.ndarray, weights: np.ndarray, videos: np.ndarray, least: int, kept: set[int] = frozenset()) -> np.ndarray:
-    """Small clusters go to the nearest big one, one after another; none big: none go."""
-    out = numbers.copy()
-    size = {c: int(videos[out == c].sum()) for c in np.unique(out).tolist()}
-    big = [c for c in size if size[c] >= least or c in kept]
-    small = sorted((c for c in size if c not in big), key=lambda c: (size[c], c))
-    if not big:
-        return out
-    for c in small:
-        own = cluster_centroid(vectors[out == c], weights[out == c])
-        near = [float(own @ cluster_centroid(vectors[out == b], weights[out == b])) for b in big]
-        out[out == c] = big[int(np.argmax(near))]
-    return np.unique(out, return_inverse=True)[1]
-
-
-def split_wide(numbers: np.ndarray, vectors: np.ndarray, weights: np.ndarray, radius: float, threshold: float) -> np.ndarray:
-    """Clusters whose weighted radius is too great are clustered anew, more finely."""
-    out, following = numbers.copy(), int(numbers.max(initial=-1)) + 1
-    for c in np.unique(numbers).tolist():
-        where = np.flatnonzero(numbers == c)
-        if len(where) > 1 and cluster_radius(vectors[where], weights[where]) > radius:
-            parts = agglomerate(vectors[where], weights[where], threshold)
-            out[where] = following + parts
-            following += int(parts.max()) + 1
-    return np.unique(out, return_inverse=True)[1]
-
-
-def cluster_radius(vectors: np.ndarray, weights: np.ndarray) -> float:
-    w = np.maximum(weights, 1)
-    return float(((1 - _unit(vectors.astype(np.float64)) @ cluster_centroid(vectors, weights)) * w).sum() / w.sum())
-
-
-def refine(names: list[str], vectors: np.ndarray, weights: np.ndarray, videos: np.ndarray, fine: float = FINE, least: int = LEAST_VIDEOS, rounds: int = 10, pins: dict[str, str] | None = None) -> np.ndarray:
-    """Splits wide clusters and merges close ones until nothing changes.
-
-    No cluster is split twice, so rounds end; pinned labels go with their mate.
-    """
-    now = fold_small(agglomerate(vectors, weights, fine), vectors, weights, videos, least)
-    split_once = False
-    for _ in range(rounds):
-        before = now.copy()
-        if not split_once:
-            now, split_once = split_wide(now, vectors, weights, MOST_RADIUS, 0.7 * fine), True
-        centres = np.stack([cluster_centroid(vectors[now == c], weights[now == c]) for c in range(now.max(initial=-1) + 1)]) if len(now) else np.zeros((0, 1))
-        heavy = np.array([weights[now == c].sum() for c in range(len(centres))])
-        now = agglomerate(centres, heavy, 0.6 * fine)[now] if len(centres) else now
-        now = fold_small(now, vectors, weights, videos, least)
-        for label, mate in (pins or {}).items():
-            if label in names and mate in names:
-                now[names.index(label)] = now[names.index(mate)]
-        now = np.unique(now, return_inverse=True)[1]
-        if np.array_equal(now, before):
-            break
-    return now
-
-
-def clusters(table: DataFrame, fine: float = FINE, coarse: float = COARSE, least: int = LEAST_VIDEOS, least_top: int = LEAST_TOP_VIDEOS) -> DataFrame:
-    """area, sub, cluster, parent, cluster_name, radius of each label.
-
-    table: area, sub, views, videos, vec. Two passes: labels to clusters, then
-    clusters to parents; small ones fold into the nearest.
+
+def _rows(labels: k.Labels, found: list[k.Cluster], round_no: int) -> pd.DataFrame:
+    each = [(labels.areas[r], labels.subs[r], n, c.parent, c.name, round(c.radius, 9), round_no) for n, c in enumerate(found) for r in c.rows]
+    return pd.DataFrame(each, columns=["area", "sub", "cluster", "parent_name", "cluster_name", "radius", "round_no"])
+
+
+def clusters(table: DataFrame, fine: float = k.FINE, coarse: float = k.COARSE, least: int = k.LEAST_VIDEOS, least_top: int = k.LEAST_TOP_VIDEOS, control: k.Control | None = None, rounds: int = 1, most_radius: float = k.MOST_RADIUS) -> DataFrame:
+    """area, sub, cluster, parent_name, cluster_name, radius, round_no of each label.
+
+    table: area, sub, views, videos, vec (and channel_names). Labels go to
+    clusters, clusters to parents, small ones into the nearest; further rounds
+    refine. round_no: how many rounds were run. Labels are one group on one task:
+    a taxonomy has a few thousand, whatever the events, which is checked.
     """
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_LABELS:
-            raise ValueError(f"{len(pdf)} labels; a taxonomy has at most {MOST_LABELS}")
-        pdf = pdf.sort_values(["views", "area", "sub"], ascending=[False, True, True], na_position="first").reset_index(drop=True)
-        vectors, views, videos = np.stack(pdf["vec"].to_list()).astype(np.float64), pdf["views"].to_numpy(np.float64), pdf["videos"].to_numpy()
-        own = fold_small(agglomerate(vectors, views, fine), vectors, views, videos, least)
-        count = own.max() + 1
-        centres = np.stack([cluster_centroid(vectors[own == c], views[own == c]) for c in range(count)])
-        heavy, sizes = np.array([views[own == c].sum() for c in range(count)]), np.array([videos[own == c].sum() for c in range(count)])
-        top = fold_small(agglomerate(centres, heavy, coarse), centres, heavy, sizes, least_top)
-        name = {c: next(((s or a) for a, s in zip(pdf["area"][own == c], pdf["sub"][own == c], strict=True) if s), pdf["area"][own == c].iloc[0]) for c in range(count)}
-        first = {p: int(np.flatnonzero(top == p)[heavy[top == p].argmax()]) for p in range(top.max() + 1)}
-        radius = [round(cluster_radius(vectors[own == c], views[own == c]), 9) for c in range(count)]
-        return pd.DataFrame({"area": pdf["area"], "sub": pdf["sub"], "cluster": own, "parent": top[own], "cluster_name": [name[c] for c in own], "parent_name": [name[first[top[c]]] for c in own], "radius": [radius[c] for c in own]})
-
-    schema = "area string, sub string, cluster long, parent long, cluster_name string, parent_name string, radius double"
-    return table.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, schema)
+        labels = _labels(pdf)
+        found, measured = k.rounds(labels, lambda: control or k.Control(), fine, coarse, least, least_top, most_radius, rounds)
+        return _rows(labels, found, len(measured))
+
+    return table.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, CLUSTERS)
 
 
 def projection(found: DataFrame) -> DataFrame:
@@ -206,10 +174,15 @@ def projection(found: DataFrame) -> DataFrame:
     return found.select(old.alias("old_topic"), new.alias("new_topic"))
 
 
-def metrics(assigned: DataFrame) -> DataFrame:
-    """One row over area, sub, channel, videos: spread, tail, subjects a channel."""
+def metrics(assigned: DataFrame, tail: int = k.TAIL, radius: Column | None = None) -> DataFrame:
+    """One row: names, tops, spread, subjects, tail share, subjects a channel, coherence.
+
+    assigned: area, sub, channel, video_id and views' rows; ``radius`` is that of
+    a row's subject, whose mean by views is the coherence.
+    """
     names = assigned.filter("sub IS NOT NULL").groupBy("sub").agg(F.count_distinct("area").alias("tops"))
     spread = names.agg(F.count("*").alias("names"), F.count_if(F.col("tops") > 1).alias("spread"))
-    subjects = assigned.groupBy("area", "sub").agg(F.count_distinct("video_id").alias("videos")).agg(F.count("*").alias("subjects"), F.count_if(F.col("videos") < LEAST_VIDEOS).alias("tail"))
-    per = assigned.groupBy("channel").agg(F.count_distinct("area", F.coalesce("sub", F.lit(""))).alias("n")).agg(F.max("n").alias("most_per_channel"), F.round(F.avg("n"), 6).alias("mean_per_channel"))
-    return spread.crossJoin(subjects).crossJoin(per)  # a row each
+    subjects = assigned.groupBy("area", "sub").agg(F.count_distinct("video_id").alias("videos")).agg(F.count("*").alias("subjects"), F.count_distinct("area").alias("tops"), F.round(F.count_if(F.col("videos") <= tail) / F.count("*"), 6).alias("tail_share"))
+    per = assigned.filter(F.coalesce("channel", F.lit("")) != "").groupBy("channel").agg(F.count_distinct("area", F.coalesce("sub", F.lit(""))).alias("n")).agg(F.max("n").alias("most_per_channel"), F.round(F.avg("n"), 6).alias("mean_per_channel"))
+    coherence = assigned.agg(F.round(F.avg(F.lit(0.0) if radius is None else radius), 6).alias("coherence"))
+    return spread.crossJoin(subjects).crossJoin(per).crossJoin(coherence)  # a row each
