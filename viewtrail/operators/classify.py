@@ -59,56 +59,90 @@ def video_inputs(views: DataFrame, metadata: DataFrame, order: str = "event_id")
     return first.join(m, "video_id", "left").select("video_id", "views", pick("_t", "f.title").alias("title"), pick("_c", "f.channel").alias("channel"), "tags", "categories", F.col("unavailable").isNotNull().alias("has_meta"), F.coalesce("unavailable", F.lit(False)).alias("unavailable"))
 
 
-def resolve_cached(items: DataFrame, cache: DataFrame, areas: list[str], fingerprint: str, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Adds topic, mode, source, stale: what the cache or the category decides.
+def resolve_cached(items: DataFrame, cache: DataFrame, areas: list[str], fingerprint: str, aliases: dict[str, str] | None = None, title_only: bool = False, keep_verdicts: bool = False) -> DataFrame:
+    """Adds topic, mode, source, confidence, stale, waiting, ask: what the cache or the category decides.
 
     items have video_id, category_area, has_meta and unavailable. The category's
-    area wins; a subject survives only under an unchanged area. Without a verdict
-    the area alone is known.
+    area wins over the cached one: a subject survives only where the areas agree,
+    otherwise the bare area stands, with the verdict's mode, source and
+    confidence, even if the cached area exists no more. Without a category the
+    cached topic must name a known area. What has no verdict keeps the category's
+    area alone. A cached verdict may be stale whether it is usable or not;
+    ``keep_verdicts`` ignores the areas it was judged under. Videos without a
+    verdict are asked once metadata is there, or at once with ``title_only``.
     """
-    c = cache.select("video_id", F.col("topic").alias("_t"), F.col("mode").alias("_m"), "confidence", "model", "basis", "taxonomy")
+    c = cache.select("video_id", F.lit(True).alias("_hit"), F.col("topic").alias("_t"), F.col("mode").alias("_m"), "confidence", "model", "basis", "taxonomy")
     j = items.join(c, "video_id", "left")
-    topic, area = normalize_topic("_t", areas, aliases), F.col("category_area")
-    kept = F.when(area.isNull() | (F.lower(area_of(topic)) == F.lower(area)), topic).otherwise(area)
-    known = F.col("_t").isNotNull() & topic.isNotNull()
+    area, hit = F.nullif(F.col("category_area"), F.lit("")), F.coalesce("_hit", F.lit(False))
+    same = F.lower(F.trim(area_of("_t"))) == F.lower(area)
+    topic = F.when(area.isNull(), normalize_topic("_t", areas, aliases)).when(same, replace_area("_t", area, areas, aliases)).otherwise(area)
+    known = hit & topic.isNotNull()
+    now = F.coalesce("taxonomy", F.lit("")) if keep_verdicts else F.lit(fingerprint)
+    old = hit & stale("taxonomy", "basis", "has_meta", "unavailable", now)
+    ready = F.lit(True) if title_only else F.col("has_meta")
     return j.select(
-        "video_id", F.when(known, kept).otherwise(F.coalesce(area, F.lit(UNCLEAR))).alias("topic"), F.when(known, F.coalesce("_m", F.lit(""))).otherwise("").alias("mode"),
+        "video_id", F.when(known, topic).otherwise(F.coalesce(area, F.lit(UNCLEAR))).alias("topic"), F.when(known, F.coalesce("_m", F.lit(""))).otherwise("").alias("mode"),
         F.when(known, F.concat(F.lit("llm:"), F.coalesce("model", F.lit("")))).when(area.isNotNull(), "category").otherwise("unclassified").alias("source"),
-        F.when(known, F.col("confidence")).otherwise(0.0).alias("confidence"), (known & stale("taxonomy", "basis", "has_meta", "unavailable", fingerprint)).alias("stale"), (~known & ~F.col("has_meta")).alias("waiting"),
+        F.when(known, F.col("confidence")).otherwise(0.0).alias("confidence"), old.alias("stale"), (~hit & ~ready).alias("waiting"), (old | (~hit & ready)).alias("ask"),
     )
 
 
-def join_back(views: DataFrame, verdicts: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Every view with its video's verdict and metadata."""
+def join_back(views: DataFrame, verdicts: DataFrame, metadata: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """Every view with its video's verdict and metadata.
+
+    Views without an id get the rules on their own title and channel instead.
+    """
     v = verdicts.select("video_id", "topic", "mode", "source")
     m = metadata.select("video_id", "duration_s", "unavailable")
-    return views.join(v, "video_id", "left").join(m, "video_id", "left").withColumn("topic", F.coalesce("topic", F.lit(UNCLEAR))).withColumn("source", F.coalesce("source", F.lit("unclassified")))
+    j = views.join(v, "video_id", "left").join(m, "video_id", "left")
+    if rules:
+        none = F.array().cast("array<string>")
+        own = j.withColumns({"tags": none, "categories": none}).withColumn("_rule", F.when(F.coalesce("video_id", F.lit("")) == "", match(rules)))
+        j = own.withColumns({"topic": F.coalesce("_rule.topic", "topic"), "mode": F.coalesce("_rule.mode", "mode"), "source": F.coalesce(F.concat(F.lit("rule:"), "_rule.rule"), "source")}).drop("_rule", *({"tags", "categories"} - set(views.columns)))
+    return j.withColumn("topic", F.coalesce("topic", F.lit(UNCLEAR))).withColumn("source", F.coalesce("source", F.lit("unclassified")))
 
 
 def merge_verdicts(cache: DataFrame, answers: DataFrame, kind: str, areas: list[str]) -> DataFrame:
     """The cache after a round: sub, mode or full.
 
-    A sub round changes topic and confidence where it is confident enough, a mode
-    round the mode alone, a full round everything but the area that is imposed.
+    answers: video_id, sub, confidence and the verdict's area of a sub round;
+    video_id and mode of a mode round; video_id, topic, mode, confidence, model,
+    basis, taxonomy, area (the category's, or null) and marker of a full round.
+
+    A sub round changes topic and confidence if the subject isn't blank and
+    confident enough, a mode round a mode that isn't blank; every answer, blank
+    and hesitant ones too, is marked as asked, so that it isn't asked for ever. A
+    full round replaces the verdict, but for an area that the category imposes,
+    and keeps the markers only where it was asked for a marked reason.
     """
-    a = answers.select("video_id", *(F.col(c).alias(f"_{c}") for c in ("topic", "mode", "confidence", "area")))
+    a = answers.select("video_id", F.lit(True).alias("_hit"), *(F.col(c).alias(f"_{c}") for c in answers.columns if c != "video_id"))
     j = cache.join(a, "video_id", "left")
-    got = F.col("_topic").isNotNull() | F.col("_mode").isNotNull()
-    full = F.coalesce(replace_area("_topic", "_area", areas), F.col("_topic"))
-    rules = {
-        "sub": {"topic": (F.col("_confidence") >= LEAST_SUB_CONFIDENCE, F.col("_topic")), "confidence": (F.col("_confidence") >= LEAST_SUB_CONFIDENCE, F.col("_confidence"))},
-        "mode": {"mode": (F.col("_mode").isNotNull(), F.col("_mode"))},
-        "full": {"topic": (got, full), "mode": (got, F.col("_mode")), "confidence": (got, F.col("_confidence"))},
-    }[kind]
-    for name, (when, value) in rules.items():
-        j = j.withColumn(name, F.when(F.coalesce(when, F.lit(False)), value).otherwise(F.col(name)))
-    retried = F.array_union(F.coalesce("retried", F.array().cast("array<string>")), F.array(F.lit(kind)))
-    return j.withColumn("retried", F.when(got, retried).otherwise(F.col("retried"))).select(*cache.columns)
-
-
-def sub_seeds(verdicts: DataFrame, k: int = SEEDS_PER_AREA) -> DataFrame:
-    """The most frequent subjects of each area."""
-    n = verdicts.select(area_of("topic").alias("area"), sub_of("topic").alias("sub")).filter("sub <> ''").groupBy("area", "sub").agg(F.count("*").alias("n"))
+    hit, marks = F.coalesce("_hit", F.lit(False)), F.coalesce("retried", F.array().cast("array<string>"))
+    if kind == "sub":
+        sure = hit & (F.coalesce("_sub", F.lit("")) != "") & (F.coalesce("_confidence", F.lit(0.0)) >= LEAST_SUB_CONFIDENCE)
+        new = {"topic": F.when(sure, F.concat_ws("/", "_area", "_sub")).otherwise(F.col("topic")), "confidence": F.when(sure, F.col("_confidence")).otherwise(F.col("confidence"))}
+    elif kind == "mode":
+        new = {"mode": F.when(hit & (F.coalesce("_mode", F.lit("")) != ""), F.col("_mode")).otherwise(F.col("mode"))}
+    else:
+        topic = F.when(F.coalesce("_area", F.lit("")) != "", replace_area("_topic", "_area", areas)).otherwise(F.col("_topic"))
+        new = {"topic": F.when(hit, topic).otherwise(F.col("topic"))} | {c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("mode", "confidence", "model", "basis", "taxonomy")}
+    asked = F.array_union(marks, F.array(F.lit(kind)))
+    if kind == "full":
+        asked = F.when(F.col("_marker").isNotNull(), F.array_union(marks, F.array("_marker"))).otherwise(F.array().cast("array<string>"))
+    return j.withColumns(new | {"retried": F.when(hit, asked).otherwise(F.col("retried"))}).select(*cache.columns)
+
+
+def sub_seeds(topics: DataFrame, areas: list[str], asked_again: list[str] | None = None, k: int = SEEDS_PER_AREA) -> DataFrame:
+    """The most frequent subjects of each area over all topics so far.
+
+    topics: one row a verdict of the rules or of the cache. Topics are brought to
+    their present spelling; unknown areas and topics that are asked again, whose
+    answers mustn't be offered back, seed nothing.
+    """
+    now = topics.select(normalize_topic("topic", areas).alias("topic")).filter(F.col("topic").isNotNull())
+    if asked_again:
+        now = now.filter(~F.col("topic").isin(*asked_again))
+    n = now.select(area_of("topic").alias("area"), sub_of("topic").alias("sub")).filter("sub <> ''").groupBy("area", "sub").agg(F.count("*").alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("area").orderBy(F.col("n").desc(), "sub"))).filter(F.col("rank") <= k)
 
 
@@ -122,29 +156,37 @@ def channel_context(items: DataFrame, verdicts: DataFrame, k: int = CONTEXT_TOPI
 
 
 def model_drift(cache: DataFrame, want: str) -> DataFrame:
-    other = cache.filter(~F.coalesce("model", F.lit("")).isin("", want))
-    return other.groupBy("model").agg(F.count("*").alias("verdicts"), F.min("video_id").alias("first_id"))
+    """(model, video_id) of the verdicts that other models gave; a model's ids in order are its rows by id."""
+    return cache.filter(~F.coalesce("model", F.lit("")).isin("", want)).select("model", "video_id")
 
 
 def defects(verdicts: DataFrame) -> DataFrame:
-    """One row of counters: what retries could mend."""
-    t = F.col("topic")
-    return verdicts.agg(F.count_if(t == UNCLEAR).alias("unclear"), F.count_if((t != UNCLEAR) & (sub_of(t) == "")).alias("no_sub"), F.count_if(F.coalesce("mode", F.lit("")) == "").alias("no_mode"))
+    """One row of counters: what the next retry could select of a model's verdicts."""
+    t, done = F.col("topic"), lambda k: F.coalesce(F.array_contains("retried", k), F.lit(False))
+    judged = verdicts.filter(F.col("source").startswith("llm:") & (t != UNCLEAR))
+    return judged.agg(F.count_if((sub_of(t) == "") & ~done("sub")).alias("no_sub"), F.count_if((F.coalesce("mode", F.lit("")) == "") & ~done("mode")).alias("no_mode"))
 
 
 def retry_targets(verdicts: DataFrame, selectors: list[str]) -> DataFrame:
-    """(video_id, kind): full, sub or mode; a named topic first, each kind once a video."""
+    """(video_id, kind, marker): full, sub or mode; a video may be in sub and mode.
+
+    verdicts: video_id, topic (null: not usable, never asked), mode, retried and
+    usable_text. Each defect is asked once: its marker is in ``retried`` then. An
+    unclear topic is asked for context alone; a named topic is asked in full and
+    wins over the other defects.
+    """
     t, done = F.col("topic"), lambda k: F.coalesce(F.array_contains("retried", k), F.lit(False))
     named = [s.removeprefix("topic:") for s in selectors if s.startswith("topic:")]
-    every = "all" in selectors
-    want = lambda s: F.lit(every or s in selectors)
-    kind = (
-        F.when(t.isin(*named) if named else F.lit(False), "full")
-        .when(want("unclear") & (t == UNCLEAR) & ~done("full"), "full")
-        .when(want("no-sub") & (t != UNCLEAR) & (sub_of(t) == "") & ~done("sub"), "sub")
-        .when(want("no-mode") & (F.coalesce("mode", F.lit("")) == "") & ~done("mode"), "mode")
-    )
-    return verdicts.select("video_id", kind.alias("kind")).filter("kind IS NOT NULL")
+    want = lambda s: F.lit("all" in selectors or s in selectors)
+    own = F.concat(F.lit("topic:"), t)
+    whole = (t.isin(*named) if named else F.lit(False)) & ~done(own) & (t != UNCLEAR)
+    target = lambda when, kind, marker: F.when(when, F.struct(F.lit(kind).alias("kind"), (marker if marker is not None else F.lit(kind)).alias("marker")))
+    rest = ~whole & (t != UNCLEAR)
+    found = F.array(
+        target(want("unclear") & (t == UNCLEAR) & ~done("context") & F.col("usable_text"), "full", F.lit("context")), target(whole, "full", own),
+        target(rest & want("no-sub") & (sub_of(t) == "") & ~done("sub"), "sub", None), target(rest & want("no-mode") & (F.coalesce("mode", F.lit("")) == "") & ~done("mode"), "mode", None),
+    )
+    return verdicts.filter(t.isNotNull()).select("video_id", F.explode(F.array_compact(found)).alias("x")).select("video_id", "x.kind", "x.marker")
 
 
 def within_budget(targets: DataFrame, limit: int) -> DataFrame:

@@ -50,9 +50,10 @@ def topic_rollup(views: DataFrame) -> DataFrame:
 
 
 def months(views: DataFrame) -> DataFrame:
-    """A row a month: views and seconds of each mode."""
+    """A row a month: views and seconds of each mode, views of unknown length too; an absent mode has none."""
     rows = views.filter(F.col("watched_at").isNotNull()).select(F.date_format("watched_at", "yyyy-MM").alias("month"), mode_or_unclear().alias("mode"), "duration_s")
-    return rows.groupBy("month").pivot("mode", MODES).agg(F.count("duration_s").alias("views"), F.coalesce(F.sum("duration_s"), F.lit(0)).alias("seconds"))
+    wide = rows.groupBy("month").pivot("mode", MODES).agg(F.count(F.lit(1)).alias("views"), F.sum("duration_s").alias("seconds"))
+    return wide.fillna(0, [c for c in wide.columns if c != "month"])
 
 
 def channels(views: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -77,8 +78,12 @@ def topic_tree(rows: DataFrame) -> DataFrame:
 
 
 def csv_rows(views: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    known = subscriptions.select("channel_id").distinct().withColumn("_sub", F.lit(True))
+    """The 13 columns of the flat export, by their names there; times in UTC."""
+    known = subscriptions.filter(F.coalesce(F.col("channel_id").cast("string"), F.lit("")) != "").select("channel_id").distinct().withColumn("_sub", F.lit(True))
+    utc = F.to_utc_timestamp("watched_at", F.current_timezone())
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return views.join(known, "channel_id", "left").select(
-        "video_id", "channel", F.coalesce(F.date_format("watched_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("")).alias("watched_at"), "topic", area_of("topic").alias("area"), F.coalesce("mode", F.lit("")).alias("mode"), "source",
-        confidence_text("confidence").alias("confidence"), "duration_s", F.coalesce("_sub", F.lit(False)).alias("subscribed"), "unavailable",
+        text("video_id").alias("videoID"), text("title").alias("title"), text("channel").alias("channel"), text("channel_id").alias("channelID"),
+        F.coalesce(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("")).alias("watchedAt"), "topic", area_of("topic").alias("area"), text("mode").alias("mode"), "source",
+        confidence_text("confidence").alias("confidence"), F.coalesce("duration_s", F.lit(0)).alias("durationS"), F.coalesce("_sub", F.lit(False)).alias("subscribed"), F.coalesce("unavailable", F.lit(False)).alias("unavailable"),
     )

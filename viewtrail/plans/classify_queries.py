@@ -125,37 +125,85 @@ cache AS (SELECT v.video_id, v.k, CASE WHEN k % 7 = 0 THEN 'nowhere/x' WHEN k %
 
 def items(spark, d) -> DataFrame:
     v = videos(spark, d)
-    return v.select("video_id", F.when(F.col("fetched") & ~F.col("unavailable"), F.get("categories", F.lit(0))).alias("category_area"), F.col("fetched").alias("has_meta"), (F.col("fetched") & F.col("unavailable")).alias("unavailable"))
+    area = F.when(F.size("categories") > 0, F.when(F.col("k") % 9 == 4, "error").otherwise(F.get("categories", F.lit(0))))
+    return v.select("video_id", F.when(F.col("fetched") & ~F.col("unavailable"), area).alias("category_area"), F.col("fetched").alias("has_meta"), (F.col("fetched") & F.col("unavailable")).alias("unavailable"))
+
+
+#: By the rules' order: the category's area over the cached one, else the cached topic if its area is known.
+RESOLVED = CACHE + """,
+i AS (SELECT video_id, k, CASE WHEN fetched AND NOT unavailable AND k % 6 <> 5 THEN CASE WHEN k % 9 = 4 THEN 'error' ELSE cat END END AS area, fetched, fetched AND unavailable AS gone FROM videos),
+res AS (
+  SELECT i.*, c.video_id IS NOT NULL AS hit, c.model, c.mode, c.confidence, c.old_tax, c.by_title,
+    CASE WHEN c.video_id IS NULL THEN NULL WHEN i.area IS NULL THEN c.norm WHEN split_part(c.topic, '/', 1) = i.area THEN c.norm ELSE i.area END AS found
+  FROM i LEFT JOIN cache c USING (video_id)),
+resolved AS (
+  SELECT video_id, coalesce(found, area, 'unclear') AS topic, CASE WHEN found IS NULL THEN '' ELSE mode END AS mode, CASE WHEN found IS NULL THEN 0.0 ELSE confidence END AS confidence,
+    CASE WHEN found IS NOT NULL THEN 'llm:' || model WHEN area IS NOT NULL THEN 'category' ELSE 'unclassified' END AS source, hit AND (old_tax OR (by_title AND fetched AND NOT gone)) AS stale, NOT hit AND NOT fetched AS waiting,
+    (hit AND (old_tax OR (by_title AND fetched AND NOT gone))) OR (NOT hit AND fetched) AS ask, hit, fetched, gone, by_title
+  FROM res)
+"""
 
 
-@register("c3_resolve_cached", sql(CACHE, """, i AS (SELECT video_id, k, CASE WHEN fetched AND NOT unavailable THEN category END AS area, fetched, fetched AND unavailable AS gone FROM videos)
-SELECT i.video_id, CASE WHEN norm IS NULL THEN coalesce(area, 'unclear') WHEN area IS NULL OR split_part(norm, '/', 1) = area THEN norm ELSE area END AS topic, CASE WHEN norm IS NULL THEN '' ELSE mode END AS mode,
-  CASE WHEN norm IS NOT NULL THEN 'llm:' || model WHEN area IS NOT NULL THEN 'category' ELSE 'unclassified' END AS source, norm IS NOT NULL AND (old_tax OR (by_title AND fetched AND NOT gone)) AS stale, norm IS NULL AND NOT fetched AS waiting
-FROM i LEFT JOIN cache c USING (video_id)"""))
+@register("c3_resolve_cached", sql(RESOLVED, "SELECT video_id, topic, mode, source, CAST(round(confidence * 100) AS BIGINT) AS percent, coalesce(stale, false) AS stale, waiting, coalesce(ask, false) AS ask FROM resolved"))
 def c3_resolve_cached(spark, d) -> DataFrame:
     """Also C4 and C5: the category alone, and videos that wait for metadata."""
-    return q.resolve_cached(items(spark, d), cache(spark, d), AREAS, "f1").drop("confidence")
+    return q.resolve_cached(items(spark, d), cache(spark, d), AREAS, "f1").withColumn("percent", F.round(F.col("confidence") * 100).cast("long")).drop("confidence")
+
+
+@register("c5_title_only", sql(RESOLVED, "SELECT video_id, coalesce(hit AND by_title AND fetched AND NOT gone, false) OR NOT hit AS ask, false AS waiting FROM resolved"))
+def c5_title_only(spark, d) -> DataFrame:
+    """The last sweep: nothing waits for metadata; verdicts of other areas are kept."""
+    return q.resolve_cached(items(spark, d), cache(spark, d), AREAS, "f1", title_only=True, keep_verdicts=True).select("video_id", "ask", "waiting")
+
+
+ID_LESS = "CASE WHEN v.k % 23 = 5 THEN '' ELSE v.video_id END"
 
 
-@register("c6_join_back", sql(CACHE, "SELECT event_id, coalesce(c.norm, 'unclear') AS topic, coalesce(CASE WHEN c.norm IS NOT NULL THEN 'llm:' || c.model END, 'unclassified') AS source, CASE WHEN x.fetched THEN 60 END AS meta_duration FROM views v LEFT JOIN (SELECT * FROM cache WHERE norm IS NOT NULL) c USING (video_id) JOIN videos x ON x.video_id = v.video_id"))
+@register("c6_join_back", sql(CACHE, f"""SELECT v.event_id, CASE WHEN v.k % 23 = 5 THEN CASE WHEN v.area = 'click' THEN 'click/by-title' WHEN v.channel = 'channel-7' THEN 'view' ELSE 'unclear' END ELSE coalesce(c.norm, 'unclear') END AS topic,
+  CASE WHEN v.k % 23 = 5 THEN CASE WHEN v.area = 'click' THEN 'rule:clicks' WHEN v.channel = 'channel-7' THEN 'rule:seven' ELSE 'unclassified' END ELSE coalesce(CASE WHEN c.norm IS NOT NULL THEN 'llm:' || c.model END, 'unclassified') END AS source,
+  CASE WHEN v.k % 23 <> 5 AND x.fetched THEN 60 END AS meta_duration FROM views v LEFT JOIN (SELECT * FROM cache WHERE norm IS NOT NULL) c USING (video_id) JOIN videos x ON x.video_id = v.video_id"""))
 def c6_join_back(spark, d) -> DataFrame:
-    """Also J1 and J2: views to metadata and to verdicts."""
+    """Also J1 and J2: views to metadata and to verdicts; views without an id by rules on title and channel."""
     known = q.resolve_cached(items(spark, d).withColumn("category_area", F.lit(None).cast("string")), cache(spark, d), AREAS, "f1").filter("source LIKE 'llm%'")
-    v = views(spark, d).select("event_id", "video_id")
-    return q.join_back(v, known, metadata(spark, d)).select("event_id", "topic", "source", F.col("duration_s").alias("meta_duration"))
+    rules = [q.Rule("clicks", "click/by-title", "learn", title_any=("click",)), q.Rule("seven", "view", channel_any=("channel-7",))]
+    v = titled(spark, d).withColumn("video_id", F.when(F.round(F.col("confidence") * 100).cast("int") % 23 == 5, "").otherwise(F.col("video_id"))).select("event_id", "video_id", "title", "channel")
+    return q.join_back(v, known, metadata(spark, d), rules).select("event_id", "topic", "source", F.col("duration_s").alias("meta_duration"))
 
 
-@register("c7_merge_sub_round", sql(CACHE, "SELECT video_id, CASE WHEN k % 2 = 0 AND k / 50.0 - 1 >= 0.4 THEN carea || '/new' ELSE topic END AS topic, mode, sub_done OR k % 2 = 0 AS tried FROM cache"))
+@register("c7_merge_sub_round", sql(CACHE, """SELECT video_id, CASE WHEN k % 2 = 0 AND k % 6 <> 0 AND k / 50.0 - 1 >= 0.4 THEN carea || '/new' ELSE topic END AS topic, mode,
+  CAST(round(100 * CASE WHEN k % 2 = 0 AND k % 6 <> 0 AND k / 50.0 - 1 >= 0.4 THEN k / 50.0 - 1 ELSE confidence END) AS BIGINT) AS percent, sub_done OR k % 2 = 0 AS tried FROM cache"""))
 def c7_merge_sub_round(spark, d) -> DataFrame:
+    """Blank and hesitant answers change nothing, yet count as asked."""
     c = cache(spark, d)
     area = views(spark, d).groupBy("video_id").agg(F.max("area").alias("area"))
-    answers = c.filter("k % 2 = 0").join(area, "video_id").select("video_id", F.concat(F.col("area"), F.lit("/new")).alias("topic"), F.lit(None).cast("string").alias("mode"), (F.col("k") / 50.0 - 1).alias("confidence"), "area")
-    return q.merge_verdicts(c, answers, "sub", AREAS).select("video_id", "topic", "mode", F.array_contains("retried", "sub").alias("tried"))
+    answers = c.filter("k % 2 = 0").join(area, "video_id").select("video_id", F.when(F.col("k") % 6 != 0, "new").alias("sub"), (F.col("k") / 50.0 - 1).alias("confidence"), "area")
+    return q.merge_verdicts(c, answers, "sub", AREAS).select("video_id", "topic", "mode", F.round(F.col("confidence") * 100).cast("long").alias("percent"), F.array_contains("retried", "sub").alias("tried"))
+
+
+@register("c7_merge_mode_round", sql(CACHE, "SELECT video_id, topic, CASE WHEN mode = '' AND k % 8 = 0 THEN 'mixed' ELSE mode END AS mode, mode = '' AS tried FROM cache"))
+def c7_merge_mode_round(spark, d) -> DataFrame:
+    c = cache(spark, d)
+    answers = c.filter("mode = ''").select("video_id", F.when(F.col("k") % 8 == 0, "mixed").otherwise("").alias("mode"))
+    return q.merge_verdicts(c, answers, "mode", AREAS).select("video_id", "topic", "mode", F.array_contains("retried", "mode").alias("tried"))
+
 
+@register("c7_merge_full_round", sql(CACHE, """SELECT video_id, CASE WHEN k % 2 <> 0 THEN topic WHEN k % 3 = 1 THEN 'error/fresh' ELSE 'view/fresh' END AS topic, CASE WHEN k % 2 <> 0 THEN mode ELSE 'mixed' END AS mode, CASE WHEN k % 2 <> 0 THEN model ELSE 'm9' END AS model,
+  CASE WHEN k % 2 <> 0 THEN sub_done WHEN k % 10 = 0 THEN sub_done ELSE false END AS sub_mark, k % 10 = 0 AS context_mark FROM cache"""))
+def c7_merge_full_round(spark, d) -> DataFrame:
+    """The category puts its area back; markers stay only where a marked reason asked."""
+    c, k = cache(spark, d), F.col("k")
+    answers = c.filter("k % 2 = 0").select("video_id", F.lit("view/fresh").alias("topic"), F.lit("mixed").alias("mode"), F.lit(0.9).alias("confidence"), F.lit("m9").alias("model"), F.lit("full").alias("basis"), F.lit("f1").alias("taxonomy"), F.when(k % 3 == 1, "error").alias("area"), F.when(k % 10 == 0, "context").alias("marker"))
+    got = q.merge_verdicts(c, answers, "full", AREAS)
+    return got.select("video_id", "topic", "mode", "model", F.array_contains("retried", "sub").alias("sub_mark"), F.array_contains("retried", "context").alias("context_mark"))
 
-@register("c8_sub_seeds", sql(CACHE, ", n AS (SELECT carea AS area, substr(topic, instr(topic, '/') + 1) AS sub, count(*) AS n FROM cache WHERE instr(topic, '/') > 0 AND split_part(topic, '/', 1) = carea GROUP BY ALL UNION ALL SELECT 'nowhere', 'x', count(*) FROM cache WHERE topic = 'nowhere/x'), r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY n DESC, sub) AS rank FROM n) SELECT area, sub, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12"))
+
+@register("c8_sub_seeds", sql(CACHE, """, ts AS (SELECT norm FROM cache WHERE norm IS NOT NULL UNION ALL SELECT area || CASE WHEN sub IS NULL THEN '' ELSE '/' || sub END FROM views WHERE k % 5 = 0),
+n AS (SELECT split_part(norm, '/', 1) AS area, substr(norm, instr(norm, '/') + 1) AS sub, count(*) AS n FROM ts WHERE instr(norm, '/') > 0 AND norm NOT IN ('view/s-1', 'click/s2') GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY n DESC, sub) AS rank FROM n) SELECT area, sub, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12"""))
 def c8_sub_seeds(spark, d) -> DataFrame:
-    return q.sub_seeds(cache(spark, d))
+    """Over rules and cache alike, without the topics that are asked again."""
+    by_rule = views(spark, d).filter(F.round(F.col("confidence") * 100).cast("int") % 5 == 0).select("topic")
+    return q.sub_seeds(cache(spark, d).select("topic").unionByName(by_rule), AREAS, ["view/s-1", "click/s2"])
 
 
 @register("c9_channel_context", sql(CACHE, """, kn AS (SELECT v.channel_id, topic, count(*) AS n FROM cache JOIN videos v USING (video_id) WHERE topic <> 'unclear' GROUP BY ALL),
@@ -166,7 +214,7 @@ def c9_channel_context(spark, d) -> DataFrame:
     return q.channel_context(v, cache(spark, d).join(v, "video_id").select("video_id", "channel", "topic"))
 
 
-@register("c10_model_drift", sql(CACHE, "SELECT model, count(*) AS verdicts, min(video_id) AS first_id FROM cache WHERE model NOT IN ('', 'm1') GROUP BY model"))
+@register("c10_model_drift", sql(CACHE, "SELECT model, video_id FROM cache WHERE model NOT IN ('', 'm1')"))
 def c10_model_drift(spark, d) -> DataFrame:
     return q.model_drift(cache(spark, d), "m1")
 
@@ -183,19 +231,39 @@ def c11_fold(spark, d) -> DataFrame:
     return q.fold(views(spark, d).select("topic"), p).groupBy("topic", "folded", "how").agg(F.count("*").alias("views"))
 
 
-@register("f7_retry_targets", sql(CACHE, "SELECT video_id, CASE WHEN topic = 'nowhere/x' THEN 'full' WHEN topic <> 'unclear' AND instr(topic, '/') = 0 AND NOT sub_done THEN 'sub' WHEN mode = '' THEN 'mode' END AS kind FROM cache WHERE kind IS NOT NULL"))
+TARGETS = CACHE + """,
+ju AS (SELECT video_id, norm AS topic, mode, model, sub_done, k FROM cache),
+targets AS (
+  SELECT video_id, 'full' AS kind, 'context' AS marker FROM ju WHERE topic = 'unclear' AND k % 2 = 0
+  UNION ALL SELECT video_id, 'full', 'topic:view' FROM ju WHERE topic = 'view'
+  UNION ALL SELECT video_id, 'sub', 'sub' FROM ju WHERE topic NOT IN ('unclear', 'view') AND instr(topic, '/') = 0 AND NOT sub_done
+  UNION ALL SELECT video_id, 'mode', 'mode' FROM ju WHERE topic NOT IN ('unclear', 'view') AND mode = '')
+"""
+
+
+def judged(spark, d) -> DataFrame:
+    """Cached verdicts as the rounds see them."""
+    c = cache(spark, d)
+    known = q.resolve_cached(items(spark, d).withColumn("category_area", F.lit(None).cast("string")), c, AREAS, "f1").filter("source LIKE 'llm%'").select("video_id", "topic", "source")
+    return c.select("video_id", "mode", "retried", (F.col("k") % 2 == 0).alias("usable_text")).join(known, "video_id", "left")
+
+
+SELECTORS = ["no-sub", "no-mode", "unclear", "topic:view"]
+
+
+@register("f7_retry_targets", sql(TARGETS, "SELECT * FROM targets"))
 def f7_retry_targets(spark, d) -> DataFrame:
-    return q.retry_targets(cache(spark, d), ["no-sub", "no-mode", "topic:nowhere/x"])
+    return q.retry_targets(judged(spark, d), SELECTORS)
 
 
-@register("f8_defects", sql(CACHE, "SELECT count(*) FILTER (WHERE topic = 'unclear') AS unclear, count(*) FILTER (WHERE topic <> 'unclear' AND instr(topic, '/') = 0) AS no_sub, count(*) FILTER (WHERE mode = '') AS no_mode FROM cache"))
+@register("f8_defects", sql(TARGETS, "SELECT count(*) FILTER (WHERE instr(topic, '/') = 0 AND NOT sub_done) AS no_sub, count(*) FILTER (WHERE mode = '') AS no_mode FROM ju WHERE topic <> 'unclear'"))
 def f8_defects(spark, d) -> DataFrame:
-    return q.defects(cache(spark, d))
+    return q.defects(judged(spark, d))
 
 
-@register("f9_budget", sql(CACHE, ", x AS (SELECT video_id, CASE WHEN topic = 'nowhere/x' THEN 'full' WHEN topic <> 'unclear' AND instr(topic, '/') = 0 AND NOT sub_done THEN 'sub' WHEN mode = '' THEN 'mode' END AS kind FROM cache) SELECT video_id, kind FROM x WHERE kind IS NOT NULL ORDER BY CASE kind WHEN 'sub' THEN 1 WHEN 'mode' THEN 2 ELSE 3 END, video_id LIMIT 40"))
+@register("f9_budget", sql(TARGETS, "SELECT video_id, kind, marker FROM targets ORDER BY CASE kind WHEN 'sub' THEN 1 WHEN 'mode' THEN 2 ELSE 3 END, video_id LIMIT 40"))
 def f9_budget(spark, d) -> DataFrame:
-    return q.within_budget(q.retry_targets(cache(spark, d), ["no-sub", "no-mode", "topic:nowhere/x"]), 40)
+    return q.within_budget(q.retry_targets(judged(spark, d), SELECTORS), 40)
 
 
 @register("j5_missing_ids", sql(CACHE, "SELECT video_id, count(*) AS views FROM views WHERE video_id NOT IN (SELECT video_id FROM cache) GROUP BY video_id"))
@@ -203,9 +271,9 @@ def j5_missing_ids(spark, d) -> DataFrame:
     return q.priorities(views(spark, d), cache(spark, d))
 
 
-@register("o10_missing_first", sql(CACHE, "SELECT video_id, count(*) AS views FROM views WHERE video_id NOT IN (SELECT video_id FROM cache) GROUP BY video_id ORDER BY views DESC, video_id LIMIT 100"))
+@register("o10_missing_first", sql(CACHE, "SELECT video_id, count(*) AS views FROM views WHERE video_id NOT IN (SELECT video_id FROM cache) GROUP BY video_id ORDER BY views DESC, video_id"))
 def o10_missing_first(spark, d) -> DataFrame:
-    return q.priorities(views(spark, d), cache(spark, d)).orderBy(F.col("views").desc(), "video_id").limit(100)
+    return q.priorities(views(spark, d), cache(spark, d)).orderBy(F.col("views").desc(), "video_id")
 
 
 @register("o12_strided_sample", sql(VIDEOS, ", r AS (SELECT video_id, row_number() OVER (ORDER BY video_id) - 1 AS n, count(*) OVER () AS total FROM videos), w AS (SELECT CAST(floor(i * (SELECT count(*) FROM videos) / 50.0) AS BIGINT) AS n FROM range(50) t(i)) SELECT video_id FROM r WHERE n IN (SELECT n FROM w)"))

