@@ -50,4 +50,7 @@ def test_projection_round_trip(tmp_path):
     config.write_projection([("a/x", "top/one", 3), ("b", "other", 9)], str(path), ["made by hand"])
     assert config.load_projection(str(path)) == [("a/x", "top/one"), ("b", "other")]
     assert path.read_text().index("b: other") < path.read_text().index("a/x: top/one")
+    odd = [("a: b/#x", "no", 1), ("yes", "top: 1/- two", 2), ("é/ß", 'q"uote', 3)]
+    config.write_projection(odd, str(path))
+    assert config.load_projection(str(path)) == sorted((a, b) for a, b, _ in odd)
     assert config.load_control(str(tmp_path / "none"))["stop"] is False

@@ -159,17 +159,49 @@ def verdict_json(reply: str, areas: Areas) -> tuple[str, str, float] | None:
     return None if None in parts else parts
 
 
-def parse_replies(df: DataFrame, areas: Areas) -> DataFrame:
-    """batch_id, ids, reply to id, topic, mode, confidence; refused rows have an error."""
+#: Kinds of numbered replies: the parser over (reply, count, areas), and the columns of an answer.
+KINDS: dict[str, tuple[Callable, str]] = {
+    "verdicts": (verdicts, "topic string, mode string, confidence double"),
+    "modes": (lambda reply, count, areas: [(m,) for m in modes(reply, count)], "mode string"),
+    "subjects": (lambda reply, count, areas: subjects(reply, count), "sub string, confidence double"),
+    "names": (lambda reply, count, areas: [(n,) for n in names(reply, count)], "name string"),
+    "picks": (lambda reply, count, areas: [(picked.get(n),) for picked in [picks(reply, count)] for n in range(1, count + 1)], "pick int"),
+}
+
+
+def parse_kind(df: DataFrame, kind: str, areas: Areas = Areas(())) -> DataFrame:  # noqa: B008
+    """batch_id, ids, reply to batch_id, id, the answer's columns and error.
+
+    A refused reply gives a row an id with null answers and the refusal.
+    """
+    read, columns = KINDS[kind]
+    width = columns.count(",") + 1
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for batch, ids, reply in zip(part["batch_id"], part["ids"], part["reply"], strict=True):
                 try:
-                    out += [(batch, i, *v, None) for i, v in zip(ids, verdicts(reply or "", len(ids), areas), strict=True)]
+                    out += [(batch, i, *v, None) for i, v in zip(ids, read(reply or "", len(ids), areas), strict=True)]
                 except Refused as why:
-                    out += [(batch, i, None, None, None, str(why)) for i in ids]
-            yield pd.DataFrame(out, columns=["batch_id", "id", "topic", "mode", "confidence", "error"])
+                    out += [(batch, i, *[None] * width, str(why)) for i in ids]
+            frame = pd.DataFrame(out, columns=["batch_id", "id", *(c.split()[0] for c in columns.split(", ")), "error"])
+            yield frame.astype({"pick": "Int32"}) if "pick" in frame else frame
+
+    return df.select("batch_id", "ids", "reply").mapInPandas(run, f"batch_id long, id string, {columns}, error string")
+
+
+def parse_replies(df: DataFrame, areas: Areas) -> DataFrame:
+    """batch_id, ids, reply to id, topic, mode, confidence; refused rows have an error."""
+    return parse_kind(df, "verdicts", areas)
+
+
+def parse_json(df: DataFrame, areas: Areas) -> DataFrame:
+    """id, reply to id, topic, mode, confidence: the first JSON object of each reply, nulls where there is no verdict."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [verdict_json(reply or "", areas) or (None, None, None) for reply in part["reply"]]
+            yield pd.DataFrame([(i, *v) for i, v in zip(part["id"], found, strict=True)], columns=["id", "topic", "mode", "confidence"])
 
-    return df.select("batch_id", "ids", "reply").mapInPandas(run, "batch_id long, id string, topic string, mode string, confidence double, error string")
+    return df.select("id", "reply").mapInPandas(run, "id long, topic string, mode string, confidence double")

@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import classify_queries, report_queries, sequence_queries, streaming_queries, taxonomy_queries, text_queries  # noqa: F401
+    from . import classify_queries, report_queries, sequence_queries, source_queries, streaming_queries, taxonomy_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.events import table
+from ..sources.events import table, views
+from ..sources.scratch import scratch
 from ..streaming import incremental as inc
 from .catalog import register
-from .oracle import TIMELINE, sql
+from .oracle import TIMELINE, VIEWS, sql
 
 
 def swept(spark, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """The whole output of a stream that ends with its input.
+    """The whole output of a stream that ends with its input, in files of the shared folder.
 
-    Appended rows go to files; only complete aggregates are held in memory.
+    Complete aggregates overwrite their files with each batch; nothing is held by the driver.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="viewtrail-stream-")
-    own = f"{name}_{uuid.uuid4().hex}"
-    writer = df.writeStream.queryName(own).outputMode(mode).option("checkpointLocation", f"{base}/{own}").trigger(availableNow=True)
+    out, own = scratch(spark, f"{name}-out"), scratch(spark, name)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", own).trigger(availableNow=True)
     if mode == "append":
-        out = f"{base}/{own}-out"
         writer.format("parquet").option("path", out).start().awaitTermination()
-        return spark.read.schema(df.schema).parquet(out)
-    writer.format("memory").start().awaitTermination()
-    return spark.table(own)
+    else:
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
 
 
 def stream(spark, d) -> DataFrame:
@@ -58,8 +54,14 @@ def t9_stream_overlap(spark, d) -> DataFrame:
     return swept(spark, inc.overlaps(stream(spark, d)), "overlaps")
 
 
-@register("t3_waves", "SELECT viewer_id, count(*) AS views FROM (SELECT user_id // 50 AS viewer_id FROM events) GROUP BY viewer_id")
+@register("t3_waves", sql(VIEWS, "SELECT event_id, CASE WHEN k % 13 <> 0 THEN duration_s END AS duration_s, CASE WHEN k % 13 <> 0 THEN 'known' ELSE 'alone' END AS state FROM views"))
 def t3_waves(spark, d) -> DataFrame:
-    """Also T1 to T6: each wave rewrites the whole output; a sweep ends the run."""
-    counts = stream(spark, d).groupBy("viewer_id").agg(F.count("*").alias("views"))
-    return swept(spark, counts, "waves", "complete")
+    """Also T1, T2 and T4 to T6: metadata comes in files, one a batch; views wait for it, and the last wave gives up waiting."""
+    every = views(spark, d)
+    met = every.filter(F.round(F.col("confidence") * 100).cast("int") % 13 != 0).groupBy("video_id").agg(F.max("duration_s").alias("duration_s"))
+    source, out, state = scratch(spark, "wave-source"), scratch(spark, "wave-out"), scratch(spark, "wave-state")
+    met.repartition(4, "video_id").write.parquet(source)
+    facts = every.select("event_id", "video_id")
+    merge = inc.Waves(f"{state}/dimension", "video_id", met.schema, lambda known, n, last: inc.waiting_facts(facts, known, "video_id", last).write.mode("overwrite").parquet(out))
+    inc.run_waves(spark.readStream.schema(met.schema).option("maxFilesPerTrigger", 1).parquet(source), merge, f"{state}/checkpoint")
+    return spark.read.parquet(out).select("event_id", "duration_s", "state")

@@ -179,9 +179,11 @@ def k2_safe_keys(spark, d) -> DataFrame:
     return parts(spark, d).select("p_partkey", t.safe_key("p_brand").alias("safe"))
 
 
-@register("k3_csv_rows", sql(VIEWS, "SELECT video_id, channel, strftime(watched_at, '%Y-%m-%dT%H:%M:%SZ') AS watched_at, topic, area, coalesce(mode, '') AS mode, source, CASE WHEN k = 0 THEN '' ELSE printf('%.2f', CAST(confidence AS DOUBLE)) END AS confidence, duration_s, channel_id IN (SELECT channel_id FROM subs) AS subscribed, unavailable FROM views"))
+@register("k3_csv_rows", sql(VIEWS, "SELECT CASE WHEN k % 23 = 5 THEN '' ELSE video_id END AS \"videoID\", area || ' ' || event_id AS title, channel, CASE WHEN k % 23 = 7 THEN '' ELSE CAST(channel_id AS VARCHAR) END AS \"channelID\", strftime(watched_at, '%Y-%m-%dT%H:%M:%SZ') AS \"watchedAt\", topic, area, coalesce(mode, '') AS mode, source, CASE WHEN k = 0 THEN '' ELSE printf('%.2f', CAST(confidence AS DOUBLE)) END AS confidence, duration_s AS \"durationS\", k % 23 <> 7 AND channel_id IN (SELECT channel_id FROM subs) AS subscribed, unavailable FROM views"))
 def k3_csv_rows(spark, d) -> DataFrame:
     from ..operators.report import csv_rows
     from ..sources.events import subscriptions
 
-    return csv_rows(views(spark, d), subscriptions(spark, d))
+    k = F.round(F.col("confidence") * 100).cast("int")
+    rows = views(spark, d).withColumns({"title": F.concat_ws(" ", "area", "event_id"), "video_id": F.when(k % 23 != 5, F.col("video_id")), "channel_id": F.when(k % 23 != 7, F.col("channel_id"))})
+    return csv_rows(rows, subscriptions(spark, d))

@@ -81,6 +81,19 @@ def load_projection(path: str) -> list[tuple[str, str]]:
     return sorted((str(k), str(v)) for k, v in found.items())
 
 
+def _plain(text: str) -> str:
+    return " ".join(text.split())
+
+
+def _quoted(text: str) -> str:
+    """As it is where YAML reads plain words of letters, digits, dashes and slashes; else in quotes."""
+    import json
+    import re
+
+    words = re.fullmatch(r"[A-Za-z][A-Za-z0-9]*(?:[-/][A-Za-z0-9]+)*", text)
+    return text if words and text.lower() not in ("yes", "no", "on", "off", "true", "false", "null", "y", "n") else json.dumps(text, ensure_ascii=False)
+
+
 def write_projection(rows: list[tuple[str, str, int]], path: str, header: list[str] = []) -> None:  # noqa: B006
     """rows: old topic, new topic, views; the most watched parents come first."""
     parents: dict[str, int] = {}
@@ -89,8 +102,8 @@ def write_projection(rows: list[tuple[str, str, int]], path: str, header: list[s
     order = sorted(parents, key=lambda p: (-parents[p], p))
     lines = [*(f"# {h}" for h in header), "map:"]
     for parent in order:
-        lines.append(f"  # {parent}: {parents[parent]} views")
-        lines += [f"  {old}: {new}" for old, new, _ in sorted(rows) if new.split("/")[0] == parent]
+        lines.append(f"  # {_plain(parent)}: {parents[parent]} views")
+        lines += [f"  {_quoted(old)}: {_quoted(new)}" for old, new, _ in sorted(rows) if new.split("/")[0] == parent]
     own = Path(f"{path}.part")
     own.write_text("\n".join(lines) + "\n", encoding="utf-8")
     own.replace(path)

@@ -24,14 +24,41 @@ def with_backoff(call: Callable, *args, tries: int = 4, cap: int = 3, sleep: Cal
             sleep(2 ** min(k, cap))
 
 
+class Backoff:
+    """Shared between the chunks of a task: the level rises with a failure and falls with a success.
+
+    A chunk waits 2**level seconds before it is asked while the level isn't 0, so
+    that one throttled chunk slows the following ones, which then speed up step by
+    step.
+    """
+
+    def __init__(self, cap: int = 3, tries: int = 4, sleep: Callable[[float], None] = time.sleep):
+        self.level, self.cap, self.tries, self.sleep = 0, cap, tries, sleep
+
+    def __call__(self, call: Callable, *args):
+        for k in range(self.tries):
+            if self.level:
+                self.sleep(2 ** (self.level - 1))
+            try:
+                answer = call(*args)
+            except OSError:
+                self.level = min(self.level + 1, self.cap + 1)
+                if k == self.tries - 1:
+                    raise
+            else:
+                self.level = max(0, self.level - 1)
+                return answer
+
+
 def fetch_metadata(ids: DataFrame, client: Callable[[list[str]], list[dict]], chunk: int = 50, id_col: str = "video_id") -> DataFrame:
     """Metadata rows of ids, asked in chunks; duration is cut to whole seconds."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = Backoff()
         for part in parts:
             names = part[id_col].tolist()
             for at in range(0, len(names), chunk):
-                rows = with_backoff(client, names[at : at + chunk])
+                rows = ask(client, names[at : at + chunk])
                 yield pd.DataFrame([(r["id"], r.get("title", ""), int(r.get("duration") or 0), bool(r.get("unavailable")), r.get("gone_reason") or None) for r in rows], columns=["id", "title", "duration_s", "unavailable", "gone_reason"])
 
     return ids.select(id_col).mapInPandas(run, "id string, title string, duration_s int, unavailable boolean, gone_reason string")
@@ -54,3 +81,21 @@ def embed(texts: DataFrame, client: Callable[[list[str]], list[dict]], batch: in
                 yield pd.DataFrame({"key": mine[key_col].tolist(), "vec": vectors})
 
     return texts.select(key_col, text_col).mapInPandas(run, "key string, vec array<float>")
+
+
+def chat(prompts: DataFrame, client: Callable[[str, str, int], str], most_tokens: int = 1024) -> DataFrame:
+    """key, system, user to key, reply; a client takes (system, user, most tokens)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = Backoff()
+        for part in parts:
+            replies = [ask(client, s, u, most_tokens) for s, u in zip(part["system"], part["user"], strict=True)]
+            yield pd.DataFrame({"key": part["key"], "reply": replies})
+
+    return prompts.select("key", "system", "user").mapInPandas(run, "key string, reply string")
+
+
+def missing_models(client: Callable[[], list[str]], wanted: list[str]) -> list[str]:
+    """The wanted models that a service doesn't offer."""
+    offered = set(with_backoff(client))
+    return [m for m in wanted if m not in offered]

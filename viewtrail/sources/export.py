@@ -118,10 +118,93 @@ def write_csv(df: DataFrame, path: str, provenance: str | None = None) -> None:
         df.sparkSession.createDataFrame([(f"# {provenance}",)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.comment")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The keyed table after an update: new rows win; unsafe keys are refused."""
-    safe = new.filter(t.safe_key(key))
-    return old.join(safe.select(key), key, "left_anti").unionByName(safe, allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The keyed table after an update: a row a key, new rows before old ones.
+
+    Of new rows that repeat a key the greatest by ``order`` stays, without one
+    any. An unsafe key is refused: the job fails and names it.
+    """
+    checked = new.withColumn(key, F.when(t.safe_key(key), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("an unsafe key: "), F.coalesce(F.col(key), F.lit("null"))))))
+    row = F.struct(*(F.col(c) for c in checked.columns))
+    pick = F.max_by(row, order) if order else F.first(row)
+    last = checked.groupBy(key).agg(pick.alias("_row")).select("_row.*")
+    return old.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
+
+
+def write_keyed(df: DataFrame, folder: str, key: str) -> DataFrame:
+    """One JSON file a row, named by its key; returns (key, path) of what was written.
+
+    Each file is written beside its place and moved there, so that it appears
+    whole or not at all, and a repeated task leaves the same files. An unsafe key
+    is refused. Nothing is written before the result is read.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs as af
+
+        for part in parts:
+            paths = []
+            for name, body in zip(part["key"], part["body"], strict=True):
+                fs, at = (af.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if folder.startswith(("/", "file:")) else af.FileSystem.from_uri(folder)
+                fs.create_dir(at, recursive=True)
+                own = f"{at}/.{name}.{uuid.uuid4().hex}.part"
+                with fs.open_output_stream(own) as out:
+                    out.write(body.encode("utf-8"))
+                fs.move(own, f"{at}/{name}.json")
+                paths.append(f"{at}/{name}.json")
+            yield pd.DataFrame({"key": part["key"], "path": paths})
+
+    safe = F.when(t.safe_key(key), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("an unsafe key: "), F.coalesce(F.col(key), F.lit("null")))))
+    return df.select(safe.alias("key"), F.to_json(F.struct(*df.columns)).alias("body")).mapInPandas(run, "key string, path string")
+
+
+def read_unseen(spark: SparkSession, folder: str, schema: str, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, seen now) of a folder of keyed files: only those whose path isn't seen.
+
+    A file that can't be decoded gives no row and isn't marked, so that the next
+    scan tries it again.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    new = files.select("path", F.decode("content", "UTF-8").alias("body")).join(seen.select("path"), "path", "left_anti")
+    bad = "_bad STRING"
+    read = new.select("path", F.from_json("body", f"{schema}, {bad}", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("row"))
+    whole = read.filter(F.col("row").isNotNull() & F.col("row._bad").isNull())
+    return whole.select("path", "row.*").drop("_bad"), seen.select("path").unionByName(whole.select("path"))
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path under the root, modified) of all files, from the file system's listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime")
+    base = root.rstrip("/").removeprefix("file:").lstrip("/")
+    return files.select(F.regexp_replace("path", f"^[a-z]*:/*{base}/", "").alias("path"), F.col("modificationTime").alias("modified"))
+
+
+def candidates(files: DataFrame, depth: int = 4) -> DataFrame:
+    """Adds kind and export: the files that are histories or subscriptions, not too deep and in no skipped folder."""
+    parts = F.split("path", "/")
+    name = F.lower(F.element_at(parts, -1))
+    kind = F.when(name.isin(*HISTORY_NAMES), "history").when(name.isin(*SUBSCRIPTION_NAMES), "subscriptions")
+    skipped = F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, SKIPPED_FOLDERS)))
+    own = files.withColumns({"kind": kind, "export": F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise("")})
+    return own.filter(F.col("kind").isNotNull() & (F.size(parts) <= depth) & ~skipped)
+
+
+def chosen(files: DataFrame) -> DataFrame:
+    """One row (history, subscriptions, exports): the newest of each kind, the first path on ties.
+
+    With histories of several exports both files come from one of them.
+    """
+    found, newest_first = candidates(files), F.struct((-F.unix_micros("modified")).alias("age"), "path")
+    of = lambda kind: found.filter(F.col("kind") == kind)
+    history = of("history").agg(F.min_by(F.struct("path", "export"), newest_first).alias("h"), F.count_distinct("export").alias("exports"))
+    fit = (F.coalesce(F.col("exports"), F.lit(0)) <= 1) | (F.col("export") == F.col("h.export"))
+    subs = of("subscriptions").crossJoin(F.broadcast(history)).filter(fit).agg(F.min_by("path", newest_first).alias("subscriptions"))  # history: one row
+    return history.crossJoin(subs).select(F.col("h.path").alias("history"), "subscriptions", "exports")
 
 
 def append_log(path: str, **event) -> None:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.sequence import BACKGROUND_S, SESSION_GAP_S
 
@@ -43,22 +47,64 @@ def overlaps(events: DataFrame, gap_s: int = SESSION_GAP_S, least_s: int = BACKG
     return events.groupBy("viewer_id").applyInPandasWithState(step, "event_id long, overlap boolean", "last long, end long, area string, length long", "append", GroupStateTimeout.NoTimeout)
 
 
-def waves(source: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = 60):
-    """Starts a query that hands each wave of new rows to merge(batch, number).
+@dataclass
+class Waves:
+    """A merge of micro-batches into a dimension, and waves that compute the whole output anew.
 
-    Without seconds it sweeps up what there is and ends. What was read is kept in
-    the checkpoint, so an interrupted run goes on where it stood.
+    Each batch is a folder of its own, overwritten if the batch is repeated, so
+    that a dimension row counts once; of rows of one key the last batch's stays.
+    A wave runs when enough rows have come, or enough time has gone, since the
+    one before. ``recompute(dimension, number, last)`` rewrites the output.
     """
-    writer = source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
-
 
-def wave_of(dimension: Callable[[], DataFrame], facts: DataFrame, key: str, sink: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A merge that rewrites the output: facts wait for rows of the dimension."""
+    folder: str
+    key: str
+    schema: StructType
+    recompute: Callable[[DataFrame, int, bool], None]
+    least: int = 200
+    every_s: float = 60.0
+    clock: Callable[[], float] = time.monotonic
+
+    def __post_init__(self):
+        self.pending, self.number, self.at = 0, 0, self.clock()
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark, path = batch.sparkSession, f"{self.folder}/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        self.pending += spark.read.schema(self.schema).parquet(path).count()
+        if self.pending >= self.least or self.clock() - self.at >= self.every_s:
+            self.wave(spark)
+
+    def dimension(self, spark: SparkSession) -> DataFrame:
+        rows = F.struct(*self.schema.names)
+        every = spark.read.schema(StructType([*self.schema.fields]).add("batch", "long"))
+        try:
+            held = every.option("basePath", self.folder).parquet(f"{self.folder}/batch=*")
+        except AnalysisException:  # nothing has come yet
+            return spark.createDataFrame([], self.schema)
+        return held.groupBy(self.key).agg(F.max_by(rows, "batch").alias("_row")).select("_row.*")
+
+    def wave(self, spark: SparkSession, last: bool = False) -> None:
+        self.number += 1
+        self.recompute(self.dimension(spark), self.number, last)
+        self.pending, self.at = 0, self.clock()
+
+
+def run_waves(source: DataFrame, merge: Waves, checkpoint: str, seconds: int | None = None) -> None:
+    """A wave over what earlier runs left, waves while rows come, and a last one.
+
+    Without seconds what there is is swept up; with them the source is asked so
+    often until the query is stopped. What was read is kept in the checkpoint, so
+    that an interrupted run goes on where it stood.
+    """
+    spark = source.sparkSession
+    merge.wave(spark)
+    writer = source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start().awaitTermination()
+    merge.wave(spark, last=True)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        known = dimension()
-        every = known.unionByName(batch, allowMissingColumns=True).dropDuplicates([key])
-        sink(facts.join(every, key, "left"))
 
-    return merge
+def waiting_facts(facts: DataFrame, dimension: DataFrame, key: str, last: bool) -> DataFrame:
+    """Facts beside their dimension row and state: known, waiting, or alone after the last wave."""
+    joined = facts.join(dimension.withColumn("_hit", F.lit(True)), key, "left")
+    return joined.withColumn("state", F.when(F.col("_hit"), "known").otherwise("alone" if last else "waiting")).drop("_hit")
