@@ -27,8 +27,9 @@ def test_hand_countable_path(spark):
     found, sessions = q.chains(t), q.sessions(t)
     assert t.count() == 10 and t.filter("overlap").count() == 1 and sessions.count() == 3
     assert [(r["len"], r["area"]) for r in found.collect()] == [(4, "sports")]
-    h = q.headline(t, found, q.days(t)).first()
+    h = q.headline(t).first()
     assert (h["longest_views"], h["deepest_chain"], str(h["busiest_day"]), h["busiest_views"], h["duration_s"]) == (5, 4, "2026-07-01", 7, 7700)
+    assert (h["deepest_session"], h["deepest_started"], h["chain_views"]) == (2, BASE + timedelta(minutes=60), 4)
 
 
 @pytest.mark.parametrize(("minutes", "sessions"), [(29, 1), (30, 1), (31, 2)])
@@ -79,3 +80,18 @@ def test_order_of_rows_does_not_matter(spark):
     a = q.timeline(rows(spark, PATH)).select("event_id", "session_no", "edge", "overlap").collect()
     b = q.timeline(rows(spark, PATH).repartition(3, "event_id")).select("event_id", "session_no", "edge", "overlap").collect()
     assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_rankings_take_the_newest_of_equals(spark):
+    found = q.chains(q.timeline(rows(spark, [(day * 1440 + i * 5, "ab"[day % 2], 60) for day in range(3) for i in range(4)])))
+    order = [r["session_no"] for r in q.ranked(found, "depth", q.CHAIN_KEYS, "started").collect()]
+    assert order == [3, 2, 1] and [r["session_no"] for r in q.ranked(found, "date", q.CHAIN_KEYS, "started", 1, "a").collect()] == [3]
+    with pytest.raises(KeyError):
+        q.ranked(found, "nothing", q.CHAIN_KEYS, "started")
+
+
+def test_rows_of_one_viewer_scanned_apart_or_together(spark):
+    s = q.mark_edges(q.sessionize(rows(spark, PATH)))
+    columns = ["event_id", *(c for c, _, _ in q.SCANNED)]
+    a, b = (sorted(map(str, q.scan_sessions(s, together=t).select(*columns).collect())) for t in (True, False))
+    assert a == b and len(a) == 10

@@ -1,18 +1,20 @@
 """Sequence operators over viewing timelines.
 
-Every window has the same partition and order keys, so that consecutive
-operators share one shuffle and one sort. Gaps and lengths are whole seconds.
-Rows without a time take no part. Times are read on the session's wall clock.
+All windows over single views are partitioned by the viewer, or by more than
+that, so that they share one shuffle; what depends on earlier answers is scanned
+in the same tasks. Aggregates go from chains to days to viewers, so that rows are
+summed before they are shuffled. Gaps and lengths are whole seconds. Rows without
+a time take no part. Times are read on the session's wall clock.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructType
+from pyspark.sql.types import StructType
 
 SESSION_GAP_S, CHAIN_GAP_S, CHAIN_LEAST, BACKGROUND_S = 30 * 60, 15 * 60, 4, 1200
 NIGHT_FROM, NIGHT_TO = 23, 5
@@ -49,36 +51,62 @@ def mark_edges(rows: DataFrame) -> DataFrame:
     return rows.withColumn("gap_s", F.floor((_us(after) - _us("watched_at")) / 1_000_000).cast("long")).withColumn("edge", edge)
 
 
-def mark_overlaps(rows: DataFrame, least_s: int = BACKGROUND_S) -> DataFrame:
-    """Adds overlap: the row runs beside the last row that doesn't.
+#: What the scan of a session adds to its rows, in Spark's and Arrow's types.
+SCANNED = [("overlap", "boolean", pa.bool_()), ("place", "integer", pa.int32()), ("session_start", "timestamp", pa.timestamp("us", "UTC")), ("area_before", "string", pa.string()), ("chain_no", "integer", pa.int32()), ("seconds", "long", pa.int64())]
 
-    Whether a row overlaps depends on earlier answers, which no window function
-    can express. The session's rows are sorted in their partition and scanned
-    once; only the last main-lane row is held, so a session of any length fits.
+
+def scan_sessions(rows: DataFrame, least_s: int = BACKGROUND_S, chain_gap_s: int = CHAIN_GAP_S, together: bool = False) -> DataFrame:
+    """Adds overlap, place, session_start, area_before, chain_no and seconds.
+
+    A row overlaps if it runs beside the last row that doesn't, which depends on
+    earlier answers and can't be said by a window function. A main-lane row goes
+    on with the island of the last main-lane row before it, or begins one where
+    the area or too long a gap breaks it; rows beside the main lane stand in the
+    island they run in. ``seconds`` is the running sum of lengths. The session's
+    rows are sorted in their partition and scanned once; only one row's state is
+    held, so a session of any length fits. ``together``: the rows of a session
+    are in one partition already.
     """
-    schema = StructType([*rows.schema.fields]).add("overlap", BooleanType())
-
-    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, end, area, long = None, 0, None, False
-        for part in parts:
-            out = []
-            starts = part["watched_at"].astype("datetime64[us]").astype("int64").tolist()
-            lengths = part["duration_s"].fillna(0).astype("int64").tolist()
-            for who, number, start, length, topic in zip(part["viewer_id"].tolist(), part["session_no"].tolist(), starts, lengths, part["area"].tolist(), strict=True):
-                beside = session == (who, number) and long and start < end and topic != area
-                out.append(beside)
+    schema = StructType([*rows.schema.fields])
+    for name, kind, _ in SCANNED:
+        schema = schema.add(name, kind)
+    at = {c: rows.columns.index(c) for c in (*SESSION, "watched_at", "duration_s", "area")}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session = None
+        start = end = last = place = chain = total = 0
+        area, long = None, False
+        for batch in batches:
+            column = lambda c: batch.column(at[c])  # noqa: B023, E731
+            out = [], [], [], [], [], []
+            times = column("watched_at").cast(pa.int64()).to_pylist()
+            for viewer, number, t, length, topic in zip(column("viewer_id").to_pylist(), column("session_no").to_pylist(), times, column("duration_s").to_pylist(), column("area").to_pylist(), strict=True):
+                length = int(length or 0)
+                if session != (viewer, number):
+                    session, start, place, chain, total, beside, before, area = (viewer, number), t, 0, 0, 0, False, None, None
+                else:
+                    beside, before = long and t < end and topic != area, area
+                place, total = place + 1, total + length
                 if not beside:
-                    session, end, area, long = (who, number), start + length * 1_000_000, topic, length >= least_s
-            yield part.assign(overlap=out)
+                    if chain == 0 or topic != area or t - last > chain_gap_s * 1_000_000:
+                        chain += 1
+                    end, last, area, long = t + length * 1_000_000, t, topic, length >= least_s
+                for values, value in zip(out, (beside, place, start, before, chain, total), strict=True):
+                    values.append(value)
+            added = [pa.array(values, kind) for values, (_, _, kind) in zip(out, SCANNED, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema=pa.schema([*batch.schema, *((name, kind) for name, _, kind in SCANNED)]))
 
-    ordered = rows.repartition(*SESSION).sortWithinPartitions(*SESSION, "watched_at", "event_id")
-    return ordered.mapInPandas(scan, schema)
+    own = rows if together else rows.repartition(*SESSION)
+    return own.sortWithinPartitions(*SESSION, "watched_at", "event_id").mapInArrow(scan, schema)
 
 
-def timeline(views: DataFrame) -> DataFrame:
-    """Sessions, edges and overlaps of all views, and each row's place."""
-    rows = mark_overlaps(mark_edges(sessionize(views)))
-    return rows.withColumn("place", F.row_number().over(_within(*SESSION)))
+def timeline(views: DataFrame, chain_gap_s: int = CHAIN_GAP_S) -> DataFrame:
+    """All dated views with session, edge, first view of a channel, and what the scan adds."""
+    rows = sessionize(views)
+    if "channel_id" in views.columns:
+        first = F.row_number().over(_within("viewer_id", "channel_id")) == 1
+        rows = rows.withColumn("new_channel", F.col("channel_id").isNotNull() & first)
+    return scan_sessions(mark_edges(rows), chain_gap_s=chain_gap_s, together=True)
 
 
 def main_lane(rows: DataFrame) -> DataFrame:
@@ -94,41 +122,49 @@ def sessions(rows: DataFrame) -> DataFrame:
     return each.withColumn("gap_before_s", F.coalesce(gap, F.lit(0))).withColumn("ordinal", newest - 1)
 
 
-def marked_chains(rows: DataFrame, gap_s: int = CHAIN_GAP_S) -> DataFrame:
-    """All rows with chain_no, area_before, chain_len and seconds up to here.
-
-    A main-lane row is compared with the last main-lane row before it; rows
-    beside the main lane carry the island that they stand in. One partitioning
-    and order serves all of it.
-    """
-    w = _within(*SESSION)
-    before_here, lane = w.rowsBetween(Window.unboundedPreceding, -1), ~F.col("overlap")
-    last = lambda c: F.last(F.when(lane, F.col(c)), ignorenulls=True).over(before_here)
-    before, area = last("watched_at"), last("area")
-    breaks = F.when(lane & (before.isNull() | ~area.eqNullSafe(F.col("area")) | (_us("watched_at") - _us(before) > gap_s * 1_000_000)), 1).otherwise(0)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("area_before", area).withColumn("_break", breaks).withColumn("seconds", F.sum("duration_s").over(so_far))
-    marked = marked.withColumn("chain_no", F.sum("_break").over(so_far)).drop("_break")
-    return marked.withColumn("chain_len", F.sum(F.when(lane, 1).otherwise(0)).over(Window.partitionBy(*SESSION, "chain_no")))
-
-
-def chains(rows: DataFrame, gap_s: int = CHAIN_GAP_S, least: int = CHAIN_LEAST) -> DataFrame:
+def chains(rows: DataFrame, least: int = CHAIN_LEAST) -> DataFrame:
     """Runs of one area: ordinal, len, area, span_s, duration_s, door, place range.
 
     Lengths count main-lane rows; the duration sums all rows of the range, as a
     difference of running sums.
     """
-    found = main_lane(marked_chains(rows, gap_s)).filter(F.col("chain_len") >= least)
-    edged = F.when(F.col("edge").isNotNull(), F.col("place"))
-    each = found.groupBy(*SESSION, "chain_no").agg(
+    edged, length = F.when(F.col("edge").isNotNull(), F.col("place")), F.coalesce("duration_s", F.lit(0))
+    each = main_lane(rows).groupBy(*SESSION, "chain_no").agg(
         F.count("*").alias("len"), F.first("area").alias("area"), F.min("place").alias("first_place"), F.max("place").alias("last_place"),
         F.min("watched_at").alias("started"), F.max("watched_at").alias("ended"), F.min_by("area_before", "place").alias("door"),
         F.count_distinct("channel_id").alias("channels"), F.count_if(F.col("edge") == "through").alias("held"), F.count("edge").alias("edged"),
-        F.max_by("edge", edged).alias("exit_edge"), (F.max_by("seconds", "place") - F.min_by(F.col("seconds") - F.col("duration_s"), "place")).alias("duration_s"),
+        F.max_by("edge", edged).alias("exit_edge"), (F.max_by("seconds", "place") - F.min_by(F.col("seconds") - length, "place")).alias("duration_s"),
     )
     ordinal = F.row_number().over(Window.partitionBy(*SESSION).orderBy("chain_no"))
     span = F.floor((_us("ended") - _us("started")) / 1_000_000).cast("long")
-    return each.withColumn("span_s", span).withColumn("ordinal", ordinal)
+    return each.filter(F.col("len") >= least).withColumn("span_s", span).withColumn("ordinal", ordinal)
+
+
+#: What chains are ranked by; newest first on ties.
+CHAIN_KEYS = {"depth": "len", "span": "span_s", "hours": "duration_s", "channels": "channels", "held": "CASE WHEN edged > 0 THEN held / edged ELSE -1 END", "date": "0"}
+#: The same of days.
+DAY_KEYS = {
+    "peak": "peak", "views": "views", "chain": "chain_max", "night": "CASE WHEN views > 0 THEN night_views / views ELSE 0 END", "hours": "duration_s",
+    "areas": "areas", "held": "CASE WHEN edged > 0 THEN through / edged ELSE -1 END", "new": "new_channels", "date": "epoch_day",
+}
+
+
+def ranked(found: DataFrame, key: str, keys: dict[str, str], newest: str, k: int | None = None, area: str | None = None) -> DataFrame:
+    """Chains or days by a key, the newest first on ties, of one area or of all; ``by`` is the key's value."""
+    own = (found if area is None else found.filter(F.col("area") == area)).withColumn("by", F.expr(keys[key]).cast("double"))
+    own = own.orderBy(F.col("by").desc(), F.col(newest).desc(), "viewer_id")
+    return own if k is None else own.limit(k)
+
+
+def _chain_sums(rows: DataFrame) -> DataFrame:
+    """A row per viewer, day of the session's start, session and island."""
+    lane = ~F.col("overlap")
+    count = lambda c: F.count_if(lane & c)
+    fresh = F.count_if("new_channel") if "new_channel" in rows.columns else F.lit(0).cast("long")
+    return rows.groupBy("viewer_id", F.date_format("session_start", "yyyy-MM-dd").alias("day"), "session_no", "chain_no").agg(
+        F.count("*").alias("views"), F.count_if(lane).alias("len"), F.min_by("area", "place").alias("area"), F.sum("duration_s").alias("duration_s"), F.min("watched_at").alias("started"), F.count_if(F.col("place") == 1).alias("sessions"),
+        count(is_night("watched_at")).alias("night_views"), count(F.col("edge") == "through").alias("through"), count(F.col("edge").isNotNull()).alias("edged"), fresh.alias("new_channels"),
+    )
 
 
 def dominant(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -138,15 +174,14 @@ def dominant(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFra
 
 def days(rows: DataFrame, least: int = CHAIN_LEAST) -> DataFrame:
     """A row per viewer and day on which a session began; all its views count there."""
-    first = F.row_number().over(Window.partitionBy("viewer_id", "channel_id").orderBy("watched_at", "event_id")) == 1
-    start = F.min("watched_at").over(Window.partitionBy(*SESSION))
-    placed = marked_chains(rows).withColumn("day", F.date_format(start, "yyyy-MM-dd")).withColumn("new_channel", F.col("channel_id").isNotNull() & first)
-    lane, deep = ~F.col("overlap"), F.col("chain_len") >= least
-    count = lambda c: F.count_if(lane & c)
-    each = placed.groupBy("viewer_id", "day").agg(
-        F.count("*").alias("views"), F.sum("duration_s").alias("duration_s"), F.count_distinct("session_no").alias("sessions"), F.min("session_no").alias("session_from"), F.max("session_no").alias("session_to"),
-        F.mode(F.when(lane, F.col("area")), deterministic=True).alias("area"), F.count_distinct(F.when(lane, F.col("area"))).alias("areas"), count(deep).alias("chain_views"), F.coalesce(F.max(F.when(lane & deep, F.col("chain_len"))), F.lit(0)).alias("chain_max"), count(is_night("watched_at")).alias("night_views"),
-        count(F.col("edge") == "through").alias("through"), count(F.col("edge").isNotNull()).alias("edged"), F.count_if("new_channel").alias("new_channels"),
+    deep = F.when(F.col("len") >= least, F.col("len"))
+    sums = ("views", "duration_s", "sessions", "night_views", "through", "edged", "new_channels")
+    by_area = _chain_sums(rows).repartition("viewer_id", "day").groupBy("viewer_id", "day", "area").agg(
+        F.sum("len").alias("_lane"), F.coalesce(F.sum(deep), F.lit(0)).alias("chain_views"), F.max(deep).alias("chain_max"), F.min("session_no").alias("session_from"), F.max("session_no").alias("session_to"), *(F.sum(c).alias(c) for c in sums)
+    )
+    each = by_area.groupBy("viewer_id", "day").agg(
+        F.min_by("area", F.struct((-F.col("_lane")).alias("n"), "area")).alias("area"), F.count_if((F.col("_lane") > 0) & F.col("area").isNotNull()).alias("areas"), F.sum("chain_views").alias("chain_views"), F.coalesce(F.max("chain_max"), F.lit(0)).alias("chain_max"),
+        F.min("session_from").alias("session_from"), F.max("session_to").alias("session_to"), *(F.sum(c).alias(c) for c in sums),
     )
     return each.withColumn("epoch_day", F.unix_date(F.to_date("day")))
 
@@ -169,10 +204,9 @@ def peaks(found: DataFrame) -> DataFrame:
 
 def transitions(rows: DataFrame) -> DataFrame:
     """(viewer_id, from_area, to_area, n, days): main-lane steps inside sessions."""
-    w = _within(*SESSION)
-    start = F.min("watched_at").over(Window.partitionBy(*SESSION))
-    steps = main_lane(rows.withColumn("day", F.date_format(start, "yyyy-MM-dd"))).withColumn("from_area", F.lag("area").over(w)).withColumn("first", F.row_number().over(w) == 1)
-    return steps.filter(~F.col("first")).groupBy("viewer_id", "from_area", F.col("area").alias("to_area")).agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"))
+    steps = main_lane(rows).filter(F.col("place") > 1).withColumn("day", F.date_format("session_start", "yyyy-MM-dd"))
+    each = steps.groupBy("viewer_id", F.col("area_before").alias("from_area"), F.col("area").alias("to_area"), "day").agg(F.count("*").alias("n"))
+    return each.groupBy("viewer_id", "from_area", "to_area").agg(F.sum("n").alias("n"), F.count("*").alias("days"))
 
 
 def positions(rows: DataFrame) -> DataFrame:
@@ -205,15 +239,23 @@ def session_areas(rows: DataFrame) -> DataFrame:
     return each.withColumn("rank", F.row_number().over(w))
 
 
-def headline(rows: DataFrame, found: DataFrame, per_day: DataFrame) -> DataFrame:
-    """One row per viewer: totals, longest session, deepest chain, busiest day."""
-    s = sessions(rows)
-    totals = rows.groupBy("viewer_id").agg(F.count("*").alias("views"), F.count_distinct("session_no").alias("sessions"), F.count_if("overlap").alias("overlap_views"), F.sum("duration_s").alias("duration_s"))
-    longest = s.groupBy("viewer_id").agg(F.max_by(F.struct("session_no", "views"), F.struct("views", "session_no")).alias("l"))
-    deepest = found.groupBy("viewer_id").agg(F.max("len").alias("deepest_chain"), F.sum("len").alias("chain_views"))
-    busiest = per_day.groupBy("viewer_id").agg(F.max_by(F.struct("day", "views"), F.struct("views", "day")).alias("b"))
-    out = totals.join(longest, "viewer_id").join(deepest, "viewer_id", "left").join(busiest, "viewer_id")
-    return out.select("viewer_id", "views", "sessions", "overlap_views", "duration_s", F.col("l.session_no").alias("longest_session"), F.col("l.views").alias("longest_views"), F.coalesce("deepest_chain", F.lit(0)).alias("deepest_chain"), F.coalesce("chain_views", F.lit(0)).alias("chain_views"), F.col("b.day").alias("busiest_day"), F.col("b.views").alias("busiest_views"))
+def headline(rows: DataFrame, least: int = CHAIN_LEAST) -> DataFrame:
+    """One row per viewer: totals, longest session, deepest chain, busiest day; the newest on ties.
+
+    One pass over the timeline: islands, sessions, days and viewers are summed in turn.
+    """
+    deep = F.col("len") >= least
+    at = F.struct("len", "started", "session_no")
+    session = _chain_sums(rows).repartition("viewer_id").groupBy("viewer_id", "day", "session_no").agg(
+        F.sum("views").alias("views"), F.sum(F.col("views") - F.col("len")).alias("overlap_views"), F.sum("duration_s").alias("duration_s"), F.max(F.when(deep, at)).alias("deepest"), F.sum(F.when(deep, F.col("len"))).alias("chain_views")
+    )
+    own = [F.sum(c).alias(c) for c in ("overlap_views", "duration_s", "chain_views")]
+    day = session.groupBy("viewer_id", "day").agg(F.sum("views").alias("views"), F.count("*").alias("sessions"), F.max(F.struct("views", "session_no")).alias("longest"), F.max("deepest").alias("deepest"), *own)
+    out = day.groupBy("viewer_id").agg(F.sum("views").alias("views"), F.sum("sessions").alias("sessions"), F.max("longest").alias("l"), F.max("deepest").alias("d"), F.max(F.struct("views", "day")).alias("b"), *own)
+    return out.select(
+        "viewer_id", "views", "sessions", "overlap_views", "duration_s", F.col("l.session_no").alias("longest_session"), F.col("l.views").alias("longest_views"), F.coalesce("d.len", F.lit(0)).alias("deepest_chain"), F.col("d.session_no").alias("deepest_session"), F.col("d.started").alias("deepest_started"),
+        F.coalesce("chain_views", F.lit(0)).alias("chain_views"), F.col("b.day").alias("busiest_day"), F.col("b.views").alias("busiest_views"),
+    )
 
 
 def neighbourhood(found: DataFrame, reach: int = 10) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import sequence as q
 from ..sources.events import views
+from ..sources.scratch import scratch
 from .catalog import register
 from .oracle import CHAINS, DAYS, SESSIONS, TIMELINE, VIEWS, sql
 
@@ -78,13 +81,21 @@ def a30_chain_depths(spark, d) -> DataFrame:
     return q.chains(q.timeline(views(spark, d))).groupBy("len").agg(F.count("*").alias("chains"))
 
 
-@register("o7_chain_ranking", sql(CHAINS, "SELECT viewer_id, start_us, len, span_s, CAST(row_number() OVER (ORDER BY len DESC, span_s DESC, start_us DESC, viewer_id) AS INTEGER) AS rank FROM chains QUALIFY rank <= 60"))
+#: Values of the keys, as in the operators, for whole and for shared numbers alike.
+CHAIN_SQL = {"depth": "len", "span": "span_s", "hours": "duration_s", "channels": "channels", "held": "CASE WHEN edged > 0 THEN held / edged ELSE -1 END", "date": "0"}
+
+
+@register("o7_chain_ranking", sql(CHAINS, "SELECT * FROM (" + " UNION ALL ".join(f"(SELECT '{k}' AS key, viewer_id, start_us, len, area, round(CAST({v} AS DOUBLE), 6) AS value, CAST(row_number() OVER (ORDER BY CAST({v} AS DOUBLE) DESC, start_us DESC, viewer_id) AS INTEGER) AS rank FROM chains QUALIFY rank <= 60)" for k, v in CHAIN_SQL.items()) + " UNION ALL (SELECT 'click', viewer_id, start_us, len, area, CAST(len AS DOUBLE), CAST(row_number() OVER (ORDER BY len DESC, start_us DESC, viewer_id) AS INTEGER) AS rank FROM chains WHERE area = 'click' QUALIFY rank <= 60))"))
 def o7_chain_ranking(spark, d) -> DataFrame:
-    """The 60 deepest chains; also O11, the choice of chains to name."""
-    c = q.chains(q.timeline(views(spark, d))).select("viewer_id", US("started").alias("start_us"), "len", "span_s")
-    top = c.orderBy(F.col("len").desc(), F.col("span_s").desc(), F.col("start_us").desc(), "viewer_id").limit(60)
-    w = Window.orderBy(F.col("len").desc(), F.col("span_s").desc(), F.col("start_us").desc(), "viewer_id")
-    return top.withColumn("rank", F.row_number().over(w))  # of 60 rows
+    """The first 60 by each key, and of one area by depth; also O11, the choice of chains to name."""
+    folder = scratch(spark, "chains")
+    q.chains(q.timeline(views(spark, d))).write.parquet(folder)
+    c, out = spark.read.parquet(folder), []
+    for name, key, area in [*((k, k, None) for k in q.CHAIN_KEYS), ("click", "depth", "click")]:
+        top = q.ranked(c, key, q.CHAIN_KEYS, "started", 60, area)
+        w = Window.orderBy(F.col("by").desc(), F.col("started").desc(), "viewer_id")  # of 60 rows
+        out.append(top.select(F.lit(name).alias("key"), "viewer_id", US("started").alias("start_us"), "len", "area", F.round("by", 6).alias("value"), F.row_number().over(w).alias("rank")))
+    return reduce(DataFrame.unionByName, out)
 
 
 DAY_COLUMNS = ["viewer_id", "day", "epoch_day", "views", "duration_s", "sessions", "session_from", "session_to", "area", "areas", "chain_views", "chain_max", "night_views", "through", "edged", "new_channels"]
@@ -97,11 +108,14 @@ def a17_days(spark, d) -> DataFrame:
     return q.days(q.timeline(views(spark, d))).select(*DAY_COLUMNS).orderBy("viewer_id", "day")
 
 
-@register("w8_peaks", sql(DAYS, """, r AS (SELECT viewer_id, day,
+PEAKED = """, r AS (SELECT *,
   (rank() OVER (PARTITION BY viewer_id ORDER BY views) - 1) * 1000 // count(*) OVER v AS pv, (rank() OVER (PARTITION BY viewer_id ORDER BY chain_max) - 1) * 1000 // count(*) OVER v AS pc,
   (rank() OVER (PARTITION BY viewer_id ORDER BY CASE WHEN views = 0 THEN 0 ELSE CAST(night_views AS DOUBLE) / views END) - 1) * 1000 // count(*) OVER v AS pn,
-  (rank() OVER (PARTITION BY viewer_id ORDER BY areas) - 1) * 1000 // count(*) OVER v AS pa FROM days WINDOW v AS (PARTITION BY viewer_id))
-SELECT viewer_id, day, CAST(greatest(pv, pc, pn, pa) AS INTEGER) AS peak, CASE WHEN greatest(pv, pc, pn, pa) = 0 THEN NULL WHEN pv = greatest(pv, pc, pn, pa) THEN 'views' WHEN pc = greatest(pv, pc, pn, pa) THEN 'chain' WHEN pn = greatest(pv, pc, pn, pa) THEN 'night' ELSE 'areas' END AS peak_axis FROM r"""))
+  (rank() OVER (PARTITION BY viewer_id ORDER BY areas) - 1) * 1000 // count(*) OVER v AS pa FROM days WINDOW v AS (PARTITION BY viewer_id)),
+peaked AS (SELECT *, CAST(greatest(pv, pc, pn, pa) AS INTEGER) AS peak, CASE WHEN greatest(pv, pc, pn, pa) = 0 THEN NULL WHEN pv = greatest(pv, pc, pn, pa) THEN 'views' WHEN pc = greatest(pv, pc, pn, pa) THEN 'chain' WHEN pn = greatest(pv, pc, pn, pa) THEN 'night' ELSE 'areas' END AS peak_axis FROM r)"""
+
+
+@register("w8_peaks", sql(DAYS, PEAKED + " SELECT viewer_id, day, peak, peak_axis FROM peaked"))
 def w8_peaks(spark, d) -> DataFrame:
     return q.peaks(q.days(q.timeline(views(spark, d)))).select("viewer_id", "day", "peak", "peak_axis")
 
@@ -122,13 +136,12 @@ def o6_top_transitions(spark, d) -> DataFrame:
 ls AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY viewer_id ORDER BY n DESC, session_no DESC) = 1),
 bd AS (SELECT viewer_id, day, views FROM days QUALIFY row_number() OVER (PARTITION BY viewer_id ORDER BY views DESC, day DESC) = 1),
 dp AS (SELECT viewer_id, max(len) AS m, sum(len) AS c FROM chains GROUP BY viewer_id),
+de AS (SELECT viewer_id, session_no, start_us FROM chains QUALIFY row_number() OVER (PARTITION BY viewer_id ORDER BY len DESC, start_us DESC, session_no DESC) = 1),
 tt AS (SELECT viewer_id, count(*) AS views, count(DISTINCT session_no) AS sessions, count(*) FILTER (WHERE overlap) AS overlap_views, sum(duration_s) AS duration_s FROM t GROUP BY viewer_id)
-SELECT tt.viewer_id, tt.views, sessions, overlap_views, CAST(duration_s AS BIGINT) AS duration_s, CAST(ls.session_no AS BIGINT) AS longest_session, ls.n AS longest_views, coalesce(dp.m, 0) AS deepest_chain, CAST(coalesce(dp.c, 0) AS BIGINT) AS chain_views, bd.day AS busiest_day, bd.views AS busiest_views
-FROM tt JOIN ls USING (viewer_id) LEFT JOIN dp USING (viewer_id) JOIN bd ON bd.viewer_id = tt.viewer_id"""))
+SELECT tt.viewer_id, tt.views, sessions, overlap_views, CAST(duration_s AS BIGINT) AS duration_s, CAST(ls.session_no AS BIGINT) AS longest_session, ls.n AS longest_views, coalesce(dp.m, 0) AS deepest_chain, CAST(de.session_no AS BIGINT) AS deepest_session, de.start_us AS deepest_start_us, CAST(coalesce(dp.c, 0) AS BIGINT) AS chain_views, bd.day AS busiest_day, bd.views AS busiest_views
+FROM tt JOIN ls USING (viewer_id) LEFT JOIN dp USING (viewer_id) LEFT JOIN de ON de.viewer_id = tt.viewer_id JOIN bd ON bd.viewer_id = tt.viewer_id"""))
 def a22_headline(spark, d) -> DataFrame:
-    rows = q.timeline(views(spark, d))
-    found = q.chains(rows)
-    return q.headline(rows, found, q.days(rows))
+    return q.headline(q.timeline(views(spark, d))).withColumn("deepest_start_us", US("deepest_started")).drop("deepest_started")
 
 
 @register("a24_retention", sql(TIMELINE, """, a AS (SELECT viewer_id, area, count(*) AS main, count(*) FILTER (WHERE edge = 'through') AS through, count(*) FILTER (WHERE edge = 'most') AS most, count(*) FILTER (WHERE edge = 'skipped') AS skipped FROM main GROUP BY viewer_id, area)
@@ -209,7 +222,19 @@ def w16_lenses(spark, d) -> DataFrame:
     return q.lenses(q.days(q.timeline(views(spark, d))))
 
 
-@register("o8_day_ranking", sql(DAYS, "SELECT viewer_id, day, views, chain_max, night_views FROM days ORDER BY views DESC, chain_max DESC, day DESC, viewer_id LIMIT 60"))
+DAY_VALUE_SQL = {
+    "peak": "peak", "views": "views", "chain": "chain_max", "night": "CASE WHEN views > 0 THEN night_views / views ELSE 0 END", "hours": "duration_s", "areas": "areas",
+    "held": "CASE WHEN edged > 0 THEN through / edged ELSE -1 END", "new": "new_channels", "date": "epoch_day",
+}
+
+
+@register("o8_day_ranking", sql(DAYS, PEAKED + " " + " UNION ALL ".join(f"(SELECT '{k}' AS key, viewer_id, day, round(CAST({v} AS DOUBLE), 6) AS value, CAST(row_number() OVER (ORDER BY CAST({v} AS DOUBLE) DESC, day DESC, viewer_id) AS INTEGER) AS rank FROM peaked QUALIFY rank <= 60)" for k, v in DAY_VALUE_SQL.items())))
 def o8_day_ranking(spark, d) -> DataFrame:
-    x = q.days(q.timeline(views(spark, d))).select("viewer_id", "day", "views", "chain_max", "night_views")
-    return x.orderBy(F.col("views").desc(), F.col("chain_max").desc(), F.col("day").desc(), "viewer_id").limit(60)
+    """The first 60 days by each of nine keys."""
+    folder = scratch(spark, "days")
+    q.peaks(q.days(q.timeline(views(spark, d)))).write.parquet(folder)
+    x, out = spark.read.parquet(folder), []
+    for key in q.DAY_KEYS:
+        w = Window.orderBy(F.col("by").desc(), F.col("day").desc(), "viewer_id")  # of 60 rows
+        out.append(q.ranked(x, key, q.DAY_KEYS, "day", 60).select(F.lit(key).alias("key"), "viewer_id", "day", F.round("by", 6).alias("value"), F.row_number().over(w).alias("rank")))
+    return reduce(DataFrame.unionByName, out)
