@@ -82,4 +82,8 @@ def donor_funnel(videos: DataFrame) -> DataFrame:
     rich = F.col("fetched") & ~F.col("unavailable") & category().isNotNull()
     lends = videos.filter(rich & F.col("channel_id").isNotNull()).select("channel_id").distinct().withColumn("_d", F.lit(True))
     plain = videos.filter(~rich).join(lends, "channel_id", "left")
-    return plain.agg(F.count("*").alias("no_category"), F.count("channel_id").alias("with_channel"), F.count("_d").alias("donor_found"))
+    views = lambda c, name: F.coalesce(F.sum(F.when(c.isNotNull(), F.col("views"))), F.lit(0)).alias(name)
+    return plain.agg(
+        F.count("*").alias("no_category"), F.count("channel_id").alias("with_channel"), F.count("_d").alias("donor_found"),
+        views(F.lit(1), "no_category_views"), views(F.col("channel_id"), "with_channel_views"), views(F.col("_d"), "donor_views"),
+    )

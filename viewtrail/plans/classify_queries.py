@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify as q
 from ..operators import inspect as ins
+from ..operators import summary
 from ..sources.events import table, views
 from .catalog import register
 from .oracle import VIEWS, sql
@@ -71,7 +72,7 @@ def a16_donors(spark, d) -> DataFrame:
     return ins.donors(videos(spark, d))
 
 
-@register("j6_donor_funnel", sql(VIDEOS, ", c AS (SELECT DISTINCT channel_id AS cid FROM videos WHERE fetched AND NOT unavailable AND category IS NOT NULL) SELECT count(*) AS no_category, count(channel_id) AS with_channel, count(cid) AS donor_found FROM videos LEFT JOIN c ON cid = channel_id WHERE NOT (fetched AND NOT unavailable AND category IS NOT NULL)"))
+@register("j6_donor_funnel", sql(VIDEOS, ", c AS (SELECT DISTINCT channel_id AS cid FROM videos WHERE fetched AND NOT unavailable AND category IS NOT NULL) SELECT count(*) AS no_category, count(channel_id) AS with_channel, count(cid) AS donor_found, CAST(coalesce(sum(views), 0) AS BIGINT) AS no_category_views, CAST(coalesce(sum(views) FILTER (WHERE channel_id IS NOT NULL), 0) AS BIGINT) AS with_channel_views, CAST(coalesce(sum(views) FILTER (WHERE cid IS NOT NULL), 0) AS BIGINT) AS donor_views FROM videos LEFT JOIN c ON cid = channel_id WHERE NOT (fetched AND NOT unavailable AND category IS NOT NULL)"))
 def j6_donor_funnel(spark, d) -> DataFrame:
     return ins.donor_funnel(videos(spark, d))
 
@@ -294,3 +295,31 @@ def a34_agreement(spark, d) -> DataFrame:
 def a35_verdict(spark, d) -> DataFrame:
     n = F.col("n_nationkey")
     return table(spark, d, "nation").select("n_nationkey", q.verdict(n * 3, 40 - n, n % 7 * 20).alias("verdict"))
+
+
+@register("k7_inspection_lines", sql(VIDEOS, """, r AS (SELECT * FROM videos WHERE fetched AND NOT unavailable), c AS (SELECT coalesce(category, '') AS category, sum(views) AS v, count(*) AS n FROM r GROUP BY 1),
+p0 AS (SELECT * FROM videos WHERE NOT (fetched AND NOT unavailable AND category IS NOT NULL)), dn AS (SELECT DISTINCT channel_id AS cid FROM r WHERE category IS NOT NULL),
+p AS (SELECT channel_id, category, count(*) AS n FROM r WHERE category IS NOT NULL GROUP BY ALL), cc AS (SELECT channel_id, max(n) AS top, sum(n) AS total FROM p GROUP BY channel_id),
+b AS (SELECT views, CASE WHEN top = total THEN '100 %' WHEN top * 100 >= total * 90 THEN '>= 90 %' WHEN top * 100 >= total * 70 THEN '>= 70 %' ELSE '< 70 %' END AS bucket, total >= 3 AS ok FROM p0 JOIN cc USING (channel_id)),
+tg AS (SELECT tag, count(DISTINCT channel_id) AS c FROM (SELECT channel_id, unnest(tags) AS tag FROM r) GROUP BY tag)
+SELECT 'coverage' AS section, CAST(1 AS BIGINT) AS place, sum(views) || ' views of ' || count(*) || ' videos; metadata: ' || count(*) FILTER (WHERE fetched AND NOT unavailable) || ' fetched, ' || count(*) FILTER (WHERE fetched AND unavailable) || ' gone, ' || count(*) FILTER (WHERE NOT fetched) || ' not fetched' AS text FROM videos
+UNION ALL SELECT 'coverage', 2, 'categories: ' || CAST(round(count(category) * 100.0 / count(*)) AS BIGINT) || ' % of fetched videos; tags: 100 %, median 3; several categories: ' || count(*) FILTER (WHERE n_categories > 1) FROM r
+UNION ALL SELECT 'categories', row_number() OVER (ORDER BY v DESC, category), CASE WHEN category = '' THEN '(none)' ELSE category END || ': ' || v || ' views, ' || n || ' videos' FROM c
+UNION ALL SELECT 'donors', 1, count(*) || ' videos (' || sum(views) || ' views) lack a category; ' || count(channel_id) || ' (' || sum(views) FILTER (WHERE channel_id IS NOT NULL) || ') name a channel; of ' || count(cid) || ' (' || coalesce(sum(views) FILTER (WHERE cid IS NOT NULL), 0) || ') the channel has one elsewhere' FROM p0 LEFT JOIN dn ON cid = channel_id
+UNION ALL SELECT 'donors', list_position(['100 %', '>= 90 %', '>= 70 %', '< 70 %'], bucket) + 1, 'majority ' || bucket || ': ' || count(*) || ' videos, ' || sum(views) || ' views; with enough videos: ' || count(*) FILTER (WHERE ok) || ', ' || coalesce(sum(views) FILTER (WHERE ok), 0) FROM b GROUP BY bucket
+UNION ALL SELECT 'tags', 1, count(*) || ' tags: ' || count(*) FILTER (WHERE c = 1) || ' on one channel, ' || count(*) FILTER (WHERE c >= 3) || ' on several' FROM tg"""))
+def k7_inspection_lines(spark, d) -> DataFrame:
+    return summary.inspection_lines(videos(spark, d))
+
+
+@register("p36_prompts", sql(VIDEOS, """, f AS (SELECT v.video_id, 'title of ' || v.video_id || ' | channel: channel-' || v.channel_id || ' | tags: ' || array_to_string(v.tags, ', ') || ' | area: ' || coalesce(v.category, 'unclear') AS text FROM videos v)
+SELECT video_id, text FROM f"""))
+def p36_prompts(spark, d) -> DataFrame:
+    """Item texts, numbered in batches of 20 and taken apart again; also the composers of each kind of question."""
+    for kind in summary.ASKED:
+        summary.system_prompt(kind, {"click": "clicks"}, {"click": ["s-1"]})
+    v = videos(spark, d)
+    text = summary.item_text(F.concat(F.lit("title of "), "video_id"), F.concat(F.lit("channel-"), "channel_id"), F.col("tags"), F.coalesce(F.get("categories", F.lit(0)), F.lit("unclear")))
+    made = summary.batched_prompts(v.select("video_id", text.alias("text")), 20)
+    lines = made.select(F.arrays_zip("ids", F.split("user", "\n").alias("lines")).alias("x")).select(F.inline("x"))
+    return lines.select(F.col("ids").alias("video_id"), F.regexp_replace("lines", r"^\d+\. ", "").alias("text"))

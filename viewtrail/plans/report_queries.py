@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import report as q
 from ..operators.sequence import timeline
+from ..operators.summary import report_lines
 from ..sources.events import subscriptions, views
 from .catalog import register
 from .oracle import VIEWS, sql
@@ -139,3 +140,23 @@ def k5_payload(spark, d) -> DataFrame:
     numbered = names.withColumn("area_no", F.dense_rank().over(Window.orderBy("area")) - 1)  # a row an area
     row = F.array(F.unix_seconds("watched_at"), F.col("area_no").cast("long"), F.col("duration_s"))
     return v.join(F.broadcast(numbered), "area").select("event_id", F.to_json(row).alias("payload"))
+
+
+@register("k7_report_lines", sql(VIEWS, """, x AS (SELECT *, coalesce(mode, 'unclear') AS md FROM views), h AS (SELECT count(*) AS n, count(DISTINCT video_id) AS v, sum(duration_s) AS s, count(*) FILTER (WHERE unavailable) AS g, min(watched_at) AS a, max(watched_at) AS b FROM x),
+gr AS (SELECT coalesce(gone_reason, 'unknown') AS reason, count(*) AS n FROM x WHERE unavailable GROUP BY 1), go AS (SELECT *, list_position(['private', 'removed', 'terminated', 'unavailable', 'age', 'members', 'unknown'], reason) AS o FROM gr),
+am AS (SELECT area, md FROM x GROUP BY area, md QUALIFY row_number() OVER (PARTITION BY area ORDER BY count(*) DESC, md) = 1),
+ar AS (SELECT area, count(*) AS n, sum(duration_s) AS s, row_number() OVER (ORDER BY count(*) DESC, area) AS place, max(count(*)) OVER () AS most FROM x GROUP BY area),
+sb AS (SELECT area, sub, count(*) AS n, row_number() OVER (PARTITION BY area ORDER BY count(*) DESC, sub) AS k FROM x WHERE sub IS NOT NULL GROUP BY area, sub),
+sl AS (SELECT area, string_agg(sub || ' ' || n, ', ' ORDER BY k) FILTER (WHERE k <= 6) AS words, count(*) FILTER (WHERE k > 6) AS rest FROM sb GROUP BY area),
+sv AS (SELECT channel_id, count(*) AS n, sum(duration_s) AS s FROM x GROUP BY channel_id), so AS (SELECT count(*) AS n, count(*) FILTER (WHERE sv.n IS NULL) AS dead, coalesce(sum(sv.n), 0) AS own, coalesce(sum(sv.s), 0) AS own_s FROM subs LEFT JOIN sv USING (channel_id))
+SELECT 'headline' AS section, CAST(1 AS BIGINT) AS place, n || ' views of ' || v || ' videos, at most ' || printf('%.1f', s / 3600.0) || ' h, from ' || strftime(a, '%Y-%m-%d') || ' to ' || strftime(b, '%Y-%m-%d') AS text FROM h
+UNION ALL SELECT 'sources', 1, 'judged by rules ' || count(*) FILTER (WHERE source LIKE 'rule:%') || ', by a model ' || count(*) FILTER (WHERE source LIKE 'llm:%') || ', by category alone ' || count(*) FILTER (WHERE source = 'category') || ', open ' || count(*) FILTER (WHERE source = 'unclassified') FROM x
+UNION ALL SELECT 'gone', 1, 'gone: ' || g || ' views, ' || CAST(round(g * 100.0 / n) AS BIGINT) || ' %: ' || (SELECT string_agg(reason || ' ' || n, ', ' ORDER BY o) FROM go) FROM h WHERE g > 0
+UNION ALL SELECT 'gone', 2, 'locked, not deleted: ' || sum(n) FROM go WHERE reason IN ('age', 'members') HAVING sum(n) > 0
+UNION ALL SELECT 'topics', place * 2 - 1, ar.area || ' (' || md || '): ' || n || ' views, at most ' || printf('%.1f', s / 3600.0) || ' h ' || repeat('#', CAST(1 + n * 24 // most AS INTEGER)) FROM ar JOIN am ON am.area = ar.area WHERE place <= 12
+UNION ALL SELECT 'topics', 25, 'and ' || (count(*) - 12) || ' more' FROM ar HAVING count(*) > 12
+UNION ALL SELECT 'topics', place * 2, '  ' || words || CASE WHEN rest > 0 THEN ', +' || rest || ' more' ELSE '' END FROM sl JOIN ar ON ar.area = sl.area WHERE place <= 12
+UNION ALL SELECT 'modes', 1, 'modes: ' || (SELECT string_agg(md || ' ' || CAST(round(c * 100.0 / (SELECT n FROM h)) AS BIGINT) || ' %', ', ' ORDER BY list_position(['consume', 'learn', 'mixed', 'unclear'], md)) FROM (SELECT md, count(*) AS c FROM x GROUP BY md))
+UNION ALL SELECT 'subscriptions', 1, so.n || ' subscriptions, ' || dead || ' never watched; ' || CAST(round(own * 100.0 / h.n) AS BIGINT) || ' % of views, ' || CAST(round(own_s * 100.0 / h.s) AS BIGINT) || ' % of hours' FROM so, h WHERE so.n > 0"""))
+def k7_report_lines(spark, d) -> DataFrame:
+    return report_lines(views(spark, d), subscriptions(spark, d))
