@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import sequence as q
+from ..operators.payload import payload
 from ..sources.events import views
 from ..sources.scratch import scratch
 from .catalog import register
@@ -238,3 +239,20 @@ def o8_day_ranking(spark, d) -> DataFrame:
         w = Window.orderBy(F.col("by").desc(), F.col("day").desc(), "viewer_id")  # of 60 rows
         out.append(q.ranked(x, key, q.DAY_KEYS, "day", 60).select(F.lit(key).alias("key"), "viewer_id", "day", F.round("by", 6).alias("value"), F.row_number().over(w).alias("rank")))
     return reduce(DataFrame.unionByName, out)
+
+
+@register("k5_payload_rows", sql(DAYS, PEAKED + """,
+an AS (SELECT area, dense_rank() OVER (ORDER BY area) - 1 AS no FROM (SELECT DISTINCT area FROM views)),
+s AS (SELECT viewer_id, session_no, min(us) AS a, max(us) AS b, count(*) AS n FROM t GROUP BY ALL),
+so AS (SELECT *, row_number() OVER w - 1 AS ord, row_number() OVER w - 1 + coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, lead(b) OVER w AS pe, min(a) OVER (PARTITION BY viewer_id) AS t0 FROM s WINDOW w AS (PARTITION BY viewer_id ORDER BY session_no DESC)),
+tr AS (SELECT viewer_id, area_before AS fa, area AS ta, count(*) AS n FROM main WHERE m_place > 1 GROUP BY ALL)
+SELECT viewer_id, 'session' AS kind, ord AS place, concat('[', pos, ',', a // 1000000 - t0 // 1000000, ',', (b - a) // 1000000, ',', n, ',', coalesce((a - pe) // 1000000, 0), ']') AS payload FROM so
+UNION ALL SELECT c.viewer_id, 'chain', row_number() OVER (PARTITION BY c.viewer_id ORDER BY c.session_no DESC, chain_no) - 1, concat('[', ord, ',', pos + first_place, ',', pos + last_place, ',', len, ',', no, ',', span_s, ',', duration_s, ']') FROM chains c JOIN so ON so.viewer_id = c.viewer_id AND so.session_no = c.session_no JOIN an ON an.area = c.area
+UNION ALL SELECT viewer_id, 'day', row_number() OVER (PARTITION BY viewer_id ORDER BY day) - 1, concat('[', concat_ws(',', epoch_day, views, coalesce(no, -1), session_from, session_to, duration_s, chain_views, chain_max, night_views, areas, through, edged, new_channels, peak, coalesce(list_position(['views', 'chain', 'night', 'areas'], peak_axis) - 1, -1)), ']') FROM peaked LEFT JOIN an ON an.area = peaked.area
+UNION ALL SELECT viewer_id, 'transition', row_number() OVER (PARTITION BY viewer_id ORDER BY n DESC, f.no, g.no) - 1, concat('[', f.no, ',', g.no, ',', n, ']') FROM tr JOIN an f ON f.area = fa JOIN an g ON g.area = ta"""))
+def k5_payload_rows(spark, d) -> DataFrame:
+    """Sessions, chains, days and transitions of each viewer's page; the timeline is written once."""
+    folder, v = scratch(spark, "timeline"), views(spark, d)
+    q.timeline(v).write.parquet(folder)
+    areas = v.select("area").distinct().withColumn("area_no", F.dense_rank().over(Window.orderBy("area")) - 1)  # a row an area
+    return payload(spark.read.parquet(folder), areas)
