@@ -77,6 +77,47 @@ def v4_clusters(spark, d) -> DataFrame:
     return k.clusters(label_table(spark, d)).drop("round_no")
 
 
+#: Linkage of the few label centroids, a merge a step: the closest pair, the lowest places on ties, until the bound.
+NORM = "list_transform({0}, lambda x: x / sqrt(list_sum(list_transform({0}, lambda y: y * y))))"
+LINKAGE = CENTRE + f""",
+lab AS (SELECT label, v, row_number() OVER (ORDER BY n DESC, label) AS i, n FROM g JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label)),
+st AS (
+  SELECT 0 AS step, list({{'i': i, 'm': [label], 'v': v, 'w': CAST(n AS DOUBLE)}} ORDER BY i) AS cs FROM lab
+  UNION ALL
+  SELECT step + 1, list_transform(list_filter(cs, lambda c: c.i <> best.b), lambda c: CASE WHEN c.i = best.a THEN {{'i': c.i, 'm': list_concat(c.m, other.m), 'v': {NORM.format("list_transform(range(1, 65), lambda q: c.w * c.v[q] + other.w * other.v[q])")}, 'w': c.w + other.w}} ELSE c END)
+  FROM (SELECT step, cs, best, list_filter(cs, lambda c: c.i = best.b)[1] AS other FROM (
+    SELECT step, cs, list_min(flatten(list_transform(cs, lambda a: list_transform(list_filter(cs, lambda b: b.i > a.i), lambda b: {{'d': 1 - list_dot_product(a.v, b.v), 'a': a.i, 'b': b.i}})))) AS best FROM st WHERE len(cs) > 1))
+  WHERE best.d <= 0.95),
+fin AS (SELECT unnest(cs) AS c FROM st WHERE step = (SELECT max(step) FROM st)),
+mem AS (SELECT c.i AS cluster, unnest(c.m) AS label FROM fin),
+named AS (SELECT mem.label, arg_min(x.label, x.i) AS name FROM mem JOIN mem o ON o.cluster = mem.cluster JOIN lab x ON x.label = o.label GROUP BY mem.label)
+"""
+
+
+def centre_table(spark, d) -> DataFrame:
+    """The label centroids as labels, weighted by their vectors."""
+    v = vectors(spark, d)
+    n = v.groupBy("label").agg(F.count("*").alias("n"))
+    x = centres(v).join(F.broadcast(k.few(n)), "label")
+    return x.select(F.concat(F.lit("a"), "label").alias("area"), F.concat(F.lit("s"), "label").alias("sub"), F.col("n").alias("views"), F.col("n").alias("videos"), F.col("centroid").alias("vec"))
+
+
+def linked(spark, d) -> DataFrame:
+    return k.clusters(centre_table(spark, d), fine=0.95, coarse=-1.0, least=0, least_top=0)
+
+
+@register("v4_linkage", "WITH RECURSIVE " + LINKAGE.lstrip() + " SELECT 's' || label AS sub, 's' || name AS cluster_name FROM named")
+def v4_linkage(spark, d) -> DataFrame:
+    """Centroid linkage of the labels' centroids, down to a bound."""
+    return linked(spark, d).select("sub", "cluster_name")
+
+
+@register("v11_projection_of_centroids", "WITH RECURSIVE " + LINKAGE.lstrip() + " SELECT 'a' || label || '/s' || label AS old_topic, 's' || name AS new_topic FROM named")
+def v11_projection_of_centroids(spark, d) -> DataFrame:
+    """Clusters that are their own top level project to the bare name."""
+    return k.projection(linked(spark, d))
+
+
 @register("v8_split")
 def v8_split(spark, d) -> DataFrame:
     """Wide clusters split at a tighter threshold, equal names merged, in the second round."""
