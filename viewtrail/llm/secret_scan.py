@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import table
 
 #: A quoted value, or a run of key characters.
-CANDIDATE = r"""(?<=["'])[^\s"']{8,512}(?=["'])|[A-Za-z0-9+/_=\-]{16,}"""
+CANDIDATE = r"""(?<=["'])[^\s"']{8,}(?=["'])|[A-Za-z0-9+/_=\-]{16,}"""
 LEAST = 8
 DICTIONARY = ("access", "account", "admin", "and", "api", "auth", "build", "change", "client", "code", "config", "data", "default", "demo", "dev", "dummy", "example", "fake", "file", "for", "here", "host", "http", "image", "index", "insert", "key", "local", "main", "mock", "name", "page", "pass", "password", "path", "placeholder", "prod", "public", "sample", "secret", "server", "service", "some", "test", "the", "this", "token", "user", "value", "version", "with", "word", "your")
 KEYS = r"(?i)(secret|token|passw|pwd|api.?key|apikey|auth|bearer|credential|private|access.?key|\bkey\b)"
