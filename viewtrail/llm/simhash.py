@@ -134,13 +134,28 @@ class _Forest:
             i = p[i]
         return i
 
+    def roots(self, i: np.ndarray) -> np.ndarray:
+        r = self.parent[i]
+        while len(up := np.flatnonzero(self.parent[r] != r)):
+            r[up] = self.parent[r[up]]
+        self.parent[i] = r
+        return r
+
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        kept = []
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = self.root(i), self.root(j)
-            if x != y:
-                self.parent[max(x, y)] = min(x, y)
-                kept.append((i, j))
+        """Joins pairs in ever longer runs; what earlier runs joined is passed over at once.
+
+        A crowd of m points so costs m * m array elements, but few Python steps.
+        """
+        kept, at, step = [], 0, 1024
+        while at < len(a):
+            x, y = a[at : at + step], b[at : at + step]
+            apart = self.roots(x) != self.roots(y)
+            for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+                r, s = self.root(i), self.root(j)
+                if r != s:
+                    self.parent[max(r, s)] = min(r, s)
+                    kept.append((i, j))
+            at, step = at + step, step * 2
         if kept:
             self.links.append(tuple(np.array(kept).T))
 
