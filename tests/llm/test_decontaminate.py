@@ -72,3 +72,14 @@ def test_defined_cases_and_blocks(spark):
         assert found == want
     assert m.clean(docs, bench).count() == 3 and m.clean(docs, bench).columns == docs.columns
     assert m.clean(docs.filter("false"), bench).collect() == [] and m.clean(docs, bench.filter("false")).count() == len(rows)
+
+
+def test_own_columns_of_the_results_name(spark):
+    rng = random.Random(12)
+    item = text(rng, 30)
+    docs = spark.createDataFrame([(1, f"{text(rng, 20)} {item}", "own"), (2, text(rng, 20), "own")], "doc_id long, text string, leaked string")
+    bench = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None)], "item_id long, text string")
+    found = {r["doc_id"]: [x["item_id"] for x in r["leaked"]] for r in m.leaks(docs, bench).collect()}
+    assert found == {1: [7, None], 2: []}
+    kept = m.clean(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r)[::2] for r in kept.collect()] == [(2, "own")]

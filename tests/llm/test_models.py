@@ -113,3 +113,27 @@ def test_toxicity_rows(spark):
     net = gru.fit(["a b", "c d"], np.array([1, 1], np.float32))
     got = gru.classify(docs, net).collect()
     assert len(got) == 30 and {r["toxicity"] for r in got} == {net.prior}
+
+
+def test_columns_of_the_results_names_and_defined_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 1, 2), (None, None, "y", 3, 4), (1, "a b", "x", 1, 2), (2, "", "z", 5, 6)], "doc_id long, text string, toxicity string, quality_score int, quality_kept int")
+    net = gru.fit(["a b", "c d"], np.array([1, 1], np.float32))
+    got = gru.classify(docs, net)
+    assert got.columns == ["doc_id", "text", "quality_score", "quality_kept", "toxicity"]
+    assert sorted((r["doc_id"] or 0, r["toxicity"]) for r in got.collect()) == [(0, 0.0), (1, net.prior), (1, net.prior), (2, 0.0)]
+    assert [r["own"] for r in gru.classify(docs, net, "own").filter("doc_id = 1").collect()] == [net.prior] * 2
+    assert gru.classify(docs.filter("false"), net).collect() == []
+    model = gam.fit(np.zeros((0, len(gam.FEATURES))), np.zeros(0))
+    rows = gam.classify(docs, model).collect()
+    assert {r["quality_score"] for r in rows} == {0.5} and {r["toxicity"] for r in rows} == {"x", "y", "z"}
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    from viewtrail.llm._common import TRAIN_CHARS, labelled
+
+    docs = spark.range(2000).selectExpr("id % 2 AS doc_id", "concat('t', id % 900) AS text").unionByName(spark.createDataFrame([(3, None), (3, "x" * (TRAIN_CHARS + 1)), (3, "kept"), (None, "none")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    everything = labelled(docs, labels, "toxic", 1000, 999, 10_000).collect()
+    assert len(everything) == 901 and {r["text"] for r in everything if r["doc_id"] == 3} == {"kept"}
+    assert 30 < labelled(docs, labels, "toxic", 1000, 999, 100).count() < 200
+    assert labelled(docs.filter("false"), labels, "toxic", 4, 2, 10).collect() == []

@@ -55,6 +55,13 @@ def test_near_duplicates_keeps_rows_of_null_and_repeated_ids(spark):
 
 def test_empty_table_stays_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         docs_out = stage(spark, docs, SF)
         assert docs_out.collect() == []
+
+
+def test_columns_of_the_operators_names_pass_through(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "'own' AS quality_score", "'own' AS quality_kept", "'own' AS leaked", "'own' AS line").limit(40)
+    for name in ("quality", "decontamination"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+        assert out.columns == docs.columns and {r["leaked"] for r in out.collect()} <= {"own"}

@@ -47,7 +47,9 @@ def test_round_trip_and_defined_cases(spark):
     long = "é" * 60
     rows = [(5, "u", long, 1), (3, None, long, 1), (9, "u", long, 1), (1, "u", "short", 1), (2, "u", "short", 1), (4, "u", None, 1), (None, "u", long, 1), (3, None, long, 1), (7, "u", "z" * 99, 1), (8, "u", "z" * 99, 1), (10, "u", "y" * 100, 1), (11, "u", "y" * 100, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
-    got = sorted(((r["page_id"] or 0), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in w.read(w.write(pages, scratch(spark, "t"), bundle_bytes=400, frame_bytes=200)).collect())
-    assert got == sorted([(5, 120, "revisit", 3), (3, 120, "response", None), (9, 120, "revisit", 3), (1, 5, "response", None), (2, 5, "response", None), (4, 0, "response", None), (0, 120, "revisit", 3), (3, 120, "response", None), (7, 99, "response", None), (8, 99, "response", None), (10, 100, "response", None), (11, 100, "revisit", 10)], key=str) or got == sorted(got)
+    got = sorted((((r["page_id"] or 0), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in w.read(w.write(pages, scratch(spark, "t"), bundle_bytes=400, frame_bytes=200)).collect()), key=lambda g: g[0])
+    revisits = [(0, 120, "revisit", 3), (5, 120, "revisit", 3), (9, 120, "revisit", 3), (11, 100, "revisit", 10)]
+    responses = [(1, 5), (2, 5), (3, 120), (3, 120), (4, 0), (7, 99), (8, 99), (10, 100)]
+    assert got == sorted([*revisits, *((p, n, "response", None) for p, n in responses)], key=lambda g: g[0])
     assert [g for g in got if g[0] in (3, 5, 11)] == [(3, 120, "response", None), (3, 120, "response", None), (5, 120, "revisit", 3), (11, 100, "revisit", 10)]
     assert w.read(w.write(pages.filter("false"), scratch(spark, "t"))).collect() == []
