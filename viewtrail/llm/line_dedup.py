@@ -57,7 +57,7 @@ SHIFTS = (0, 16, 32)
 #: Shingles that one row of the signature's aggregate holds.
 STRIDE = 6
 #: 64-bit words of a sketch's bitmap.
-WORDS = 64
+WORDS = 32
 
 
 def _masks(count: int) -> list[int]:
