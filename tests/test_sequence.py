@@ -95,3 +95,61 @@ def test_rows_of_one_viewer_scanned_apart_or_together(spark):
     columns = ["event_id", *(c for c, _, _ in q.SCANNED)]
     a, b = (sorted(map(str, q.scan_sessions(s, together=t).select(*columns).collect())) for t in (True, False))
     assert a == b and len(a) == 10
+
+
+@pytest.mark.parametrize("block_s", [60, 420, 3600, 10**9])
+def test_blocks_that_cut_sessions(spark, block_s):
+    """Cuts between any two rows of a session, and of an overlap, an island or a channel, change nothing."""
+    import random
+
+    rng = random.Random(block_s)
+    steps, at = [], 0
+    for _ in range(300):
+        at += rng.choice([0, 1, 4, 14, 15, 16, 29, 30, 31, 700])
+        steps.append((at, rng.choice("aab"), rng.choice([0, 60, 1199, 1200, 7200])))
+    views = rows(spark, [*steps, (None, "a", 60)])
+    views = views.unionByName(views.withColumn("viewer_id", F.lit(None).cast("long")).withColumn("event_id", F.col("event_id") + 1000))
+    columns = ["event_id", "session_no", "gap_s", "edge", "new_channel", *(c for c, _, _ in q.SCANNED)]
+    got = sorted(map(str, q.timeline(views, block_s=block_s).select(*columns).collect()))
+    assert got == sorted(map(str, by_hand(steps, columns)))
+
+
+def by_hand(steps, columns):
+    """The same rows by a loop over one viewer's views."""
+    from pyspark.sql import Row
+
+    out, seen = [], set()
+    session = chain = place = total = 0
+    for i, (m, area, length) in enumerate(steps):
+        new = i == 0 or m - steps[i - 1][0] > 30
+        if new:
+            session, chain, place, total, start, before, state = session + 1, 0, 0, 0, m, None, None
+        else:
+            before = state[1]
+        beside = not new and state[2] >= 1200 and m * 60 < state[0] * 60 + state[2] and area != state[1]
+        if not beside:
+            if new or area != state[1] or m - state[0] > 15:
+                chain += 1
+            state = (m, area, length)
+        place, total = place + 1, total + length
+        after = steps[i + 1][0] - m if i + 1 < len(steps) and steps[i + 1][0] - m <= 30 else None
+        gap = None if after is None else after * 60
+        edge = None if gap is None or length <= 0 else "through" if gap >= length else "skipped" if 2 * gap < length else "most"
+        for add, channel in ((0, i % 3), (1000, i % 3)):
+            fresh = (add, channel) not in seen
+            seen.add((add, channel))
+            values = {"event_id": i + add, "session_no": session, "gap_s": gap, "edge": edge, "new_channel": fresh, "overlap": beside, "place": place, "session_start": BASE + timedelta(minutes=start), "area_before": before, "chain_no": chain, "seconds": total}
+            out.append(Row(**{c: values[c] for c in columns}))
+    return out
+
+
+def test_one_viewer_fills_many_tasks(spark):
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        views = rows(spark, [(i * 700, "a", 60) for i in range(200)])
+        for found in (q.sessionize(views), q.timeline(views)):
+            each = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+            assert len(each) == 4 and max(r["count"] for r in each) < 100
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)

@@ -1,8 +1,9 @@
 """Sequence operators over viewing timelines.
 
-All windows over single views are partitioned by the viewer, or by more than
-that, so that they share one shuffle; what depends on earlier answers is scanned
-in the same tasks. Aggregates go from chains to days to viewers, so that rows are
+Windows over single views are partitioned by the viewer and a block of time, or
+by more than that, so that they share one shuffle and one viewer's rows are
+spread over tasks; what blocks must know of one another is a small table. What
+depends on earlier answers is scanned session by session. Aggregates go from chains to days to viewers, so that rows are
 summed before they are shuffled. Gaps and lengths are whole seconds. Rows without
 a time take no part. Times are read on the session's wall clock.
 """
@@ -18,6 +19,8 @@ from pyspark.sql.types import StructType
 
 SESSION_GAP_S, CHAIN_GAP_S, CHAIN_LEAST, BACKGROUND_S = 30 * 60, 15 * 60, 4, 1200
 NIGHT_FROM, NIGHT_TO = 23, 5
+#: Seconds of a block of a viewer's time.
+BLOCK_S = 86_400
 SESSION = ["viewer_id", "session_no"]
 
 
@@ -34,21 +37,68 @@ def is_night(ts: str | Column) -> Column:
     return (hour >= NIGHT_FROM) | (hour < NIGHT_TO)
 
 
-def sessionize(views: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
-    """Adds session_no (from 1, oldest first): a longer gap starts a session."""
-    w = _within("viewer_id")
-    before = F.lag("watched_at").over(w)
-    new = F.when(before.isNull() | (_us("watched_at") - _us(before) > gap_s * 1_000_000), 1).otherwise(0)
-    dated = views.filter(F.col("watched_at").isNotNull()).withColumn("_new", new)
-    return dated.withColumn("session_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def _carry(dated: DataFrame, gap_us: int) -> DataFrame:
+    """A row per viewer and block, with what its rows must know of the blocks about it.
+
+    Blocks are summed where their rows lie; only the sums of a viewer, a row a
+    block, meet in one window.
+    """
+    within = Window.partitionBy("viewer_id", "_block").orderBy("_t")
+    step = F.col("_t") - F.lag("_t").over(within)
+    inner = dated.select("viewer_id", "_block", _us("watched_at").alias("_t")).withColumn("_breaks", (step > gap_us).cast("int"))
+    each = inner.groupBy("viewer_id", "_block").agg(F.min("_t").alias("first"), F.max("_t").alias("last"), F.coalesce(F.sum("_breaks"), F.lit(0)).alias("breaks"))
+    by = Window.partitionBy("viewer_id").orderBy("_block")
+    before, after = F.lag("last").over(by), F.lead("first").over(by)
+    each = each.withColumns({"_before": before, "_after": after})
+    begins = F.when(F.col("_before").isNull() | (F.col("first") - F.col("_before") > gap_us), 1).otherwise(0)
+    each = each.withColumn("_starts", F.col("breaks") + begins)
+    return each.select(
+        F.col("viewer_id").alias("_viewer"), F.col("_block").alias("_of"), "_before", "_after", "_starts",
+        F.coalesce(F.sum("_starts").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_sessions"),
+        F.coalesce(F.col("_after") - F.col("last") <= gap_us, F.lit(False)).alias("_goes_on"),
+    )
+
+
+def _cut(views: DataFrame, gap_s: int, block_s: int, channels: bool = False) -> DataFrame:
+    """session_no, gap_s and _across of dated views, block by block of each viewer's time.
+
+    A viewer's rows are dealt by blocks of time, so that one viewer fills as many
+    tasks as any number of viewers. A block's first row learns of the row before
+    it, its last row of the row after it, and all rows of the sessions before
+    them from a table of blocks. ``_across`` marks rows of sessions that lie in
+    several blocks. ``channels``: also new_channel, of the first view of a
+    channel; the table of blocks then holds the channels that are new in a block.
+    """
+    gap_us = gap_s * 1_000_000
+    dated = views.filter(F.col("watched_at").isNotNull()).withColumn("_block", F.floor(_us("watched_at") / (block_s * 1_000_000)))
+    carry = _carry(dated, gap_us)
+    if channels:
+        first = dated.filter(F.col("channel_id").isNotNull()).groupBy("viewer_id", "channel_id").agg(F.min("_block").alias("_block"))
+        fresh = first.groupBy(F.col("viewer_id").alias("_fv"), F.col("_block").alias("_fb")).agg(F.collect_list("channel_id").alias("_fresh"))
+        carry = carry.join(fresh, F.col("_viewer").eqNullSafe(F.col("_fv")) & (F.col("_of") == F.col("_fb")), "left").drop("_fv", "_fb")
+    rows = dated.join(carry, F.col("viewer_id").eqNullSafe(F.col("_viewer")) & (F.col("_block") == F.col("_of")))
+    w, t = _within("viewer_id", "_block"), _us("watched_at")
+    before, after = F.coalesce(F.lag(t).over(w), "_before"), F.coalesce(F.lead(t).over(w), "_after")
+    rows = rows.withColumns({"_new": F.when(before.isNull() | (t - before > gap_us), 1).otherwise(0), "gap_s": F.when(after - t <= gap_us, F.floor((after - t) / 1_000_000)).cast("long")})
+    if channels:
+        nth = F.row_number().over(_within("viewer_id", "_block", "channel_id"))
+        rows = rows.withColumn("new_channel", F.coalesce(F.array_contains("_fresh", F.col("channel_id")) & (nth == 1), F.lit(False)))
+    rows = rows.withColumn("_nth", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    across = (F.col("_nth") == 0) | (F.col("_goes_on") & (F.col("_nth") == F.col("_starts")))
+    rows = rows.withColumn("session_no", F.col("_sessions") + F.col("_nth")).withColumn("_across", across)
+    return rows.select(*views.columns, "session_no", "gap_s", *(["new_channel"] if channels else []), "_across")
+
+
+def sessionize(views: DataFrame, gap_s: int = SESSION_GAP_S, block_s: int = BLOCK_S) -> DataFrame:
+    """Adds session_no (from 1, oldest first) and gap_s to the session's next start: a longer gap starts a session."""
+    return _cut(views, gap_s, block_s).drop("_across")
 
 
 def mark_edges(rows: DataFrame) -> DataFrame:
-    """Adds gap_s to the next start of the session and what it says: edge."""
-    after = F.lead("watched_at").over(_within(*SESSION))
+    """Adds edge: what the gap to the next start says."""
     gap, length = F.col("gap_s"), F.coalesce(F.col("duration_s"), F.lit(0))
     edge = F.when(gap.isNull() | (length <= 0), F.lit(None)).when(gap >= length, "through").when(2 * gap < length, "skipped").otherwise("most")
-    return rows.withColumn("gap_s", F.floor((_us(after) - _us("watched_at")) / 1_000_000).cast("long")).withColumn("edge", edge)
+    return rows.withColumn("edge", edge)
 
 
 #: What the scan of a session adds to its rows, in Spark's and Arrow's types.
@@ -100,13 +150,15 @@ def scan_sessions(rows: DataFrame, least_s: int = BACKGROUND_S, chain_gap_s: int
     return own.sortWithinPartitions(*SESSION, "watched_at", "event_id").mapInArrow(scan, schema)
 
 
-def timeline(views: DataFrame, chain_gap_s: int = CHAIN_GAP_S) -> DataFrame:
-    """All dated views with session, edge, first view of a channel, and what the scan adds."""
-    rows = sessionize(views)
-    if "channel_id" in views.columns:
-        first = F.row_number().over(_within("viewer_id", "channel_id")) == 1
-        rows = rows.withColumn("new_channel", F.col("channel_id").isNotNull() & first)
-    return scan_sessions(mark_edges(rows), chain_gap_s=chain_gap_s, together=True)
+def timeline(views: DataFrame, chain_gap_s: int = CHAIN_GAP_S, block_s: int = BLOCK_S) -> DataFrame:
+    """All dated views with session, edge, first view of a channel, and what the scan adds.
+
+    Sessions of one block are scanned where they lie; the others, few, are dealt
+    by session first.
+    """
+    rows = mark_edges(_cut(views, SESSION_GAP_S, block_s, "channel_id" in views.columns))
+    within, across = (rows.filter(~F.col("_across")), rows.filter("_across"))
+    return scan_sessions(within.drop("_across"), chain_gap_s=chain_gap_s, together=True).unionByName(scan_sessions(across.drop("_across"), chain_gap_s=chain_gap_s))
 
 
 def main_lane(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import replies, text as t
 from ..sources import config, connectors, export
 from ..sources.events import table, views
 from ..sources.scratch import scratch
+from ..sources.snapshots import KeyedLog
 from .catalog import register
 from .oracle import VIEWS, sql
 
@@ -154,13 +157,47 @@ def s8_unseen_files(spark, d) -> DataFrame:
     return first.select("id", F.lit(1).alias("scan")).unionByName(second.select("id", F.lit(2).alias("scan")))
 
 
-@register("k2_upsert", "SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'again' ELSE s_name END AS title FROM supplier UNION ALL SELECT 'n' || s_suppkey, 'again' FROM supplier WHERE s_suppkey % 10 = 0")
-def k2_upsert(spark, d) -> DataFrame:
-    """A repeated key of the update counts once, by its last row."""
+UPSERTED = "SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'again' ELSE s_name END AS title FROM supplier UNION ALL SELECT 'n' || s_suppkey, 'again' FROM supplier WHERE s_suppkey % 10 = 0"
+
+
+def update(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(old rows, new rows): some keys are repeated in the update, some are new."""
     old, n = keyed(spark, d).select("id", "title", F.lit(0).alias("at")), F.substring("id", 2, 20).cast("long")
     new = old.filter(n % 3 == 0).select("id", F.explode(F.array(F.struct(F.lit("once").alias("title"), F.lit(1).alias("at")), F.struct(F.lit("again").alias("title"), F.lit(2).alias("at")))).alias("x")).select("id", "x.*")
     fresh = old.filter(n % 10 == 0).select(F.concat(F.lit("n"), n).alias("id"), F.lit("again").alias("title"), F.lit(1).alias("at"))
-    return export.upsert(old, new.unionByName(fresh), "id", "at").select("id", "title")
+    return old, new.unionByName(fresh)
+
+
+@register("k2_upsert", UPSERTED)
+def k2_upsert(spark, d) -> DataFrame:
+    """A repeated key of the update counts once, by its last row."""
+    return export.upsert(*update(spark, d), "id", "at").select("id", "title")
+
+
+def keyed_log(spark, d) -> KeyedLog:
+    """The same update of a keyed log: a commit of old rows, one of their bases, one of new rows."""
+    old, new = update(spark, d)
+    held = KeyedLog(spark, scratch(spark, "keyed-log"), "id", old.schema, buckets=16)
+    held.update(old)
+    held.compact()
+    held.update(new, "at")
+    return held
+
+
+@register("k2_keyed_log", UPSERTED)
+def k2_keyed_log(spark, d) -> DataFrame:
+    """The table is not rewritten: bases and logs are merged as they are read."""
+    return keyed_log(spark, d).read().select("id", "title")
+
+
+@register("k2_keyed_versions", """WITH v AS (SELECT c, s_suppkey, s_suppkey % 3 = 0 AND c >= 3 AS again FROM supplier, range(1, 5) r(c))
+SELECT CAST(c AS INTEGER) AS version, count(*) + CASE WHEN c >= 3 THEN (SELECT count(*) FROM supplier WHERE s_suppkey % 10 = 0) ELSE 0 END AS keys, count(*) FILTER (WHERE again) + CASE WHEN c >= 3 THEN (SELECT count(*) FROM supplier WHERE s_suppkey % 10 = 0) ELSE 0 END AS again FROM v GROUP BY c""")
+def k2_keyed_versions(spark, d) -> DataFrame:
+    """The table after each commit, the last one a compaction of all buckets."""
+    held = keyed_log(spark, d)
+    held.compact(0.0)
+    each = [held.read(n).agg(F.lit(n).alias("version"), F.count("*").alias("keys"), F.count_if(F.col("title") == "again").alias("again")) for n in range(1, 5)]
+    return reduce(DataFrame.unionByName, each)
 
 
 def fetched(ids: list[str]) -> list[dict]:

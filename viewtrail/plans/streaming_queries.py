@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.events import table, views
 from ..sources.scratch import scratch
+from ..sources.snapshots import Snapshots
 from ..streaming import incremental as inc
+from ..streaming import timelines as tl
 from .catalog import register
-from .oracle import TIMELINE, VIEWS, sql
+from .oracle import CHAINS, TIMELINE, VIEWS, sql
+
+#: Triggers that the rows on time come in; files of a trigger; triggers that a late row stays away.
+TRIGGERS, FILES, LATE_TRIGGERS = 3, 4, 3
 
 
 def swept(spark, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -42,16 +49,118 @@ sn AS (SELECT *, sum(CASE WHEN before IS NULL OR us - before > 1800000000 THEN 1
 """
 
 
+def lengths(spark, d) -> DataFrame:
+    """The events with the columns that the operators need, as ``stream`` has them, from a table."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    length = F.when(k < 12, 0).otherwise(F.floor(F.col("value") * 30)).cast("long")
+    return table(spark, d, "events").select("event_id", F.expr("user_id div 50").alias("viewer_id"), F.col("ts").cast("timestamp").alias("watched_at"), F.col("event_type").alias("area"), length.alias("duration_s"))
+
+
+def arrivals(rows: DataFrame, at: str, order: str, step_us: int, start_us: int, late: bool = False, beats: int = 0, beat: dict | None = None) -> DataFrame:
+    """A stream of rows that come out of order over several triggers, as many files each.
+
+    A row arrives up to 40 minutes after its time; ``late``: one in 53 some
+    triggers after that. ``beats``: at the end comes a row so many days on, with
+    the values of ``beat`` and nothing else. Each file holds a row of nulls, so that none is left out.
+    """
+    spark, folder = rows.sparkSession, scratch(rows.sparkSession, "arrivals")
+    n = F.col(order)
+    arrived = F.unix_micros(at) + (n * 7919 % 40) * 60_000_000 + F.when(F.lit(late) & (n % 53 == 0), LATE_TRIGGERS * step_us).otherwise(0)
+    each = rows.withColumn("slice", F.floor((arrived - start_us) / step_us)).withColumn("part", F.pmod(F.hash(order), F.lit(FILES)))
+    empty = spark.createDataFrame([(k,) for k in range(FILES)], "part int")
+    write = lambda part: part.unionByName(empty, allowMissingColumns=True).repartition("part").write.partitionBy("part").mode("append").parquet(folder)
+    for (k,) in sorted(each.select("slice").distinct().collect()):  # a few slices
+        write(each.filter(F.col("slice") == k).drop("slice"))
+    if beats:
+        end = rows.agg((F.max(at) + F.expr(f"INTERVAL {beats} DAYS")).alias(at)).withColumns({c: F.lit(v) for c, v in (beat or {}).items()})
+        write(rows.limit(0).unionByName(end.withColumn("part", F.lit(0)), allowMissingColumns=True))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+
+
+def clock(rows: DataFrame, at: str) -> tuple[int, int]:
+    """(microseconds of a trigger, first time) of rows whose times fill so many triggers."""
+    low, high = rows.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    return ((high - low) // TRIGGERS + 1, low) if low is not None else (1, 0)
+
+
+T_EVENTS = """
+e AS (SELECT event_id, ts, user_id // 50 AS viewer_id, epoch_us(ts) AS us, event_type AS area, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 12 THEN 0 ELSE CAST(floor(value * 30) AS BIGINT) END AS duration_s FROM events),
+g AS (SELECT *, lag(us) OVER (PARTITION BY viewer_id ORDER BY us, event_id) AS before FROM e),
+sn AS (SELECT *, sum(CASE WHEN before IS NULL OR us - before > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY viewer_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session_no FROM g)
+"""
+
+
 @register("t8_stream_sessions", sql(T_EVENTS, "SELECT viewer_id, min(us) AS start_us, max(us) AS end_us, count(*) AS views, CAST(sum(duration_s) AS BIGINT) AS duration_s FROM sn GROUP BY viewer_id, session_no"))
 def t8_stream_sessions(spark, d) -> DataFrame:
-    """Complete mode: open sessions at the end of the stream count too."""
+    """Complete mode: all sessions, those that are open at the end of the stream too; none leaves the state."""
     s = swept(spark, inc.session_windows(stream(spark, d)), "sessions", "complete")
     return s.select("viewer_id", F.unix_micros("started").alias("start_us"), F.unix_micros("ended").alias("end_us"), "views", "duration_s")
 
 
-@register("t9_stream_overlap", sql(TIMELINE.replace("FROM e JOIN meta USING (user_id, k)", "FROM (SELECT e.*, CASE WHEN k < 12 THEN 0 ELSE CAST(floor(value * 30) AS BIGINT) END AS duration_s, k < 12 AS unavailable, '' AS gone_reason FROM e)"), "SELECT event_id, overlap FROM t"))
+#: Batches of the arrivals, the watermark that each is held against, and whether a row is too late for it.
+T_LATE = T_EVENTS.split("g AS (")[0].rstrip().rstrip(",") + f""",
+step AS (SELECT (max(us) - min(us)) // {TRIGGERS} + 1 AS step, min(us) AS low FROM e),
+sliced AS (SELECT e.*, (us + event_id * 7919 % 40 * 60000000 + CASE WHEN event_id % 53 = 0 THEN {LATE_TRIGGERS} * step ELSE 0 END - low) // step AS slice FROM e, step),
+b AS (SELECT *, dense_rank() OVER (ORDER BY slice) AS batch FROM sliced),
+mark AS (SELECT batch, (max(max(us)) OVER (ORDER BY batch) // 1000 - 3600000) * 1000 AS mark FROM b GROUP BY batch),
+held AS (SELECT b.*, coalesce(us + 1800000000 <= mark.mark, false) AS late FROM b LEFT JOIN mark ON mark.batch = b.batch - 2)
+"""
+
+
+@register("t8_closed_sessions", sql(T_LATE, """, g AS (SELECT *, lag(us) OVER (PARTITION BY viewer_id ORDER BY us, event_id) AS before FROM held WHERE NOT late),
+sn AS (SELECT *, sum(CASE WHEN before IS NULL OR us - before > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY viewer_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session_no FROM g)
+SELECT viewer_id, min(us) AS start_us, max(us) AS end_us, count(*) AS views, CAST(sum(duration_s) AS BIGINT) AS duration_s FROM sn GROUP BY viewer_id, session_no HAVING max(us) + 1800000000 <= (SELECT max(mark) FROM mark)"""))
+def t8_closed_sessions(spark, d) -> DataFrame:
+    """Append mode over several triggers: sessions behind the watermark come out, open ones are held, late rows dropped."""
+    rows = lengths(spark, d)
+    events = arrivals(rows, "watched_at", "event_id", *clock(rows, "watched_at"), late=True)
+    s = swept(spark, inc.session_windows(events.filter("event_id IS NOT NULL")), "closed")
+    return s.select("viewer_id", F.unix_micros("started").alias("start_us"), F.unix_micros("ended").alias("end_us"), "views", "duration_s")
+
+
+@register("t8_late_rows", sql(T_LATE, "SELECT event_id, viewer_id FROM held WHERE late"))
+def t8_late_rows(spark, d) -> DataFrame:
+    """The side output of the rows that came too late for their session."""
+    rows, folder = lengths(spark, d), scratch(spark, "late")
+    events = arrivals(rows, "watched_at", "event_id", *clock(rows, "watched_at"), late=True)
+    side = inc.LateRows(folder)
+    events.filter("event_id IS NOT NULL").writeStream.foreachBatch(side).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/late/batch=*").select("event_id", "viewer_id")
+
+
+OWN_LENGTHS = ("FROM e JOIN meta USING (user_id, k)", "FROM (SELECT e.*, CASE WHEN k < 12 THEN 0 ELSE CAST(floor(value * 30) AS BIGINT) END AS duration_s, k < 12 AS unavailable, '' AS gone_reason FROM e)")
+
+
+def stream_timeline(spark, d, kind: str) -> DataFrame:
+    """Rows of one kind of the stateful timeline, from events out of order over several triggers."""
+    rows = lengths(spark, d)
+    events = arrivals(rows, "watched_at", "event_id", *clock(rows, "watched_at"), beats=2)
+    with tl.rocks(spark):
+        return swept(spark, tl.timelines(events), "timeline").filter(F.col("kind") == kind)
+
+
+@register("t9_stream_overlap", sql(TIMELINE.replace(*OWN_LENGTHS), "SELECT event_id, overlap FROM t"))
 def t9_stream_overlap(spark, d) -> DataFrame:
-    return swept(spark, inc.overlaps(stream(spark, d)), "overlaps")
+    return stream_timeline(spark, d, "view").select("event_id", "overlap")
+
+
+@register("t9_stream_chains", sql(CHAINS.replace(*OWN_LENGTHS), "SELECT viewer_id, len, area, start_us, span_s, CAST(duration_s AS BIGINT) AS duration_s FROM chains"))
+def t9_stream_chains(spark, d) -> DataFrame:
+    return stream_timeline(spark, d, "chain").select("viewer_id", "len", "area", F.col("at_us").alias("start_us"), "span_s", "duration_s")
+
+
+@register("t4_waiting", sql(VIEWS, "SELECT event_id, CASE WHEN k % 13 <> 0 THEN duration_s END AS duration_s, CASE WHEN k % 13 <> 0 THEN 'known' ELSE 'alone' END AS state FROM views"))
+def t4_waiting(spark, d) -> DataFrame:
+    """Views and metadata are streams: a view waits in state two hours for the day's row of its video, then it is alone."""
+    every = views(spark, d).withColumn("key", F.concat_ws("@", "video_id", F.to_date("watched_at")))
+    facts = every.select("event_id", "key", F.col("watched_at").alias("heard_at"))
+    known = every.filter(F.round(F.col("confidence") * 100).cast("int") % 13 != 0).groupBy("key").agg(F.min("watched_at").alias("first"), F.max("duration_s").alias("duration_s"))
+    n = F.pmod(F.hash("key"), F.lit(100_000)).cast("long")
+    met = known.select("key", n.alias("n"), F.timestamp_micros(F.unix_micros("first") + n % 100 * 60_000_000).alias("known_at"), "duration_s")
+    when = clock(facts, "heard_at")
+    left, right = arrivals(facts, "heard_at", "event_id", *when, beats=4), arrivals(met, "known_at", "n", *when, beats=4, beat={"key": "none"})
+    out = swept(spark, inc.held_facts(left, right, "key", "duration_s", "2 HOURS", "24 HOURS"), "held")
+    return out.filter("event_id IS NOT NULL").select("event_id", "duration_s", "state")
 
 
 @register("t3_waves", sql(VIEWS, "SELECT event_id, CASE WHEN k % 13 <> 0 THEN duration_s END AS duration_s, CASE WHEN k % 13 <> 0 THEN 'known' ELSE 'alone' END AS state FROM views"))
@@ -59,9 +168,26 @@ def t3_waves(spark, d) -> DataFrame:
     """Also T1, T2 and T4 to T6: metadata comes in files, one a batch; views wait for it, and the last wave gives up waiting."""
     every = views(spark, d)
     met = every.filter(F.round(F.col("confidence") * 100).cast("int") % 13 != 0).groupBy("video_id").agg(F.max("duration_s").alias("duration_s"))
-    source, out, state = scratch(spark, "wave-source"), scratch(spark, "wave-out"), scratch(spark, "wave-state")
+    source, state = scratch(spark, "wave-source"), scratch(spark, "wave-state")
     met.repartition(4, "video_id").write.parquet(source)
-    facts = every.select("event_id", "video_id")
-    merge = inc.Waves(f"{state}/dimension", "video_id", met.schema, lambda known, n, last: inc.waiting_facts(facts, known, "video_id", last).write.mode("overwrite").parquet(out))
+    facts, out = every.select("event_id", "video_id"), Snapshots(spark, scratch(spark, "wave-out"))
+    merge = inc.Waves(f"{state}/dimension", "video_id", met.schema, lambda known, n, last: out.replace(inc.waiting_facts(facts, known, "video_id", last)))
     inc.run_waves(spark.readStream.schema(met.schema).option("maxFilesPerTrigger", 1).parquet(source), merge, f"{state}/checkpoint")
-    return spark.read.parquet(out).select("event_id", "duration_s", "state")
+    return out.read().select("event_id", "duration_s", "state")
+
+
+@register("t3_snapshots", sql(VIEWS, """SELECT CAST(wave AS INTEGER) AS wave, CASE WHEN k % 13 <> 0 AND k % 4 < wave - 1 THEN 'known' WHEN wave < 6 THEN 'waiting' ELSE 'alone' END AS state, count(*) AS views, CAST(sum(CASE WHEN k % 13 <> 0 AND k % 4 < wave - 1 THEN duration_s END) AS BIGINT) AS duration_s
+FROM views, range(1, 7) r(wave) GROUP BY ALL"""))
+def t3_snapshots(spark, d) -> DataFrame:
+    """Also K1: each wave replaces the output at once; all six states of it can still be read."""
+    every = views(spark, d).withColumn("k", F.round(F.col("confidence") * 100).cast("int"))
+    met = every.filter(F.col("k") % 13 != 0).groupBy("video_id").agg(F.max("duration_s").alias("duration_s"), F.max(F.col("k") % 4).alias("turn"))
+    source, state = scratch(spark, "wave-source"), scratch(spark, "wave-state")
+    for turn in range(4):  # the files of a turn come together
+        met.filter(F.col("turn") == turn).drop("turn").withColumn("part", F.pmod(F.hash("video_id"), F.lit(FILES))).repartition("part").write.partitionBy("part").mode("append").parquet(source)
+    schema = met.drop("turn").schema
+    facts, out = every.select("event_id", "video_id"), Snapshots(spark, scratch(spark, "wave-out"))
+    merge = inc.Waves(f"{state}/dimension", "video_id", schema, lambda known, n, last: out.replace(inc.waiting_facts(facts, known, "video_id", last)), least=1)
+    inc.run_waves(spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(source), merge, f"{state}/checkpoint")
+    each = [out.read(n).groupBy("state").agg(F.count("*").alias("views"), F.sum("duration_s").alias("duration_s")).withColumn("wave", F.lit(n)) for n in out.numbers()]
+    return reduce(DataFrame.unionByName, each).select("wave", "state", "views", "duration_s")

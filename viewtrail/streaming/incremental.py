@@ -1,50 +1,70 @@
-"""Structured Streaming: sessions, stateful overlaps, and waves of new metadata."""
+"""Structured Streaming: sessions, late rows, facts that wait for their row, and waves of new metadata."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.sequence import BACKGROUND_S, SESSION_GAP_S
+from ..operators.sequence import SESSION_GAP_S
 
 
 def session_windows(events: DataFrame, gap_s: int = SESSION_GAP_S, late: str = "1 hour") -> DataFrame:
-    """Sessions of each viewer from a stream; they close behind the watermark."""
+    """Sessions of each viewer from a stream; they close behind the watermark.
+
+    In append mode a session comes out when the watermark is a gap behind its
+    last row, open ones stay in state, and rows whose own session would be closed
+    are dropped (``LateRows`` keeps them). In complete mode open ones come out,
+    too, and nothing is given up.
+    """
     window = F.session_window("watched_at", f"{gap_s} seconds")
     each = events.withWatermark("watched_at", late).groupBy("viewer_id", window).agg(F.count("*").alias("views"), F.sum("duration_s").alias("duration_s"), F.max("watched_at").alias("ended"))
     return each.select("viewer_id", F.col("session_window.start").alias("started"), "ended", "views", "duration_s")
 
 
-def overlaps(events: DataFrame, gap_s: int = SESSION_GAP_S, least_s: int = BACKGROUND_S) -> DataFrame:
-    """overlap of each view, with one main-lane row as the viewer's state.
+@dataclass
+class LateRows:
+    """The rows that ``session_windows`` drops, from the same files in the same batches.
 
-    Rows of a trigger are taken in time order; a viewer's rows must not come in
-    an earlier trigger than rows before them, as a log's do.
+    A batch is held against the watermark of the batches before the last one, as
+    Spark does: rows whose session would have ended by then are late. Each batch
+    leaves a folder of late rows and its latest time, overwritten if the batch is
+    repeated.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, end, area, length = state.get if state.exists else (-(2**62), 0, "", 0)
-        rows = pd.concat(list(parts)).sort_values(["watched_at", "event_id"])
-        out = []
-        for t, e, a, n in zip(rows["watched_at"].astype("datetime64[us]").astype("int64"), rows["event_id"], rows["area"], rows["duration_s"].fillna(0).astype("int64"), strict=True):
-            new_session = t - last > gap_s * 1_000_000
-            beside = not new_session and length >= least_s and t < end and a != area
-            out.append((int(e), bool(beside)))
-            if not beside:
-                end, area, length = int(t) + int(n) * 1_000_000, a, int(n)
-            last = int(t)
-        state.update((last, end, area, length))
-        yield pd.DataFrame(out, columns=["event_id", "overlap"])
+    folder: str
+    gap_s: int = SESSION_GAP_S
+    late_s: int = 3600
 
-    return events.groupBy("viewer_id").applyInPandasWithState(step, "event_id long, overlap boolean", "last long, end long, area string, length long", "append", GroupStateTimeout.NoTimeout)
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark, latest = batch.sparkSession, Observation(f"latest-{uuid.uuid4().hex}")
+        known = spark.read.schema("batch long, us long").option("basePath", f"{self.folder}/latest").json(f"{self.folder}/latest/batch=*") if number > 1 else None
+        mark = known.filter(F.col("batch") <= number - 2).agg(F.max("us")).first()[0] if known is not None else None
+        mark = -(2**62) if mark is None else (mark // 1000 - self.late_s * 1000) * 1000
+        seen = batch.observe(latest, F.max(F.unix_micros("watched_at")).alias("us"))
+        seen.filter(F.unix_micros("watched_at") + self.gap_s * 1_000_000 <= mark).write.mode("overwrite").parquet(f"{self.folder}/late/batch={number}")
+        spark.createDataFrame([(latest.get["us"],)], "us long").coalesce(1).write.mode("overwrite").json(f"{self.folder}/latest/batch={number}")
+
+
+def held_facts(facts: DataFrame, dimension: DataFrame, key: str, value: str, wait: str, keep: str, late: str = "1 hour") -> DataFrame:
+    """A stream of facts (``heard_at``) beside their row of a stream of keyed rows (``known_at``).
+
+    A fact waits in state for its key's row, which may come up to ``wait`` after
+    it or have come up to ``keep`` before; once the watermarks of both streams
+    have passed that time it is given up as alone. Both sides' state goes with
+    the watermark.
+    """
+    f = facts.withWatermark("heard_at", late)
+    d = dimension.withWatermark("known_at", late).select(F.col(key).alias("_key"), "known_at", F.col(value).alias(value))
+    near = (F.col("known_at") >= F.col("heard_at") - F.expr(f"INTERVAL {keep}")) & (F.col("known_at") <= F.col("heard_at") + F.expr(f"INTERVAL {wait}"))
+    joined = f.join(d, (F.col(key) == F.col("_key")) & near, "left")
+    return joined.select(*facts.columns, value, F.when(F.col("_key").isNotNull(), "known").otherwise("alone").alias("state"))
 
 
 @dataclass
@@ -69,9 +89,9 @@ class Waves:
         self.pending, self.number, self.at = 0, 0, self.clock()
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        spark, path = batch.sparkSession, f"{self.folder}/batch={number}"
-        batch.write.mode("overwrite").parquet(path)
-        self.pending += spark.read.schema(self.schema).parquet(path).count()
+        spark, seen = batch.sparkSession, Observation(f"rows-{uuid.uuid4().hex}")
+        batch.observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
+        self.pending += seen.get["n"]
         if self.pending >= self.least or self.clock() - self.at >= self.every_s:
             self.wave(spark)
 
