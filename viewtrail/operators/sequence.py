@@ -53,45 +53,41 @@ def _carry(dated: DataFrame, gap_us: int) -> DataFrame:
     begins = F.when(F.col("_before").isNull() | (F.col("first") - F.col("_before") > gap_us), 1).otherwise(0)
     each = each.withColumn("_starts", F.col("breaks") + begins)
     return each.select(
-        F.col("viewer_id").alias("_viewer"), F.col("_block").alias("_of"), "_before", "_after", "_starts",
+        F.col("viewer_id").alias("_viewer"), F.col("_block").alias("_of"), "_before", "_after",
         F.coalesce(F.sum("_starts").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_sessions"),
-        F.coalesce(F.col("_after") - F.col("last") <= gap_us, F.lit(False)).alias("_goes_on"),
     )
 
 
 def _cut(views: DataFrame, gap_s: int, block_s: int, channels: bool = False) -> DataFrame:
-    """session_no, gap_s and _across of dated views, block by block of each viewer's time.
+    """session_no and gap_s of dated views, block by block of each viewer's time.
 
     A viewer's rows are dealt by blocks of time, so that one viewer fills as many
     tasks as any number of viewers. A block's first row learns of the row before
     it, its last row of the row after it, and all rows of the sessions before
-    them from a table of blocks. ``_across`` marks rows of sessions that lie in
-    several blocks. ``channels``: also new_channel, of the first view of a
-    channel; the table of blocks then holds the channels that are new in a block.
+    them from a table of blocks. ``channels``: also new_channel, of the first view
+    of a channel; the table of blocks then holds the block's views of that kind.
     """
     gap_us = gap_s * 1_000_000
     dated = views.filter(F.col("watched_at").isNotNull()).withColumn("_block", F.floor(_us("watched_at") / (block_s * 1_000_000)))
     carry = _carry(dated, gap_us)
     if channels:
-        first = dated.filter(F.col("channel_id").isNotNull()).groupBy("viewer_id", "channel_id").agg(F.min("_block").alias("_block"))
-        fresh = first.groupBy(F.col("viewer_id").alias("_fv"), F.col("_block").alias("_fb")).agg(F.collect_list("channel_id").alias("_fresh"))
+        first = dated.filter(F.col("channel_id").isNotNull()).groupBy("viewer_id", "channel_id").agg(F.min(F.struct("watched_at", "event_id", "_block")).alias("f"))
+        fresh = first.groupBy(F.col("viewer_id").alias("_fv"), F.col("f._block").alias("_fb")).agg(F.collect_list("f.event_id").alias("_fresh"))
         carry = carry.join(fresh, F.col("_viewer").eqNullSafe(F.col("_fv")) & (F.col("_of") == F.col("_fb")), "left").drop("_fv", "_fb")
     rows = dated.join(carry, F.col("viewer_id").eqNullSafe(F.col("_viewer")) & (F.col("_block") == F.col("_of")))
     w, t = _within("viewer_id", "_block"), _us("watched_at")
     before, after = F.coalesce(F.lag(t).over(w), "_before"), F.coalesce(F.lead(t).over(w), "_after")
     rows = rows.withColumns({"_new": F.when(before.isNull() | (t - before > gap_us), 1).otherwise(0), "gap_s": F.when(after - t <= gap_us, F.floor((after - t) / 1_000_000)).cast("long")})
     if channels:
-        nth = F.row_number().over(_within("viewer_id", "_block", "channel_id"))
-        rows = rows.withColumn("new_channel", F.coalesce(F.array_contains("_fresh", F.col("channel_id")) & (nth == 1), F.lit(False)))
+        rows = rows.withColumn("new_channel", F.coalesce(F.array_contains("_fresh", F.col("event_id")), F.lit(False)))
     rows = rows.withColumn("_nth", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    across = (F.col("_nth") == 0) | (F.col("_goes_on") & (F.col("_nth") == F.col("_starts")))
-    rows = rows.withColumn("session_no", F.col("_sessions") + F.col("_nth")).withColumn("_across", across)
-    return rows.select(*views.columns, "session_no", "gap_s", *(["new_channel"] if channels else []), "_across")
+    rows = rows.withColumn("session_no", F.col("_sessions") + F.col("_nth"))
+    return rows.select(*views.columns, "session_no", "gap_s", *(["new_channel"] if channels else []))
 
 
 def sessionize(views: DataFrame, gap_s: int = SESSION_GAP_S, block_s: int = BLOCK_S) -> DataFrame:
     """Adds session_no (from 1, oldest first) and gap_s to the session's next start: a longer gap starts a session."""
-    return _cut(views, gap_s, block_s).drop("_across")
+    return _cut(views, gap_s, block_s)
 
 
 def mark_edges(rows: DataFrame) -> DataFrame:
@@ -150,15 +146,10 @@ def scan_sessions(rows: DataFrame, least_s: int = BACKGROUND_S, chain_gap_s: int
     return own.sortWithinPartitions(*SESSION, "watched_at", "event_id").mapInArrow(scan, schema)
 
 
-def timeline(views: DataFrame, chain_gap_s: int = CHAIN_GAP_S, block_s: int = BLOCK_S) -> DataFrame:
-    """All dated views with session, edge, first view of a channel, and what the scan adds.
-
-    Sessions of one block are scanned where they lie; the others, few, are dealt
-    by session first.
-    """
-    rows = mark_edges(_cut(views, SESSION_GAP_S, block_s, "channel_id" in views.columns))
-    within, across = (rows.filter(~F.col("_across")), rows.filter("_across"))
-    return scan_sessions(within.drop("_across"), chain_gap_s=chain_gap_s, together=True).unionByName(scan_sessions(across.drop("_across"), chain_gap_s=chain_gap_s))
+def timeline(views: DataFrame, chain_gap_s: int = CHAIN_GAP_S, block_s: int = BLOCK_S, channels: bool = True) -> DataFrame:
+    """All dated views with session, edge and what the scan adds; ``channels``: with the first view of each channel, if views have one."""
+    rows = mark_edges(_cut(views, SESSION_GAP_S, block_s, channels and "channel_id" in views.columns))
+    return scan_sessions(rows, chain_gap_s=chain_gap_s)
 
 
 def main_lane(rows: DataFrame) -> DataFrame:

@@ -17,6 +17,11 @@ from .oracle import CHAINS, DAYS, SESSIONS, TIMELINE, VIEWS, sql
 US = F.unix_micros
 
 
+def line(spark, d, channels: bool = False) -> DataFrame:
+    """The timeline of the columns that its operators read; ``channels``: with the first views of channels."""
+    return q.timeline(views(spark, d).select("event_id", "viewer_id", "watched_at", "channel_id", "area", "duration_s"), channels=channels)
+
+
 @register("f2_dated_views", sql(VIEWS, "SELECT count(*) FILTER (WHERE us IS NOT NULL) AS views, count(*) FILTER (WHERE us IS NULL) AS dropped FROM views"))
 def f2_dated_views(spark, d) -> DataFrame:
     return views(spark, d).agg(F.count("watched_at").alias("views"), F.count_if(F.col("watched_at").isNull()).alias("dropped"))
@@ -44,13 +49,13 @@ def w3_edges(spark, d) -> DataFrame:
 
 @register("w4_overlap", sql(TIMELINE, "SELECT event_id, overlap FROM t"))
 def w4_overlap(spark, d) -> DataFrame:
-    return q.timeline(views(spark, d)).select("event_id", "overlap")
+    return line(spark, d).select("event_id", "overlap")
 
 
 @register("f3_main_lane", sql(TIMELINE, "SELECT viewer_id, area, count(*) AS views FROM main GROUP BY viewer_id, area"))
 def f3_main_lane(spark, d) -> DataFrame:
     """Also A23: main-lane views per area."""
-    return q.main_lane(q.timeline(views(spark, d))).groupBy("viewer_id", "area").agg(F.count("*").alias("views"))
+    return q.main_lane(line(spark, d)).groupBy("viewer_id", "area").agg(F.count("*").alias("views"))
 
 
 @register("f4_night_views", sql(VIEWS, "SELECT viewer_id, count(*) FILTER (WHERE hour(watched_at) >= 23 OR hour(watched_at) < 5) AS night, count(*) AS views FROM views GROUP BY viewer_id"))
@@ -61,25 +66,25 @@ def f4_night_views(spark, d) -> DataFrame:
 @register("w5_chains", sql(CHAINS, "SELECT viewer_id, CAST(session_no AS BIGINT) AS session_no, len, area, start_us, span_s, CAST(duration_s AS BIGINT) AS duration_s, CAST(ordinal AS INTEGER) AS ordinal FROM chains"))
 def w5_chains(spark, d) -> DataFrame:
     """Also W6 and W7: span, duration over the whole range, and ordinal."""
-    c = q.chains(q.timeline(views(spark, d)))
+    c = q.chains(line(spark, d))
     return c.select("viewer_id", "session_no", "len", "area", US("started").alias("start_us"), "span_s", "duration_s", "ordinal")
 
 
 @register("j12_chain_doors", sql(CHAINS, "SELECT viewer_id, CAST(session_no AS BIGINT) AS session_no, start_us, nullif(door, '') AS door FROM chains"))
 def j12_chain_doors(spark, d) -> DataFrame:
-    c = q.chains(q.timeline(views(spark, d)))
+    c = q.chains(line(spark, d))
     return c.select("viewer_id", "session_no", US("started").alias("start_us"), "door")
 
 
 @register("a28_chain_facts", sql(CHAINS, "SELECT viewer_id, CAST(session_no AS BIGINT) AS session_no, start_us, channels, held, edged, exit_edge FROM chains"))
 def a28_chain_facts(spark, d) -> DataFrame:
-    c = q.chains(q.timeline(views(spark, d)))
+    c = q.chains(line(spark, d))
     return c.select("viewer_id", "session_no", US("started").alias("start_us"), "channels", "held", "edged", "exit_edge")
 
 
 @register("a30_chain_depths", sql(CHAINS, "SELECT len, count(*) AS chains FROM chains GROUP BY len"))
 def a30_chain_depths(spark, d) -> DataFrame:
-    return q.chains(q.timeline(views(spark, d))).groupBy("len").agg(F.count("*").alias("chains"))
+    return q.chains(line(spark, d)).groupBy("len").agg(F.count("*").alias("chains"))
 
 
 #: Values of the keys, as in the operators, for whole and for shared numbers alike.
@@ -90,7 +95,7 @@ CHAIN_SQL = {"depth": "len", "span": "span_s", "hours": "duration_s", "channels"
 def o7_chain_ranking(spark, d) -> DataFrame:
     """The first 60 by each key, and of one area by depth; also O11, the choice of chains to name."""
     folder = scratch(spark, "chains")
-    q.chains(q.timeline(views(spark, d))).write.parquet(folder)
+    q.chains(line(spark, d)).write.parquet(folder)
     c, out = spark.read.parquet(folder), []
     for name, key, area in [*((k, k, None) for k in q.CHAIN_KEYS), ("click", "depth", "click")]:
         top = q.ranked(c, key, q.CHAIN_KEYS, "started", 60, area)
@@ -106,7 +111,7 @@ DAY_SQL = ", ".join(f"CAST({c} AS BIGINT) AS {c}" if c in ("duration_s", "sessio
 @register("a17_days", sql(DAYS, f"SELECT {DAY_SQL} FROM days"))
 def a17_days(spark, d) -> DataFrame:
     """Also A18, W9 and J9: deepest chain, new channels, sessions by day."""
-    return q.days(q.timeline(views(spark, d))).select(*DAY_COLUMNS).orderBy("viewer_id", "day")
+    return q.days(line(spark, d, channels=True)).select(*DAY_COLUMNS).orderBy("viewer_id", "day")
 
 
 PEAKED = """, r AS (SELECT *,
@@ -118,18 +123,18 @@ peaked AS (SELECT *, CAST(greatest(pv, pc, pn, pa) AS INTEGER) AS peak, CASE WHE
 
 @register("w8_peaks", sql(DAYS, PEAKED + " SELECT viewer_id, day, peak, peak_axis FROM peaked"))
 def w8_peaks(spark, d) -> DataFrame:
-    return q.peaks(q.days(q.timeline(views(spark, d)))).select("viewer_id", "day", "peak", "peak_axis")
+    return q.peaks(q.days(line(spark, d, channels=True))).select("viewer_id", "day", "peak", "peak_axis")
 
 
 @register("a19_transitions", sql(TIMELINE, "SELECT viewer_id, area_before AS from_area, area AS to_area, count(*) AS n, count(DISTINCT day) AS days FROM main WHERE m_place > 1 GROUP BY viewer_id, area_before, area"))
 def a19_transitions(spark, d) -> DataFrame:
     """Also A20: on how many days each happened."""
-    return q.transitions(q.timeline(views(spark, d)))
+    return q.transitions(line(spark, d))
 
 
 @register("o6_top_transitions", sql(TIMELINE, "SELECT area_before AS from_area, area AS to_area, count(*) AS n FROM main WHERE m_place > 1 GROUP BY area_before, area ORDER BY n DESC, from_area, to_area LIMIT 60"))
 def o6_top_transitions(spark, d) -> DataFrame:
-    n = q.transitions(q.timeline(views(spark, d))).groupBy("from_area", "to_area").agg(F.sum("n").alias("n"))
+    n = q.transitions(line(spark, d)).groupBy("from_area", "to_area").agg(F.sum("n").alias("n"))
     return n.orderBy(F.col("n").desc(), "from_area", "to_area").limit(60)
 
 
@@ -142,24 +147,24 @@ tt AS (SELECT viewer_id, count(*) AS views, count(DISTINCT session_no) AS sessio
 SELECT tt.viewer_id, tt.views, sessions, overlap_views, CAST(duration_s AS BIGINT) AS duration_s, CAST(ls.session_no AS BIGINT) AS longest_session, ls.n AS longest_views, coalesce(dp.m, 0) AS deepest_chain, CAST(de.session_no AS BIGINT) AS deepest_session, de.start_us AS deepest_start_us, CAST(coalesce(dp.c, 0) AS BIGINT) AS chain_views, bd.day AS busiest_day, bd.views AS busiest_views
 FROM tt JOIN ls USING (viewer_id) LEFT JOIN dp USING (viewer_id) LEFT JOIN de ON de.viewer_id = tt.viewer_id JOIN bd ON bd.viewer_id = tt.viewer_id"""))
 def a22_headline(spark, d) -> DataFrame:
-    return q.headline(q.timeline(views(spark, d))).withColumn("deepest_start_us", US("deepest_started")).drop("deepest_started")
+    return q.headline(line(spark, d)).withColumn("deepest_start_us", US("deepest_started")).drop("deepest_started")
 
 
 @register("a24_retention", sql(TIMELINE, """, a AS (SELECT viewer_id, area, count(*) AS main, count(*) FILTER (WHERE edge = 'through') AS through, count(*) FILTER (WHERE edge = 'most') AS most, count(*) FILTER (WHERE edge = 'skipped') AS skipped FROM main GROUP BY viewer_id, area)
 SELECT *, CAST(main * 1000000 // sum(main) OVER (PARTITION BY viewer_id) AS BIGINT) AS share, CASE WHEN through + most + skipped = 0 THEN 0 ELSE through * 1000000 // (through + most + skipped) END AS held FROM a"""))
 def a24_retention(spark, d) -> DataFrame:
-    return q.retention(q.timeline(views(spark, d)))
+    return q.retention(line(spark, d))
 
 
 @register("a25_positions", sql(TIMELINE, "SELECT viewer_id, CASE WHEN m_place <= 3 THEN CAST(m_place AS VARCHAR) WHEN m_place <= 6 THEN '4-6' WHEN m_place <= 10 THEN '7-10' ELSE '11+' END AS bucket, area, count(*) AS views FROM main GROUP BY ALL"))
 def a25_positions(spark, d) -> DataFrame:
     """Also W10: a view's place among its session's main-lane rows."""
-    return q.positions(q.timeline(views(spark, d)))
+    return q.positions(line(spark, d))
 
 
 @register("a31_first_and_late", sql(TIMELINE, "SELECT area, count(*) FILTER (WHERE m_place = 1) AS first, count(*) FILTER (WHERE m_place >= 7) AS late FROM main GROUP BY area"))
 def a31_first_and_late(spark, d) -> DataFrame:
-    p = q.positions(q.timeline(views(spark, d)))
+    p = q.positions(line(spark, d))
     pick = lambda *b: F.coalesce(F.sum(F.when(F.col("bucket").isin(*b), F.col("views"))), F.lit(0))
     return p.groupBy("area").agg(pick("1").alias("first"), pick("7-10", "11+").alias("late"))
 
@@ -186,18 +191,18 @@ def o9_top_contacts(spark, d) -> DataFrame:
 
 @register("a29_session_areas", sql(TIMELINE, "SELECT viewer_id, CAST(session_no AS BIGINT) AS session_no, area, count(*) AS views, CAST(row_number() OVER (PARTITION BY viewer_id, session_no ORDER BY count(*) DESC, area) AS INTEGER) AS rank FROM main GROUP BY viewer_id, session_no, area"))
 def a29_session_areas(spark, d) -> DataFrame:
-    return q.session_areas(q.timeline(views(spark, d)))
+    return q.session_areas(line(spark, d))
 
 
 @register("w11_neighbourhood", sql(DAYS, "SELECT viewer_id, day, count(*) OVER n AS near_days, CAST(sum(views) OVER n AS BIGINT) AS near_views, lag(day) OVER w AS day_before, lead(day) OVER w AS day_after FROM days WINDOW w AS (PARTITION BY viewer_id ORDER BY day), n AS (PARTITION BY viewer_id ORDER BY day ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)"))
 def w11_neighbourhood(spark, d) -> DataFrame:
     """Also W12: the days before and after."""
-    return q.neighbourhood(q.days(q.timeline(views(spark, d))))
+    return q.neighbourhood(q.days(line(spark, d, channels=True)))
 
 
 @register("w13_month_first_days", sql(DAYS, "SELECT viewer_id, substr(day, 1, 7) AS month, min(day) AS first_day FROM days GROUP BY ALL"))
 def w13_month_first_days(spark, d) -> DataFrame:
-    return q.days(q.timeline(views(spark, d))).groupBy("viewer_id", F.substring("day", 1, 7).alias("month")).agg(F.min("day").alias("first_day"))
+    return q.days(line(spark, d, channels=True)).groupBy("viewer_id", F.substring("day", 1, 7).alias("month")).agg(F.min("day").alias("first_day"))
 
 
 @register("w14_month_axis", sql(VIEWS, """, m AS (SELECT date_trunc('month', watched_at) AS m, count(*) AS n FROM views GROUP BY 1),
@@ -220,7 +225,7 @@ def w15_day_axis(spark, d) -> DataFrame:
 
 @register("w16_lenses", sql(DAYS, "SELECT viewer_id, day, " + ", ".join(f"CAST(CASE WHEN max({c}) OVER v = 0 THEN 0 ELSE {c} * 1000 // max({c}) OVER v END AS BIGINT) AS {c}_lens" for c in ("views", "duration_s", "chain_max", "night_views", "areas", "new_channels")) + " FROM days WINDOW v AS (PARTITION BY viewer_id)"))
 def w16_lenses(spark, d) -> DataFrame:
-    return q.lenses(q.days(q.timeline(views(spark, d))))
+    return q.lenses(q.days(line(spark, d, channels=True)))
 
 
 DAY_VALUE_SQL = {
@@ -233,7 +238,7 @@ DAY_VALUE_SQL = {
 def o8_day_ranking(spark, d) -> DataFrame:
     """The first 60 days by each of nine keys."""
     folder = scratch(spark, "days")
-    q.peaks(q.days(q.timeline(views(spark, d)))).write.parquet(folder)
+    q.peaks(q.days(line(spark, d, channels=True))).write.parquet(folder)
     x, out = spark.read.parquet(folder), []
     for key in q.DAY_KEYS:
         w = Window.orderBy(F.col("by").desc(), F.col("day").desc(), "viewer_id")  # of 60 rows
