@@ -138,3 +138,16 @@ def test_signatures_set_few_pairs_of_short_lines_aside(spark):
     missed = len(kept_by(spark, rows)) - 4000
     assert 0 <= missed < 48
     print("missed", missed)
+
+
+def test_a_text_of_many_equal_lines_takes_linear_time(spark):
+    """Its rebuilding, too, which once looked every line up in a list of all dropped ones."""
+    import time
+
+    lines = ["the very same line again"] * 300_000
+    lines[200_000] = "another line that stays where it is"
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "first of its kind\n" * 3 + "\n" + "the very same line again")], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r["text"] for r in m.deduplicated(docs).collect()}
+    assert got == {1: "the very same line again\nanother line that stays where it is", 2: "first of its kind\n"}
+    assert time.monotonic() - began < 120

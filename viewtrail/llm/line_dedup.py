@@ -277,15 +277,17 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, texts without their dropped lines, n_chars as they are now."""
-    dropped = _decided(docs, "doc_id", "text", size, similarity).filter(~F.col("kept")).groupBy("doc_id", "t1", "t2").agg(F.collect_set("line_no").alias("_vt_dropped"))
-    dropped = stored(dropped, "line-dropped").select(F.col("doc_id").alias("_vt_id"), F.col("t1").alias("_vt_t1"), F.col("t2").alias("_vt_t2"), "_vt_dropped")
+    dropped = _decided(docs, "doc_id", "text", size, similarity).filter(~F.col("kept")).groupBy("doc_id", "t1", "t2").agg(F.array_sort(F.collect_set("line_no")).alias("_vt_dropped"))
+    # Whether each line up to the last dropped one stays: as many lines as lie between two dropped ones, and no.
+    gaps = F.transform("_vt_dropped", lambda x, j: F.concat(F.array_repeat(F.lit(True), (x - F.coalesce(F.get("_vt_dropped", j - 1), F.lit(-1)) - 1).cast("int")), F.array(F.lit(False))))
+    dropped = stored(dropped.select(F.col("doc_id").alias("_vt_id"), F.col("t1").alias("_vt_t1"), F.col("t2").alias("_vt_t2"), F.flatten(gaps).alias("_vt_stays")), "line-dropped")
     t1, t2 = _text_hashes(docs["text"].cast("string"))
     joined = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_vt_id")) & (t1 == F.col("_vt_t1")) & (t2 == F.col("_vt_t2")), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n'), (l, i) -> not array_contains(_vt_dropped, i)), '\\n')")
-    text = F.when(F.col("_vt_dropped").isNull(), F.col("text")).otherwise(kept)
+    kept = F.expr("array_join(filter(split(text, '\\n'), (l, i) -> coalesce(get(_vt_stays, i), true)), '\\n')")
+    text = F.when(F.col("_vt_stays").isNull(), F.col("text")).otherwise(kept)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_vt_dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("_vt_stays").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 
