@@ -79,7 +79,8 @@ def _text_hashes(text) -> list:
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, t1, t2, line_no, line, h1, h2) of the lines that aren't blank."""
     text = F.col(text_col).cast("string")
-    split = docs.select(F.col(id_col).alias("doc_id"), *_text_hashes(text), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    named = docs.select(F.col(id_col).alias("doc_id"), *_text_hashes(text), text.alias("_vt_text"))  # first: after the split each line would hash its whole text
+    split = named.select("doc_id", "t1", "t2", F.posexplode(F.split("_vt_text", "\n")).alias("line_no", "line"))
     split = split.withColumn("line", F.trim("line")).filter(F.col("line") != "")
     return split.select("doc_id", "t1", "t2", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
