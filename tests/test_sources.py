@@ -162,3 +162,19 @@ def test_fingerprint_and_hue(spark):
     assert t.fingerprint({"b": "2", "a": "1"}) == t.fingerprint({"a": "1", "b": "2"}) != t.fingerprint({"a": "1", "b": "3"})
     df = spark.createDataFrame([("music",), ("",)], "x string")
     assert [r[0] for r in df.select(t.hue("x")).collect()] == [276, 2166136261 % 360]
+
+
+def test_bytes_are_cut_and_made_valid(spark):
+    from viewtrail.functions import text as t
+
+    rows = spark.createDataFrame([("abc",), ("abcd",), ("aéé",), ("äö",), (None,), ("",)], "x string")
+    assert [r[0] for r in rows.select(t.truncate("x", 4)).collect()] == ["abc", "abcd", "aé�…", "äö", None, ""]
+
+
+def test_subscriptions_of_any_width(spark, tmp_path):
+    path = tmp_path / "abos.csv"
+    path.write_text('a,b,"c, d",e,f,g,Kanal-ID,Titel\n1,2,3,4,5,6,UC1,One,more\n1,2,3\n1,2,3,4,5,6,Kanal-ID,Two\n')
+    got = {r["channel_id"]: r["title"] for r in export.read_subscriptions(spark, str(path)).collect()}
+    assert got == {"UC1": "One", "Kanal-ID": "Two"}  # a row of the header's word is a row
+    path.write_text("")
+    assert export.read_subscriptions(spark, str(path)).collect() == []

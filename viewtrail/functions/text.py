@@ -214,6 +214,13 @@ def clip(text, cap: int) -> Column:
     return F.when(F.char_length(t) <= cap, t).otherwise(F.concat(F.substring(t, 1, cap - 1), F.lit("…")))
 
 
+def truncate(text, size: int) -> Column:
+    """At most so many bytes of UTF-8 and a mark of omission; a character that is cut in two becomes the replacement character."""
+    t = _c(text)
+    cut = F.make_valid_utf8(F.substring(t.cast("binary"), 1, size).cast("string"))
+    return F.when(F.octet_length(t) <= size, t).otherwise(F.concat(cut, F.lit("…")))
+
+
 def cache_key(*parts) -> Column:
     return F.substring(F.sha2(F.concat_ws("\0", *map(_c, parts)), 256), 1, 24)
 

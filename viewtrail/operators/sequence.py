@@ -313,3 +313,15 @@ def lenses(found: DataFrame) -> DataFrame:
     w = Window.partitionBy("viewer_id")
     share = lambda c: F.coalesce(F.floor(F.try_divide(F.col(c) * 1000, F.max(c).over(w))), F.lit(0)).cast("long").alias(f"{c}_lens")
     return found.select("viewer_id", "day", *map(share, ("views", "duration_s", "chain_max", "night_views", "areas", "new_channels")))
+
+
+def session_neighbours(found: DataFrame) -> DataFrame:
+    """Sessions with the day they stand on and the starts of the viewer's older and newer ones."""
+    w = Window.partitionBy("viewer_id").orderBy("session_no")
+    return found.select("viewer_id", "session_no", F.date_format("started", "yyyy-MM-dd").alias("day"), F.lag("started").over(w).alias("older"), F.lead("started").over(w).alias("newer"))
+
+
+def chain_neighbours(found: DataFrame) -> DataFrame:
+    """Chains with their place among their session's and the starts of the earlier and later one."""
+    w = Window.partitionBy(*SESSION).orderBy("ordinal")
+    return found.select(*SESSION, "ordinal", F.count("*").over(Window.partitionBy(*SESSION)).alias("of"), F.lag("started").over(w).alias("earlier"), F.lead("started").over(w).alias("later"))

@@ -7,6 +7,8 @@ over them runs in one group, behind a check of their number. What precedes it
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -71,15 +73,103 @@ def few(df: DataFrame, most: int = MOST_LABELS) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+@dataclass
+class Centres:
+    """Unit centroids in groups about pivots, for the nearest by cosine without comparing all.
+
+    Angles between unit vectors obey the triangle inequality: a centroid of a
+    group is no nearer than the pivot's angle less the group's radius. A row
+    meets its nearest pivot's group first and then the groups that the bound
+    doesn't exclude, each as one product of a block of rows with a block of
+    centroids. Places are those of centroids in label order; the last of equal
+    cosines to nine places wins.
+    """
+
+    units: np.ndarray
+    places: np.ndarray
+    pivots: np.ndarray
+    groups: list[np.ndarray]
+    radii: np.ndarray
+    others: int | None
+
+    #: Radians by which bounds are widened: cosines that are equal to nine places lie no further apart.
+    MARGIN = 1e-4
+
+    @classmethod
+    def of(cls, vectors: list[np.ndarray], size: int) -> Centres:
+        """vectors in label order; those of another size or of no length are as far from all as right angles."""
+        fit = [v is not None and len(v) == size and np.dot(v, v) > 0 for v in vectors]
+        places = np.flatnonzero(fit)
+        units = np.array([vectors[i] / np.sqrt(np.dot(vectors[i], vectors[i])) for i in places], np.float64).reshape(len(places), size)
+        others = max((i for i, f in enumerate(fit) if not f), default=None)
+        pivots, far = [], np.full(len(units), np.inf)
+        for _ in range(min(len(units), int(np.sqrt(len(units)) * 1.5) + 1)):  # each the furthest from those before
+            pivots.append(int(far.argmax()) if pivots else 0)
+            far = np.minimum(far, cls.angles(units, units[pivots[-1:]])[:, 0])
+        to = cls.angles(units, units[pivots]) if pivots else np.zeros((0, 0))
+        own = to.argmin(axis=1) if pivots else np.zeros(0, np.int64)
+        groups = [np.flatnonzero(own == g) for g in range(len(pivots))]
+        radii = np.array([to[m, g].max(initial=0) for g, m in enumerate(groups)])
+        return cls(units, places, units[pivots] if pivots else units, groups, radii, others)
+
+    @staticmethod
+    def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+    def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, int]:
+        """(place of the nearest centroid of each unit row, vectors compared)."""
+        start = -np.inf if self.others is None else 0.0
+        best, at = np.full(len(rows), start), np.full(len(rows), -1 if self.others is None else self.others)
+        if not len(self.units) or not len(rows):
+            return at, 0
+        pivot = self.angles(rows, self.pivots)
+        first, compared = pivot.argmin(axis=1), pivot.size
+
+        def meet(g: int, which: np.ndarray) -> int:
+            members = self.groups[g]
+            cosines = np.round(rows[which] @ self.units[members].T, 9)
+            last = cosines.shape[1] - 1 - cosines[:, ::-1].argmax(axis=1)  # members stand in label order
+            value, place = cosines[np.arange(len(which)), last], self.places[members[last]]
+            better = (value > best[which]) | ((value == best[which]) & (place > at[which]))
+            best[which[better]], at[which[better]] = value[better], place[better]
+            return cosines.size
+
+        for g in np.unique(first):
+            compared += meet(g, np.flatnonzero(first == g))
+        for g in range(len(self.groups)):
+            open_ = (first != g) & (pivot[:, g] - self.radii[g] <= np.arccos(np.clip(best, -1.0, 1.0)) + self.MARGIN)
+            if open_.any():
+                compared += meet(g, np.flatnonzero(open_))
+        return at, compared
+
+
 def nearest(df: DataFrame, vec: str, centres: DataFrame, label: str) -> DataFrame:
     """Adds ``nearest``, the label of the closest centroid: chosen in each row, without a shuffle.
 
     centres: a table of ``few``, label and centroid. The greater label wins ties
-    of nine places.
+    of nine places; a vector of another size than the first centroid's, or of no
+    length, has the cosine 0.
     """
-    listed = F.broadcast(centres.agg(F.collect_list(F.struct(label, "centroid")).alias("_all")))  # one row of at most MOST_LABELS
-    best = F.array_max(F.transform("_all", lambda c: F.struct(F.round(cosine(F.col(vec), c["centroid"]), 9).alias("s"), c[label].alias("l"))))
-    return df.crossJoin(listed).withColumn("nearest", best["l"]).drop("_all")
+    rows = sorted(centres.select(label, "centroid").filter(F.col(label).isNotNull()).collect())  # at most MOST_LABELS
+    names = pd.Series([r[0] for r in rows])
+    vectors = [None if r[1] is None else np.array(r[1], np.float64) for r in rows]
+    size = next((len(v) for v in vectors if v is not None), 0)
+    held = Centres.of(vectors, size)
+    kind = centres.schema[label].dataType
+
+    @F.pandas_udf(kind)
+    def closest(column: pd.Series) -> pd.Series:
+        out = np.full(len(column), len(names) - 1)  # a row without a direction is as far from all
+        own = [k for k, v in enumerate(column) if v is not None and len(v) == size]
+        matrix = np.array([column.iloc[k] for k in own], np.float64).reshape(len(own), size)
+        lengths = np.sqrt((matrix * matrix).sum(axis=1))
+        fit = lengths > 0
+        for at in range(0, int(fit.sum()), 1024):
+            part = np.flatnonzero(fit)[at : at + 1024]
+            out[np.array(own)[part]] = held.nearest(matrix[part] / lengths[part, None])[0]
+        return pd.Series([names.iloc[k] if k >= 0 else None for k in out])
+
+    return df.withColumn("nearest", closest(F.col(vec).cast("array<double>")))
 
 
 def labels(views: DataFrame) -> DataFrame:

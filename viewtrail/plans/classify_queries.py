@@ -323,3 +323,11 @@ def p36_prompts(spark, d) -> DataFrame:
     made = summary.batched_prompts(v.select("video_id", text.alias("text")), 20)
     lines = made.select(F.arrays_zip("ids", F.split("user", "\n").alias("lines")).alias("x")).select(F.inline("x"))
     return lines.select(F.col("ids").alias("video_id"), F.regexp_replace("lines", r"^\d+\. ", "").alias("text"))
+
+
+@register("a37_gone_counters", "SELECT coalesce(CASE event_id % 5 WHEN 0 THEN 'private' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'age' WHEN 4 THEN 'members' END, 'transient') AS reason, count(*) AS videos FROM events GROUP BY ALL")
+def a37_gone_counters(spark, d) -> DataFrame:
+    """How many answers of a fetch gave each reason; those without one are asked again."""
+    from .text_queries import p25_error_triage
+
+    return p25_error_triage(spark, d).groupBy(F.coalesce("reason", F.lit("transient")).alias("reason")).agg(F.count("*").alias("videos"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import sequence as q
-from ..operators.payload import payload
+from ..operators.payload import dictionary, payload, view_rows
 from ..sources.events import views
 from ..sources.scratch import scratch
 from .catalog import register
@@ -200,6 +200,19 @@ def w11_neighbourhood(spark, d) -> DataFrame:
     return q.neighbourhood(q.days(line(spark, d, channels=True)))
 
 
+@register("w12_session_neighbours", sql(SESSIONS, """, s AS (SELECT viewer_id, session_no, min(us) AS a FROM sn GROUP BY viewer_id, session_no)
+SELECT viewer_id, CAST(session_no AS BIGINT) AS session_no, strftime(make_timestamp(a), '%Y-%m-%d') AS day, lag(a) OVER w AS older_us, lead(a) OVER w AS newer_us FROM s WINDOW w AS (PARTITION BY viewer_id ORDER BY session_no)"""))
+def w12_session_neighbours(spark, d) -> DataFrame:
+    s = q.session_neighbours(q.sessions(q.sessionize(views(spark, d))))
+    return s.select("viewer_id", "session_no", "day", US("older").alias("older_us"), US("newer").alias("newer_us"))
+
+
+@register("w12_chain_neighbours", sql(CHAINS, "SELECT viewer_id, CAST(session_no AS BIGINT) AS session_no, CAST(ordinal AS INTEGER) AS ordinal, count(*) OVER s AS of, lag(start_us) OVER w AS earlier_us, lead(start_us) OVER w AS later_us FROM chains WINDOW s AS (PARTITION BY viewer_id, session_no), w AS (PARTITION BY viewer_id, session_no ORDER BY ordinal)"))
+def w12_chain_neighbours(spark, d) -> DataFrame:
+    c = q.chain_neighbours(q.chains(line(spark, d)))
+    return c.select("viewer_id", "session_no", "ordinal", "of", US("earlier").alias("earlier_us"), US("later").alias("later_us"))
+
+
 @register("w13_month_first_days", sql(DAYS, "SELECT viewer_id, substr(day, 1, 7) AS month, min(day) AS first_day FROM days GROUP BY ALL"))
 def w13_month_first_days(spark, d) -> DataFrame:
     return q.days(line(spark, d, channels=True)).groupBy("viewer_id", F.substring("day", 1, 7).alias("month")).agg(F.min("day").alias("first_day"))
@@ -261,3 +274,27 @@ def k5_payload_rows(spark, d) -> DataFrame:
     q.timeline(v).write.parquet(folder)
     areas = v.select("area").distinct().withColumn("area_no", F.dense_rank().over(Window.orderBy("area")) - 1)  # a row an area
     return payload(spark.read.parquet(folder), areas)
+
+
+#: Names of a page that stand in dictionaries.
+NAMES = ("video_id", "channel", "topic")
+FIRSTS = ", ".join(f"d{c} AS (SELECT viewer_id, {c}, row_number() OVER (PARTITION BY viewer_id ORDER BY min(struct_pack(a := us, b := event_id)), {c}) - 1 AS no FROM t GROUP BY viewer_id, {c})" for c in NAMES)
+
+
+@register("k5_dictionaries", sql(VIEWS, ", t AS (SELECT * FROM views WHERE us IS NOT NULL), " + FIRSTS + " " + " UNION ALL ".join(f"SELECT viewer_id, '{c}' AS kind, no, {c} AS value FROM d{c}" for c in NAMES)))
+def k5_dictionaries(spark, d) -> DataFrame:
+    """A viewer's videos, channels and topics by first appearance, numbered block by block of time."""
+    v = views(spark, d)
+    return reduce(DataFrame.unionByName, (dictionary(v, c).select("viewer_id", F.lit(c).alias("kind"), "no", "value") for c in NAMES))
+
+
+@register("k5_view_rows", sql(TIMELINE, ", " + FIRSTS + """,
+s AS (SELECT viewer_id, session_no, min(us) AS a, count(*) AS n FROM t GROUP BY ALL),
+so AS (SELECT *, row_number() OVER w - 1 + coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, min(a) OVER (PARTITION BY viewer_id) AS t0 FROM s WINDOW w AS (PARTITION BY viewer_id ORDER BY session_no DESC))
+SELECT t.viewer_id, CAST(pos + place AS BIGINT) AS place, concat('[', concat_ws(',', us // 1000000 - t0 // 1000000, v.no, c.no, p.no, duration_s, coalesce(list_position(['through', 'most', 'skipped'], edge) - 1, -1), CAST(overlap AS INTEGER)), ']') AS payload
+FROM t JOIN so ON so.viewer_id = t.viewer_id AND so.session_no = t.session_no JOIN dvideo_id v ON v.viewer_id = t.viewer_id AND v.video_id = t.video_id JOIN dchannel c ON c.viewer_id = t.viewer_id AND c.channel = t.channel JOIN dtopic p ON p.viewer_id = t.viewer_id AND p.topic = t.topic"""))
+def k5_view_rows(spark, d) -> DataFrame:
+    """Each view's positional row, with numbers of the dictionaries for its names."""
+    folder = scratch(spark, "timeline")
+    q.timeline(views(spark, d), channels=False).write.parquet(folder)
+    return view_rows(spark.read.parquet(folder), NAMES)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import replies, text as t
-from ..sources import config, connectors, export
+from ..sources import config, connectors, export, files
 from ..sources.events import table, views
 from ..sources.scratch import scratch
 from ..sources.snapshots import KeyedLog
@@ -103,11 +103,24 @@ def s3_chosen(spark, d) -> DataFrame:
 @register("s5_subscriptions", "SELECT 'UC' || c_custkey AS channel_id, CASE WHEN c_custkey % 6 <> 1 THEN 'http://c/' || c_custkey END AS channel_url, CASE WHEN c_custkey % 6 > 1 THEN c_name END AS title FROM customer WHERE c_custkey % 5 <> 0")
 def s5_subscriptions(spark, d) -> DataFrame:
     """Ragged rows: some end after the id, some after the address; rows without an id go."""
+    return subscriptions(spark, d, "Kanal-ID,Kanal-URL,Kanaltitel", lambda own, url, title: (own, url, title))
+
+
+@register("s5_wide_subscriptions", "SELECT 'UC' || c_custkey AS channel_id, CASE WHEN c_custkey % 6 <> 1 THEN 'http://c/' || c_custkey END AS channel_url, c_name AS title FROM customer WHERE c_custkey % 5 <> 0")
+def s5_wide_subscriptions(spark, d) -> DataFrame:
+    """Eight columns, the id in the seventh and the title before it; a row that ends there has no address."""
+    x = F.lit("x")
+    return subscriptions(spark, d, "a,b,c,d,e,Titel,Kanal-ID,url", lambda own, url, title: (x, x, x, x, x, title, own, url), wide=True)
+
+
+def subscriptions(spark, d, head: str, layout, wide: bool = False) -> DataFrame:
     folder, k = scratch(spark, "subscriptions"), F.col("c_custkey")
     own = F.when(k % 5 != 0, F.concat(F.lit("UC"), k)).otherwise(" ")
-    line = F.when(k % 6 == 1, own).when(k % 6 == 0, F.concat_ws(",", own, F.concat(F.lit("http://c/"), k))).otherwise(F.concat_ws(",", own, F.concat(F.lit("http://c/"), k), "c_name"))
-    head = spark.createDataFrame([("Kanal-ID,Kanal-URL,Kanaltitel",)], "value string")
-    head.unionByName(table(spark, d, "customer").select(line.alias("value"))).coalesce(1).write.text(folder)  # one file, as an export has
+    cells = layout(own, F.concat(F.lit("http://c/"), k), F.col("c_name"))
+    upto = lambda n: F.concat_ws(",", *cells[:n])
+    line = F.when(k % 6 == 1, upto(len(cells) - 1)).otherwise(upto(len(cells))) if wide else F.when(k % 6 == 1, upto(1)).when(k % 6 == 0, upto(2)).otherwise(upto(3))
+    top = spark.createDataFrame([(head,)], "value string")
+    top.unionByName(table(spark, d, "customer").select(line.alias("value"))).coalesce(1).write.text(folder)  # one file, as an export has
     return export.read_subscriptions(spark, folder)
 
 
@@ -133,7 +146,30 @@ def keyed_folder(spark, d) -> str:
 @register("s7_keyed_files", "SELECT 's' || s_suppkey AS id, s_name AS title, CAST(s_suppkey % 100 AS DOUBLE) AS duration, s_suppkey % 4 = 0 AS unavailable FROM supplier")
 def s7_keyed_files(spark, d) -> DataFrame:
     """Also K2: a file a key, written whole, read strictly."""
-    return export.read_keyed(spark, keyed_folder(spark, d)).select("id", "title", "duration", "unavailable")
+    return files.read_keyed(spark, keyed_folder(spark, d), META).select("id", "title", "duration", "unavailable")
+
+
+META = "id STRING, title STRING, duration DOUBLE, unavailable BOOLEAN"
+
+
+@register("s7_first_error", "SELECT min('s' || s_suppkey) AS first, count(*) AS bad FROM supplier WHERE s_suppkey % 4 = 3")
+def s7_first_error(spark, d) -> DataFrame:
+    """Of files that can't be decoded the error names the first by path, whichever task met which."""
+    folder, rows, bad = scratch(spark, "keyed"), keyed(spark, d), F.substring("id", 2, 20).cast("long") % 4 == 3
+    for part in (rows.filter(~bad), rows.filter(bad).withColumn("duration", F.lit("soon"))):
+        export.write_keyed(part, folder, "id").write.format("noop").mode("overwrite").save()
+    try:
+        files.read_keyed(spark, folder, META)
+        raise AssertionError("bad files were read")
+    except ValueError as error:
+        said = str(error)
+    return spark.createDataFrame([(said.rsplit("/", 1)[1].removesuffix(".json"), int(said.split()[0]))], "first string, bad long")
+
+
+@register("s9_some_keys", "SELECT 's' || s_suppkey AS id, CAST(s_suppkey % 100 AS DOUBLE) AS duration FROM supplier WHERE s_suppkey IN (3, 5, 8)")
+def s9_some_keys(spark, d) -> DataFrame:
+    """A filter on ids reaches the listing: three files are opened."""
+    return files.read_keyed(spark, keyed_folder(spark, d), META, ["s3", "s5", "s8", "none"]).select("id", "duration")
 
 
 @register("s9_keyed_ids", "SELECT 's' || s_suppkey AS id FROM supplier")
@@ -200,6 +236,16 @@ def k2_keyed_versions(spark, d) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+@register("p38_provenance", "SELECT 'sha256:' || substr(sha256(string_agg(n_name, ',' ORDER BY n_name) || chr(10)), 1, 12) AS digest, true AS named, true AS stamped FROM nation")
+def p38_provenance(spark, d) -> DataFrame:
+    """The line that tells which file an output was made with."""
+    folder = scratch(spark, "taxonomy")
+    table(spark, d, "nation").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("value")).write.text(folder)
+    parts = F.split("line", " ")
+    line = export.provenance(spark, folder).select("path", parts[0].alias("digest"), parts[1].alias("at"), parts[2].alias("stamp"))
+    return line.select("digest", (F.col("at") == F.col("path")).alias("named"), F.col("stamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("stamped"))
+
+
 def fetched(ids: list[str]) -> list[dict]:
     """A stand-in for a service: what it knows of an id follows from the id."""
     return [{"id": i, "title": f"title of {i}", "duration": len(i) + 0.9, "unavailable": i.endswith("3"), "gone_reason": "removed" if i.endswith("3") else None} for i in ids]

@@ -179,7 +179,10 @@ def k2_safe_keys(spark, d) -> DataFrame:
     return parts(spark, d).select("p_partkey", t.safe_key("p_brand").alias("safe"))
 
 
-@register("k3_csv_rows", sql(VIEWS, "SELECT CASE WHEN k % 23 = 5 THEN '' ELSE video_id END AS \"videoID\", area || ' ' || event_id AS title, channel, CASE WHEN k % 23 = 7 THEN '' ELSE CAST(channel_id AS VARCHAR) END AS \"channelID\", strftime(watched_at, '%Y-%m-%dT%H:%M:%SZ') AS \"watchedAt\", topic, area, coalesce(mode, '') AS mode, source, CASE WHEN k = 0 THEN '' ELSE printf('%.2f', CAST(confidence AS DOUBLE)) END AS confidence, duration_s AS \"durationS\", k % 23 <> 7 AND channel_id IN (SELECT channel_id FROM subs) AS subscribed, unavailable FROM views"))
+CSV_ROWS = sql(VIEWS, "SELECT CASE WHEN k % 23 = 5 THEN '' ELSE video_id END AS \"videoID\", area || ' ' || event_id AS title, channel, CASE WHEN k % 23 = 7 THEN '' ELSE CAST(channel_id AS VARCHAR) END AS \"channelID\", strftime(watched_at, '%Y-%m-%dT%H:%M:%SZ') AS \"watchedAt\", topic, area, coalesce(mode, '') AS mode, source, CASE WHEN k = 0 THEN '' ELSE printf('%.2f', CAST(confidence AS DOUBLE)) END AS confidence, duration_s AS \"durationS\", k % 23 <> 7 AND channel_id IN (SELECT channel_id FROM subs) AS subscribed, unavailable FROM views")
+
+
+@register("k3_csv_rows", CSV_ROWS)
 def k3_csv_rows(spark, d) -> DataFrame:
     from ..operators.report import csv_rows
     from ..sources.events import subscriptions
@@ -187,3 +190,20 @@ def k3_csv_rows(spark, d) -> DataFrame:
     k = F.round(F.col("confidence") * 100).cast("int")
     rows = views(spark, d).withColumns({"title": F.concat_ws(" ", "area", "event_id"), "video_id": F.when(k % 23 != 5, F.col("video_id")), "channel_id": F.when(k % 23 != 7, F.col("channel_id"))})
     return csv_rows(rows, subscriptions(spark, d))
+
+
+@register("k3_csv_file", CSV_ROWS)
+def k3_csv_file(spark, d) -> DataFrame:
+    """The rows after a trip through files that begin with a line of provenance and a header."""
+    from ..sources import files
+    from ..sources.scratch import scratch
+
+    folder, rows = scratch(spark, "csv"), k3_csv_rows(spark, d)
+    files.write_csv(rows, folder, "sha256:0123456789ab topics.yaml 2026-07-01T12:00:00Z")
+    back = files.read_csv(spark, folder, rows.schema)
+    return back.select(*(F.coalesce(F.col(f.name), F.lit("")).alias(f.name) if f.dataType.typeName() == "string" else F.col(f.name) for f in rows.schema))
+
+
+@register("p34_truncate", "SELECT p_partkey, CASE WHEN length(p_name) <= 12 THEN p_name ELSE substr(p_name, 1, 12) || '…' END AS cut FROM part")
+def p34_truncate(spark, d) -> DataFrame:
+    return parts(spark, d).select("p_partkey", t.truncate("p_name", 12).alias("cut"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from pathlib import Path
 
@@ -69,14 +70,16 @@ def parse_statistics(entries: DataFrame) -> DataFrame:
 
 
 def read_subscriptions(spark: SparkSession, path: str) -> DataFrame:
-    """A ragged CSV whose columns are named by its header; rows without id go.
+    """A ragged CSV of any width whose columns are named by its header; rows without id go.
 
-    A header that speaks of an id is the id, even if it names an address too;
-    then an address, then a title. Where none is named the places count.
+    The header is the first line of each file; that of the first file by path
+    tells the columns. One that speaks of an id is the id, even if it names an
+    address too; then an address, then a title. Where none is named the places
+    count.
     """
-    schema = "c0 STRING, c1 STRING, c2 STRING, c3 STRING, c4 STRING"
-    rows = spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE").csv(path)
-    head = [(h or "").lower() for h in (rows.limit(1).collect() or [[""] * 5])[0]]
+    first = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).agg(F.min("path")).first()[0]
+    line = spark.read.text(first).first()[0] if first else ""  # of one file, whose first split is the first to be read
+    head = [h.lower().removeprefix("\ufeff") for h in next(csv.reader([line]), [])]
     place: dict[str, int] = {}
     for k, h in enumerate(head):
         name = "channel_id" if "id" in h else "channel_url" if "url" in h else "title" if "title" in h or "titel" in h else None
@@ -84,10 +87,10 @@ def read_subscriptions(spark: SparkSession, path: str) -> DataFrame:
             place.setdefault(name, k)
     for k, name in enumerate(("channel_id", "channel_url", "title")):
         place.setdefault(name, k)
-    first = F.col(f"c{place['channel_id']}")
-    header = F.lower(F.coalesce(first, F.lit("")))
-    body = rows.filter((F.length(F.trim(F.coalesce(first, F.lit("")))) > 0) & (header != head[place["channel_id"]]))
-    return body.select(*(F.trim(F.col(f"c{place[n]}")).alias(n) for n in ("channel_id", "channel_url", "title")))
+    schema = ", ".join(f"c{k} STRING" for k in range(max(len(head), 3)))
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path)
+    own = rows.select(*(F.trim(F.col(f"c{place[n]}")).alias(n) for n in ("channel_id", "channel_url", "title")))
+    return own.filter(F.length(F.coalesce("channel_id", F.lit(""))) > 0)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -111,11 +114,11 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
-def write_csv(df: DataFrame, path: str, provenance: str | None = None) -> None:
-    """CSV with a header; the provenance stands beside it, as a comment file."""
-    df.write.mode("overwrite").option("header", True).csv(path)
-    if provenance:
-        df.sparkSession.createDataFrame([(f"# {provenance}",)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.comment")
+def provenance(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line) of each file: twelve digits of its SHA-256, its path, its time in UTC; for small files such as configs."""
+    files = spark.read.format("binaryFile").load(path)
+    stamp = F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return files.select("path", F.concat(F.lit("sha256:"), F.substring(F.sha2("content", 256), 1, 12), F.lit(" "), "path", F.lit(" "), stamp).alias("line"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
