@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from viewtrail.functions import replies as r
@@ -54,3 +56,31 @@ def test_projection_round_trip(tmp_path):
     config.write_projection(odd, str(path))
     assert config.load_projection(str(path)) == sorted((a, b) for a, b, _ in odd)
     assert config.load_control(str(tmp_path / "none"))["stop"] is False
+
+
+def test_expressions_read_lines_as_python_does(spark):
+    rng = random.Random(6)
+    words = ["learn", "consume", "mixed", "unclear", "binge", "Rock", "Other", "Deep-Dives!", "!!", "-", "n-a", "none", "0.5", "1", "1.5", "-1", ".2", "1e0", "x" * 40 + "-y", "é"]
+    replies = []
+    for k in range(400):
+        count = rng.randrange(0, 4)
+        order = rng.sample(range(1, count + 1), count)
+        lines = [f"{n}{rng.choice(['', '.', ')', ':'])}{rng.choice([' ', '  ', chr(9)])}" + " ".join(rng.choice(words) for _ in range(rng.choice([1, 2]))) for n in order]
+        for _ in range(rng.choice([0, 0, 1])):
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice(["Here:", "", "9 learn", "9 nothing at all", "1 learn", "0 learn", "007 learn", "99999999999999999999 learn", "1 rust 0.5", "a1 learn"]))
+        replies.append((k, [f"{k}-{i}" for i in range(count)], chr(10).join(lines) if k else None))
+    df = spark.createDataFrame(replies, "batch_id long, ids array<string>, reply string")
+    plain = {"modes": lambda x, n: [(m,) for m in r.modes(x, n)], "subjects": r.subjects, "names": lambda x, n: [(m,) for m in r.names(x, n)]}
+    whole = 0
+    for kind, read in plain.items():
+        want = {}
+        for _, ids, reply in replies:
+            try:
+                want |= {i: (*v, None) for i, v in zip(ids, read(reply or "", len(ids)), strict=True)}
+                whole += len(ids)
+            except r.Refused as why:
+                want |= {i: (*[None] * (2 if kind == "subjects" else 1), str(why)) for i in ids}
+        got = r.parse_kind(df, kind)
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {x["id"]: tuple(x)[2:] for x in got.collect()} == want
+    assert whole > 100

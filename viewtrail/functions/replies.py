@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .text import EMPTY_SUBS, MODES, SUB_CAP, UNCLEAR
 
@@ -159,21 +160,75 @@ def verdict_json(reply: str, areas: Areas) -> tuple[str, str, float] | None:
     return None if None in parts else parts
 
 
-#: Kinds of numbered replies: the parser over (reply, count, areas), and the columns of an answer.
+#: Kinds of numbered replies that Python reads: the parser over (reply, count, areas), and the columns of an answer.
 KINDS: dict[str, tuple[Callable, str]] = {
     "verdicts": (verdicts, "topic string, mode string, confidence double"),
-    "modes": (lambda reply, count, areas: [(m,) for m in modes(reply, count)], "mode string"),
-    "subjects": (lambda reply, count, areas: subjects(reply, count), "sub string, confidence double"),
-    "names": (lambda reply, count, areas: [(n,) for n in names(reply, count)], "name string"),
     "picks": (lambda reply, count, areas: [(picked.get(n),) for picked in [picks(reply, count)] for n in range(1, count + 1)], "pick int"),
 }
+_BLANKS = r"(?U)[\\s\\x1c-\\x1f]+"
+
+
+def _slug_sql(x: str) -> str:
+    edge = f"trim(BOTH '-' FROM regexp_replace(lower({x}), '[^a-z0-9]+', '-'))"
+    return f"trim(TRAILING '-' FROM substring({edge}, 1, {SUB_CAP}))"
+
+
+def _sure_sql(x: str) -> str:
+    return f"if({x} RLIKE '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$' AND CAST({x} AS DOUBLE) BETWEEN 0 AND 1, CAST({x} AS DOUBLE), NULL)"
+
+
+def _among(x: str, values) -> str:
+    return f"{x} IN ({', '.join(repr(v) for v in sorted(values))})"
+
+
+#: Kinds that column expressions read: fields of a line with its number, and the answer of the fields f[1], f[2] by column; the first is null where the line is no answer.
+LINES: dict[str, tuple[int, dict[str, str]]] = {
+    "modes": (2, {"mode": f"CASE WHEN {_among('f[1]', MODES)} THEN f[1] WHEN f[1] = '{UNCLEAR}' THEN '' END"}),
+    "subjects": (3, {
+        "sub": f"CASE WHEN {_sure_sql('f[2]')} IS NULL OR {_slug_sql('f[1]')} = '' THEN NULL WHEN {_among(_slug_sql('f[1]'), EMPTY_SUBS)} THEN '' ELSE {_slug_sql('f[1]')} END",
+        "confidence": _sure_sql("f[2]"),
+    }),
+    "names": (2, {"name": f"CASE WHEN {_slug_sql('f[1]')} <> '' THEN f[1] END"}),
+}
+
+
+def parse_lines(df: DataFrame, kind: str) -> DataFrame:
+    """What ``parse_kind`` says of modes, subjects and names, in column expressions alone.
+
+    Lines are split, read and held against the batch's ids inside their row; a
+    reply has as many lines as a batch has items, so its arrays are small.
+    """
+    width, answer = LINES[kind]
+    key = next(iter(answer))
+    told = ", ".join(f"'{c}', {x}" for c, x in answer.items())
+    # A line's number, of more digits than any batch counts as too far.
+    digits = "regexp_extract(f[0], '^0*([0-9]+)', 1)"
+    number = f"if(length({digits}) > 9, 999999999, CAST({digits} AS INT))"
+    rows = df.select("batch_id", "ids", F.expr(f"transform(split(coalesce(reply, ''), '\\n'), l -> filter(split(l, '{_BLANKS}'), w -> w <> ''))").alias("_fields"))
+    rows = rows.withColumn("_lines", F.expr(f"transform(filter(_fields, f -> size(f) = {width} AND f[0] RLIKE '^[0-9]+[.):]?$'), f -> named_struct('n', {number}, 'digits', {digits}, {told}))"))
+    rows = rows.withColumn("_numbers", F.expr("transform(_lines, x -> x.n)"))
+    wrong = f"""filter(transform(_lines, (x, i) -> CASE
+      WHEN x.n < 1 OR x.n > size(ids) THEN if(x.{key} IS NULL, NULL, concat('an answer for line ', x.digits, ' of ', size(ids)))
+      WHEN array_position(_numbers, x.n) <= i THEN concat('two answers for line ', x.n)
+      WHEN x.{key} IS NULL THEN concat('line ', x.n, ' holds no valid answer') END), e -> e IS NOT NULL)[0]"""
+    absent = "if(size(ids) = 0, array(), array_except(sequence(1, greatest(size(ids), 1)), _numbers))"
+    rows = rows.withColumn("_absent", F.expr(absent)).withColumn("_wrong", F.expr(f"get({wrong[:-3]}, 0)"))
+    short = F.when(F.size("_absent") > 0, F.concat(F.size("_absent"), F.lit(" of "), F.size("ids"), F.lit(" answers are missing, the first for line "), F.get("_absent", F.lit(0))))
+    rows = rows.withColumn("error", F.coalesce("_wrong", short))
+    each = rows.select("batch_id", "error", "_lines", "_numbers", F.posexplode("ids").alias("_at", "id"))
+    found = F.when(F.col("error").isNull(), F.get("_lines", (F.array_position("_numbers", F.col("_at") + 1) - 1).cast("int")))
+    return each.withColumn("_x", found).select("batch_id", "id", *(F.col(f"_x.{c}").alias(c) for c in answer), "error")
 
 
 def parse_kind(df: DataFrame, kind: str, areas: Areas = Areas(())) -> DataFrame:  # noqa: B008
     """batch_id, ids, reply to batch_id, id, the answer's columns and error.
 
-    A refused reply gives a row an id with null answers and the refusal.
+    A refused reply gives a row an id with null answers and the refusal. Python
+    reads verdicts, whose layouts are mended, and picks; the other kinds are
+    column expressions.
     """
+    if kind in LINES:
+        return parse_lines(df, kind)
     read, columns = KINDS[kind]
     width = columns.count(",") + 1
 
