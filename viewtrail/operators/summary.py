@@ -119,6 +119,17 @@ def system_prompt(kind: str, areas: dict[str, str] | None = None, seeds: dict[st
     return "\n".join(lines)
 
 
+def system_prompts(areas: list[str], seeds: DataFrame) -> DataFrame:
+    """(kind, prompt): the instruction of every kind, with the areas and their seeds (area, sub, rank) by rank."""
+    spark = seeds.sparkSession
+    named = spark.createDataFrame([(k, a) for k, a in enumerate(areas)], "place int, area string")  # of the config
+    known = seeds.groupBy("area").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sub"))), lambda x: x["sub"]), ", ").alias("known"))
+    line = F.concat(F.lit("- "), "area", F.coalesce(F.concat(F.lit(" (subjects so far: "), "known", F.lit(")")), F.lit("")))
+    lines = named.join(known, "area", "left").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))  # a row
+    kinds = spark.createDataFrame([(kind, system_prompt(kind)) for kind in ASKED], "kind string, head string")
+    return kinds.crossJoin(F.broadcast(lines)).select("kind", F.concat_ws("\n", "head", F.nullif("lines", F.lit(""))).alias("prompt"))
+
+
 def batched_prompts(items: DataFrame, size: int, order: str = "video_id", keys: list[str] | None = None) -> DataFrame:
     """batch, ids, user: numbered item texts, so many to a prompt and never of two groups of ``keys``.
 

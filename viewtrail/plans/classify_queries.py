@@ -198,9 +198,12 @@ def c7_merge_full_round(spark, d) -> DataFrame:
     return got.select("video_id", "topic", "mode", "model", F.array_contains("retried", "sub").alias("sub_mark"), F.array_contains("retried", "context").alias("context_mark"))
 
 
-@register("c8_sub_seeds", sql(CACHE, """, ts AS (SELECT norm FROM cache WHERE norm IS NOT NULL UNION ALL SELECT area || CASE WHEN sub IS NULL THEN '' ELSE '/' || sub END FROM views WHERE k % 5 = 0),
+SEEDS = """, ts AS (SELECT norm FROM cache WHERE norm IS NOT NULL UNION ALL SELECT area || CASE WHEN sub IS NULL THEN '' ELSE '/' || sub END FROM views WHERE k % 5 = 0),
 n AS (SELECT split_part(norm, '/', 1) AS area, substr(norm, instr(norm, '/') + 1) AS sub, count(*) AS n FROM ts WHERE instr(norm, '/') > 0 AND norm NOT IN ('view/s-1', 'click/s2') GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY n DESC, sub) AS rank FROM n) SELECT area, sub, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12"""))
+r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY n DESC, sub) AS rank FROM n) SELECT area, sub, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12"""
+
+
+@register("c8_sub_seeds", sql(CACHE, SEEDS))
 def c8_sub_seeds(spark, d) -> DataFrame:
     """Over rules and cache alike, without the topics that are asked again."""
     by_rule = views(spark, d).filter(F.round(F.col("confidence") * 100).cast("int") % 5 == 0).select("topic")
@@ -315,9 +318,7 @@ def k7_inspection_lines(spark, d) -> DataFrame:
 @register("p36_prompts", sql(VIDEOS, """, f AS (SELECT v.video_id, 'title of ' || v.video_id || ' | channel: channel-' || v.channel_id || ' | tags: ' || array_to_string(v.tags, ', ') || ' | area: ' || coalesce(v.category, 'unclear') AS text FROM videos v)
 SELECT video_id, text FROM f"""))
 def p36_prompts(spark, d) -> DataFrame:
-    """Item texts, numbered in batches of 20 and taken apart again; also the composers of each kind of question."""
-    for kind in summary.ASKED:
-        summary.system_prompt(kind, {"click": "clicks"}, {"click": ["s-1"]})
+    """Item texts, numbered in batches of 20 and taken apart again."""
     v = videos(spark, d)
     text = summary.item_text(F.concat(F.lit("title of "), "video_id"), F.concat(F.lit("channel-"), "channel_id"), F.col("tags"), F.coalesce(F.get("categories", F.lit(0)), F.lit("unclear")))
     made = summary.batched_prompts(v.select("video_id", text.alias("text")), 20)
@@ -331,3 +332,13 @@ def a37_gone_counters(spark, d) -> DataFrame:
     from .text_queries import p25_error_triage
 
     return p25_error_triage(spark, d).groupBy(F.coalesce("reason", F.lit("transient")).alias("reason")).agg(F.count("*").alias("videos"))
+
+
+@register("p36_system_prompts", sql(CACHE, SEEDS.replace("SELECT area, sub, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12", """,
+known AS (SELECT area, string_agg(sub, ', ' ORDER BY rank) AS known FROM r WHERE rank <= 12 GROUP BY area),
+named AS (SELECT * FROM (VALUES @AREAS@) v(place, area)),
+lines AS (SELECT string_agg('- ' || named.area || coalesce(' (subjects so far: ' || known || ')', ''), chr(10) ORDER BY place) AS lines FROM named LEFT JOIN known ON known.area = named.area)
+SELECT kind, head || chr(10) || lines AS prompt FROM (VALUES @KINDS@) k(kind, head), lines""".replace("@AREAS@", ", ".join(f"({k}, '{a}')" for k, a in enumerate(AREAS))).replace("@KINDS@", ", ".join(f"('{k}', '{summary.system_prompt(k)}')" for k in summary.ASKED)))))
+def p36_system_prompts(spark, d) -> DataFrame:
+    """The instruction of each kind of question, with the subjects of rules and cache so far."""
+    return summary.system_prompts(list(AREAS), c8_sub_seeds(spark, d))
