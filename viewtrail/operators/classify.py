@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import UNCLEAR, area_of, normalize_topic, replace_area, stale, sub_of
+from ..sources.scratch import scratch
 
 LEAST_SUB_CONFIDENCE = 0.4
 SEEDS_PER_AREA, CONTEXT_TOPICS = 12, 3
@@ -214,20 +215,24 @@ def priorities(views: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def strided_sample(ids: DataFrame, n: int, key: str = "video_id") -> DataFrame:
-    """n ids at equal steps of the sorted ids: places floor(i * count / n).
+    """n ids at equal steps of the sorted ids, or all if they are fewer: places floor(i * count / n).
 
-    Places come from counts of range partitions, so no task sorts all ids.
+    Places come from counts of range partitions, so no task sorts all ids. The
+    partitions are written once: they are drawn from a sample, and a second
+    evaluation would cut them elsewhere.
     """
     spark, distinct = ids.sparkSession, ids.select(key).distinct()
     ranged = distinct.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
     w = Window.partitionBy("_p").orderBy(key)
-    placed = ranged.withColumn("_n", F.row_number().over(w) - 1)
+    own, folder = ranged.withColumn("_n", F.row_number().over(w) - 1), scratch(spark, "strides")
+    own.write.parquet(folder)
+    placed = spark.read.schema(own.schema).parquet(folder)
     counts = {r[0]: r[1] for r in placed.groupBy("_p").count().collect()}  # a row a partition
     total, base, bases = sum(counts.values()), 0, []
     for p in sorted(counts):
         bases.append((p, base))
         base += counts[p]
-    wanted = sorted({int(i * total / n) for i in range(min(n, total))}) if total else []
+    wanted = sorted({int(i * total / n) for i in range(n)}) if total else []
     b = F.broadcast(spark.createDataFrame(bases, "_p int, _base long"))
     w = F.broadcast(spark.createDataFrame([(x,) for x in wanted], "_place long"))
     return placed.join(b, "_p").withColumn("_place", F.col("_base") + F.col("_n")).join(w, "_place", "left_semi").select(key)
