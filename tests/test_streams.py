@@ -75,3 +75,34 @@ def test_facts_wait_and_are_given_up(spark, tmp_path):
     _, out = swept(spark, held, tmp_path, held.schema)
     got = {r["event_id"]: (r["state"], r["value"]) for r in out.collect()}
     assert {k: got[k] for k in (1, 2, 3, 4)} == {1: ("known", 8), 2: ("known", 7), 3: ("known", 8), 4: ("alone", None)}  # z came too late
+
+
+def test_a_session_that_a_row_reaches_after_it_has_closed_is_one(spark, tmp_path):
+    at = lambda m: BASE + timedelta(minutes=m)
+    row = lambda viewer, m, n: (viewer, at(m), n, "a", 60)
+    # 0 closes behind the watermark of 91; 20 comes later, and its own time isn't behind it.
+    parts = [[row(1, 0, 1)], [row(2, 91, 2)], [row(2, 92, 3)], [row(1, 20, 4), row(1, 60, 5)], [(None, at(9000), None, None, None)]]
+    s = inc.session_windows(source(spark, f"{tmp_path}/in", parts, ROWS))
+    _, pieces = swept(spark, s, tmp_path, s.schema)
+    assert [r["views"] for r in pieces.filter("viewer_id = 1").orderBy("started").collect()] == [1, 1, 1]
+    got = inc.rejoined(pieces).orderBy("started").collect()
+    assert [(r["viewer_id"], r["started"], r["ended"], r["views"], r["duration_s"]) for r in got] == [(1, at(0), at(20), 2, 120), (1, at(60), at(60), 1, 60), (2, at(91), at(92), 2, 120)]
+
+
+def test_closed_sessions_equal_sql_where_late_rows_reach_closed_ones(spark, tmp_path):
+    import duckdb
+
+    from viewtrail.plans import catalog
+
+    start, n = datetime(2026, 7, 1), 3000
+    end = start + timedelta(seconds=(n - 1) * 97)
+    rows = [(i, start + timedelta(seconds=i * 97), i % 700 * 50, "view", 10.0, '{"k": 50}') for i in range(n)]
+    # Row 3180 is a multiple of 53 and so comes late: when the session that it belongs to has closed.
+    rows += [(k, end - timedelta(minutes=m), 50_000, "view", 10.0, '{"k": 50}') for k, m in ((3181, 97), (3180, 85))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()["t8_closed_sessions"]).fetchall())
+    (whole,) = [f for f in (tmp_path / "events.parquet").parent.iterdir() if f.name == "events.parquet"]
+    got = catalog.queries()["t8_closed_sessions"](spark, str(whole.parent))
+    assert sorted(map(tuple, got.collect())) == want

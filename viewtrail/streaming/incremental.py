@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,7 +20,8 @@ def session_windows(events: DataFrame, gap_s: int = SESSION_GAP_S, late: str = "
 
     In append mode a session comes out when the watermark is a gap behind its
     last row, open ones stay in state, and rows whose own session would be closed
-    are dropped (``LateRows`` keeps them). In complete mode open ones come out,
+    are dropped (``LateRows`` keeps them); rows that come between are pieces of
+    their own, which ``rejoined`` puts together. In complete mode open ones come out,
     too, and nothing is given up.
     """
     window = F.session_window("watched_at", f"{gap_s} seconds")
@@ -28,6 +29,20 @@ def session_windows(events: DataFrame, gap_s: int = SESSION_GAP_S, late: str = "
     return each.select("viewer_id", F.col("session_window.start").alias("started"), "ended", "views", "duration_s")
 
 
+def rejoined(pieces: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
+    """Whole sessions from those that ``session_windows`` gave in append mode.
+
+    A row may be less late than its session: it comes after that has closed, but
+    its own time isn't a gap behind the watermark, so it is taken and starts a
+    piece of its own. Pieces of a viewer that are no gap apart are one session.
+    """
+    w = Window.partitionBy("viewer_id").orderBy("started")
+    new = F.coalesce(F.unix_micros("started") - F.lag(F.unix_micros("ended")).over(w) > gap_s * 1_000_000, F.lit(True))
+    numbered = pieces.withColumn("_new", new.cast("long")).withColumn("_session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = numbered.groupBy("viewer_id", "_session").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("views").alias("views"), F.sum("duration_s").alias("duration_s"))
+    return whole.drop("_session")
+
+
 @dataclass
 class LateRows:
     """The rows that ``session_windows`` drops, from the same files in the same batches.
