@@ -185,3 +185,21 @@ def test_nearest_centroid_of_odd_vectors(spark):
     assert got == {1: "a", 2: "b", 3: "e", 4: "e", 5: "e", 6: "e"}
     none = q.nearest(rows, "vec", centres.filter("false"), "label").collect()
     assert len(none) == 6 and {r["nearest"] for r in none} == {None}
+
+
+def test_more_labels_than_twenty_thousand(monkeypatch):
+    import pandas as pd
+
+    n = 20_001
+    pdf = pd.DataFrame({"area": "a", "sub": [f"s{i}" for i in range(n)], "views": 1, "videos": 9, "vec": [[1.0, i % 3] for i in range(n)]})
+    assert len(q._labels(pdf).areas) == n
+    monkeypatch.setattr(q, "MOST_VALUES", 2 * n - 1)
+    with pytest.raises(ValueError):
+        q._labels(pdf)
+
+
+def test_closest_pairs_after_many_merges():
+    rng = np.random.default_rng(5)
+    v = k.unit(np.concatenate([rng.normal(size=(90, 6)), np.repeat(rng.normal(size=(10, 6)), 3, axis=0)]))
+    for threshold in (0.1, 0.5, 0.95):
+        assert same(k.agglomerate(v, np.ones(len(v)), threshold), slow(v, np.ones(len(v)), threshold))
