@@ -84,3 +84,17 @@ def test_expressions_read_lines_as_python_does(spark):
         assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
         assert {x["id"]: tuple(x)[2:] for x in got.collect()} == want
     assert whole > 100
+
+
+def test_lines_that_repeat_are_read_once(monkeypatch):
+    calls, mended = [], r.repaired
+    monkeypatch.setattr(r, "repaired", lambda f, areas: calls.append(f) or mended(f, areas))
+    areas = r.Areas(("dev", "gaming", "unclear"))
+    reply = "\n".join(f"{n}. dev/talks 0.7" for n in range(1, 101))
+    assert r.verdicts(reply, 100, areas) == [("dev/talks", "", 0.7)] * 100
+    assert len(calls) == 1
+    other = r.Areas(("gaming", "unclear"))
+    with pytest.raises(r.Refused):
+        r.verdicts(reply, 100, other)  # what was kept belongs to the areas
+    long = f"1 dev/{'x' * 500} learn 0.5"
+    assert r.verdicts(long, 1, areas) == [(f"dev/{'x' * 24}", "learn", 0.5)]

@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -110,12 +111,30 @@ def numbered(reply: str, count: int, width: int, read: Callable[[list[str]], obj
     return [found[n] for n in range(1, count + 1)]
 
 
+#: Answers of lines that are kept, and the characters of a line that is kept at most.
+KEPT, KEPT_CHARS = 1 << 15, 120
+
+
+@lru_cache(KEPT)
+def _mended(rest: tuple[str, ...], areas: Areas) -> list[str]:
+    return repaired(["", *rest], areas)[1:]
+
+
+@lru_cache(KEPT)
+def _verdict(f: tuple[str, ...], areas: Areas) -> tuple[str, str, float] | None:
+    parts = areas.topic(f[0]), mode(f[1]), confidence(f[2])
+    return None if None in parts else parts
+
+
 def verdicts(reply: str, count: int, areas: Areas) -> list[tuple[str, str, float]]:
-    def read(f: list[str]):
-        parts = areas.topic(f[0]), mode(f[1]), confidence(f[2])
-        return None if None in parts else parts
+    """Lines repeat but for their numbers, so what short ones mean is kept for the next."""
+    short = lambda f: sum(map(len, f)) <= KEPT_CHARS
+
+    def mend(f: list[str]) -> list[str]:
+        rest = tuple(f[1:])
+        return [*f[:1], *(_mended if short(rest) else _mended.__wrapped__)(rest, areas)]
 
-    return numbered(reply, count, 4, read, lambda f: repaired(f, areas))
+    return numbered(reply, count, 4, lambda f: (_verdict if short(f) else _verdict.__wrapped__)(tuple(f), areas), mend)
 
 
 def modes(reply: str, count: int) -> list[str]:

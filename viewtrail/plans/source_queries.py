@@ -376,7 +376,7 @@ def _answer(df: DataFrame, *columns: str) -> DataFrame:
 @register("p27_verdict_replies", sql(ITEMS, f"SELECT batch_id, id, CASE WHEN NOT refused THEN {_case_sql('layout', [x[1] for x in LAYOUTS])} END AS topic, CASE WHEN NOT refused THEN {_case_sql('layout', [x[2] for x in LAYOUTS])} END AS mode, CASE WHEN NOT refused THEN {_case_sql('layout', [x[3] for x in LAYOUTS])} END AS percent, refused FROM x"))
 def p27_verdict_replies(spark, d) -> DataFrame:
     """Also P28: lines of other layouts are mended where only one reading fits; a reply is whole or refused."""
-    got = replies.parse_replies(batches(spark, d, lambda k: _case(k, [x[0] for x in LAYOUTS])).repartition("batch_id"), AREAS)
+    got = replies.parse_replies(batches(spark, d, lambda k: _case(k, [x[0] for x in LAYOUTS])), AREAS)
     return got.select(F.regexp_extract("id", "^[0-9]+", 0).cast("long").alias("batch_id"), "id", "topic", "mode", F.round(F.col("confidence") * 100).cast("int").alias("percent"), F.col("error").isNotNull().alias("refused"))
 
 
