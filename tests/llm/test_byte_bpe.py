@@ -48,3 +48,18 @@ def test_defined_cases(spark):
     assert byte_bpe.digests(docs.filter("false"), FILE, public_tokenizers.PATTERN).collect() == []
     kept = byte_bpe.encode_texts(docs, FILE, public_tokenizers.PATTERN).collect()
     assert {bytes(r["decoded"]) for r in kept} == {b"", b"a b"}
+
+
+def test_common_pieces_stay_in_a_full_memo(codec, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_PIECES", 20)
+    codec.memo, codec.older, met, piece = {}, {}, [], codec.piece
+    monkeypatch.setattr(codec, "piece", lambda data: met.append(data) or piece(data))
+    for k in range(300):
+        codec.encode(f" common x{k * 7919:o}".replace("7", "z"))
+    assert met.count(b" common") == 1 and len(codec.memo) + len(codec.older) <= 20
+
+
+def test_long_texts_in_parts(codec, monkeypatch):
+    whole = [codec.encode(t) for t in TEXTS]
+    monkeypatch.setattr(byte_bpe, "LISTED_CHARS", 8)
+    assert [codec.encode(t) for t in TEXTS] == whole

@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding without replaying merges.
 
 A piece's bytes are mapped to Latin-1 characters, so that a pyahocorasick
-automaton over the vocabulary finds every token at every offset in one pass.
-Encoding then goes left to right: take the longest token that is compatible
+automaton over the vocabulary says how far the tokens at an offset reach.
+Encoding goes left to right: take the longest token that is compatible
 with the one before it; where none is, step back and shorten. Two adjacent
 tokens are compatible if merging their joined bytes gives just these two, and
 a sequence whose neighbours are all compatible is the one that merging gives.
@@ -13,7 +13,7 @@ Defined cases: a null text is an empty one; an empty text has no tokens;
 characters that no match of the pattern covers are skipped, as a scan by the
 pattern does; repeated rows and null ids give a row each; other columns are
 not read. Pieces are memoised up to a bound, so that memory doesn't grow with
-the corpus.
+the corpus; of a full memo the older half goes, so that common pieces stay.
 """
 
 from __future__ import annotations
@@ -21,13 +21,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Pieces of at most this many characters are memoised, and so many of them.
-MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 40, 150_000, 150_000
+MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 40, 300_000, 150_000
+#: Characters of a text up to which its pieces are listed at once.
+LISTED_CHARS = 1 << 20
 
 
 class ByteBpe:
@@ -39,14 +43,16 @@ class ByteBpe:
 
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self.find = regex.compile(pattern).finditer
+        self.pattern = regex.compile(pattern)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pair: dict[tuple[int, int], bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            if self.merged(token) == [token]:  # others never come out of merging
-                self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
-        self.automaton.make_automaton()
+        # Others never come out of merging.
+        self.known = {token.decode("latin-1"): rank for token, rank in ranks.items() if self.merged(token) == [token]}
+        self.most = max(map(len, self.known), default=0)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for token in self.known:
+            self.automaton.add_word(token)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBpe:
@@ -83,49 +89,63 @@ class ByteBpe:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        size = len(data)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, found in self.automaton.iter(data.decode("latin-1")):
-            starts[end + 1 - found[0]].append(found)  # rising lengths: ends rise
+        text, size, most = data.decode("latin-1"), len(data), self.most
+        reach, known, pair = self.automaton.longest_prefix, self.known, self.pair
         dead = bytearray(size + 1)
         ids: list[int] = []
-        tried: list[int] = []  # index of each chosen token among those of its start
-        at, k = 0, len(starts[0]) - 1
+        at, length, last = 0, reach(text[:most]), None
         while at < size:
-            here = starts[at]
-            while k >= 0:
-                length, rank = here[k]
-                if not dead[at + length] and (not ids or self.compatible(ids[-1], rank)):
-                    break
-                k -= 1
-            if k >= 0:
+            while length:
+                rank = known.get(text[at : at + length])
+                if rank is not None and not dead[at + length]:
+                    fits = True if last is None else pair.get((last, rank))
+                    if fits or fits is None and self.compatible(last, rank):
+                        break
+                length -= 1
+            if length:
                 ids.append(rank)
-                tried.append(k)
+                last = rank
                 at += length
-                k = len(starts[at]) - 1 if at < size else -1
+                length = reach(text[at : at + most])
             elif not ids:
                 raise ValueError("the vocabulary lacks single bytes")
             else:
                 dead[at] = 1
-                at -= len(self.token[ids.pop()])
-                k = tried.pop() - 1
+                length = len(self.token[ids.pop()])
+                at -= length
+                length -= 1
+                last = ids[-1] if ids else None
         return ids
 
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The pattern's matches, in lists; those of a long text come in parts."""
+        if len(text) <= LISTED_CHARS and not self.pattern.groups:
+            yield self.pattern.findall(text)
+            return
+        matches = self.pattern.finditer(text)
+        while part := [m[0] for m in islice(matches, LISTED_CHARS // 4)]:
+            yield part
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        memo, out = self.memo, []
-        for match in self.find(text):
-            word = match[0]
-            ids = memo.get(word)
-            if ids is None:
-                ids = array("I", self.piece(word.encode("utf-8"))).tobytes()
-                if len(word) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_PIECES:
-                        memo.clear()
-                    memo[word] = ids
-            out.append(ids)
+        out = []
+        for words in self.words(text):
+            ids = list(map(self.memo.get, words))
+            if None in ids:
+                ids = [self._ids(w) if i is None else i for w, i in zip(words, ids, strict=True)]
+            out += ids
         return b"".join(out)
 
+    def _ids(self, word: str) -> bytes:
+        ids = self.memo.get(word) or self.older.get(word)
+        if ids is None:
+            ids = array("I", self.piece(word.encode("utf-8"))).tobytes()
+        if len(word) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO_PIECES // 2:
+                self.memo, self.older = {}, self.memo
+            self.memo[word] = ids
+        return ids
+
     def decode(self, ids: bytes) -> bytes:
         numbers = array("I")
         numbers.frombytes(ids)
