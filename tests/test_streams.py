@@ -106,3 +106,40 @@ def test_closed_sessions_equal_sql_where_late_rows_reach_closed_ones(spark, tmp_
     (whole,) = [f for f in (tmp_path / "events.parquet").parent.iterdir() if f.name == "events.parquet"]
     got = catalog.queries()["t8_closed_sessions"](spark, str(whole.parent))
     assert sorted(map(tuple, got.collect())) == want
+
+
+class _Held(list):
+    """A state of its handle, kept in memory."""
+
+    def appendList(self, rows):
+        self.extend(rows)
+
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return list(self) if not self or isinstance(self[0], tuple) else self[0]
+
+    put = update = lambda self, rows: self.__setitem__(slice(None), rows)
+
+
+def test_waiting_rows_are_packed():
+    """A row isn't an element of state of its own, whatever comes in and whatever waits on."""
+    import types
+
+    import pandas as pd
+
+    n, states = 25_000, {}
+    make = lambda name, schema: states.setdefault(name, _Held())
+    handle = types.SimpleNamespace(getListState=make, getValueState=make, registerTimer=lambda us: None)
+    line = tl.Timelines()
+    line.init(handle)
+    rows = pd.DataFrame({"t": [(n - i) * 1_000_000 for i in range(n)], "event_id": range(n), "area": [None if i % 7 == 0 else "a" for i in range(n)], "duration_s": [None if i % 5 == 0 else 60.0 for i in range(n)]})
+    list(line.handleInputRows((1,), iter([rows[:20_000], rows[20_000:]]), None))
+    assert len(states["waiting"]) == 3
+    mark = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 5_000_000)
+    states["open"].update = lambda row: states["open"].__setitem__(slice(None), [list(row)])
+    (out,) = line.handleExpiredTimer((1,), mark, None)
+    seen = out[out["kind"] == "view"]
+    assert seen["event_id"].tolist() == list(range(n - 1, n - 5001, -1)) and seen["area"].isna().sum() == sum(i % 7 == 0 for i in range(20_000, n))
+    assert len(states["waiting"]) == 2

@@ -1,7 +1,8 @@
 """Timelines on a stream: sessions, overlaps and chains from rows in any order.
 
-Rows wait in a viewer's list state until the watermark has passed them; then no
-earlier row can come, and they are scanned in time order from the viewer's value
+Rows wait in a viewer's list state, a packed Arrow batch an element, until the
+watermark has passed them; then no earlier row can come, and they are scanned in
+time order from the viewer's value
 state: the last row, the main lane and the open island of the open session. An
 event-time timer closes a session once the watermark is a gap behind its last
 row, and with it the viewer's state goes: idle viewers hold none.
@@ -14,6 +15,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +32,28 @@ _OPEN_NAMES = [part.split()[0] for part in _OPEN.split(", ")]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_KINDS = {name: {"string": "object", "long": "Int64", "boolean": "boolean"}[kind] for name, kind in (part.split() for part in OUT.split(", "))}
+#: Columns of the rows that wait, and how many stand in one packed batch.
+_WAITING, PACKED = {"t": "int64", "event_id": "int64", "area": "string", "duration_s": "int64"}, 10_000
+
+
 def _frame(out: list) -> pd.DataFrame:
-    kinds = {"string": "object", "long": "Int64", "boolean": "boolean"}
-    frame = pd.DataFrame(out, columns=[part.split()[0] for part in OUT.split(", ")])
-    return frame.astype({name: kinds[kind] for name, kind in (part.split() for part in OUT.split(", "))})
+    columns = zip(*out, strict=True) if out else [()] * len(_KINDS)
+    return pd.DataFrame({name: pd.array(list(x), dtype=kind) if kind != "object" else pd.Series(x, dtype=kind) for (name, kind), x in zip(_KINDS.items(), columns, strict=True)})
+
+
+def _schema() -> pa.Schema:
+    return pa.schema([(name, kind) for name, kind in _WAITING.items()])
+
+
+def _packed(rows: pa.Table) -> list[tuple[bytes]]:
+    """The rows as elements of the list state."""
+    return [(b.serialize().to_pybytes(),) for b in rows.combine_chunks().to_batches(max_chunksize=PACKED)]
+
+
+def _unpacked(elements) -> pa.Table:
+    schema = _schema()
+    return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(bytes(e[0])), schema) for e in elements], schema)
 
 
 class Timelines(StatefulProcessor):
@@ -44,33 +65,35 @@ class Timelines(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", _OPEN)
-        self.waiting = handle.getListState("waiting", "t long, event_id long, area string, duration_s long")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for part in rows:
             t = part["t"].astype("int64")
             first = int(t.min()) if first is None else min(first, int(t.min()))
+            areas = pa.array([None if pd.isna(x) else str(x) for x in part["area"]], pa.string())
             lengths = part["duration_s"].fillna(0).astype("int64")
-            self.waiting.appendList([(int(a), int(e), None if pd.isna(x) else str(x), int(n)) for a, e, x, n in zip(t, part["event_id"], part["area"], lengths, strict=True)])
+            self.waiting.appendList(_packed(pa.table([pa.array(t), pa.array(part["event_id"].astype("int64")), areas, pa.array(lengths)], schema=_schema())))
         if first is not None:
             self.handle.registerTimer(-(-first // 1000))  # at once, if the watermark has passed it
         yield _frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready, rest = sorted((r for r in waiting if r[0] <= mark), key=lambda r: r[:2]), [r for r in waiting if r[0] > mark]
+        waiting = _unpacked(self.waiting.get() if self.waiting.exists() else [])
+        passed = pc.less_equal(waiting["t"], mark)
+        ready, rest = waiting.filter(passed).sort_by([("t", "ascending"), ("event_id", "ascending")]), waiting.filter(pc.invert(passed))
         state = dict(zip(_OPEN_NAMES, self.open.get(), strict=True)) if self.open.exists() else None
         viewer, out = key[0], []
-        for row in ready:
+        for row in zip(*(c.to_pylist() for c in ready.columns), strict=True):
             state = self._step(viewer, state, row, out)
         if state is not None and mark >= state["last"] + self.gap:
             self._close(viewer, state, out)
             state = None
-        if ready:
-            if rest:
-                self.waiting.put(rest)
+        if len(ready):
+            if len(rest):
+                self.waiting.put(_packed(rest))
             else:
                 self.waiting.clear()
         due = []
@@ -79,8 +102,8 @@ class Timelines(StatefulProcessor):
         else:
             self.open.update(tuple(state[n] for n in _OPEN_NAMES))
             due.append(-(-(state["last"] + self.gap) // 1000))
-        if rest:
-            due.append(-(-min(r[0] for r in rest) // 1000))
+        if len(rest):
+            due.append(-(-pc.min(rest["t"]).as_py() // 1000))
         if due:
             self.handle.registerTimer(min(due))
         yield _frame(out)
