@@ -203,3 +203,19 @@ def test_closest_pairs_after_many_merges():
     v = k.unit(np.concatenate([rng.normal(size=(90, 6)), np.repeat(rng.normal(size=(10, 6)), 3, axis=0)]))
     for threshold in (0.1, 0.5, 0.95):
         assert same(k.agglomerate(v, np.ones(len(v)), threshold), slow(v, np.ones(len(v)), threshold))
+
+
+def test_merges_ahead_change_no_answer(monkeypatch):
+    """Most merges come from products of many at once; what they say is what each alone says."""
+    rng = np.random.default_rng(7)
+    v, w = k.unit(rng.normal(size=(110, 8))), rng.integers(1, 60, 110)
+    met, found = k.Closest._met, []
+    monkeypatch.setattr(k.Closest, "_met", lambda self, r, gone: found.append(met(self, r, gone)) or found[-1])
+    want = {t: slow(v, w, t) for t in (0.3, 0.7)}
+    for ahead in (1, 5, 48):
+        monkeypatch.setattr(k, "AHEAD", ahead)
+        for t in (0.3, 0.7):
+            assert same(k.agglomerate(v, w, t), want[t])
+    found.clear()
+    k.agglomerate(v, w, 0.3)
+    assert sum(x is not None for x in found) > len(found) / 2
