@@ -151,3 +151,45 @@ def test_a_text_of_many_equal_lines_takes_linear_time(spark):
     got = {r["doc_id"]: r["text"] for r in m.deduplicated(docs).collect()}
     assert got == {1: "the very same line again\nanother line that stays where it is", 2: "first of its kind\n"}
     assert time.monotonic() - began < 120
+
+
+def test_exact_sets_of_long_lines_take_linear_time(spark):
+    """Each shingle's place once copied the whole line."""
+    import time
+
+    rng = random.Random(9)
+    line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400_000)).strip()
+    docs = spark.createDataFrame([(1, line), (2, f"{line[:-1]}#"), (3, "a short one")], "doc_id long, text string")
+    began = time.monotonic()
+    assert {r["doc_id"]: r["keeper_doc"] for r in m.decisions(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert time.monotonic() - began < 30
+
+
+def test_bands_of_two_are_compared_once(spark, monkeypatch):
+    """Pairs under the bound, each in bands of its own: nothing is left for the blocks."""
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows = []
+    for p in range(60):
+        base = word(60)
+        rows += [(2 * p, base + word(10)), (2 * p + 1, base + word(10))]
+    calls, met = [], m._met
+    monkeypatch.setattr(m, "_met", lambda placed, *rest: calls.append(placed.count()) or met(placed, *rest))
+    assert len(kept_by(spark, rows)) == 120
+    assert not sum(calls)
+
+
+def test_small_bands_and_later_links_give_all_pairs_components(spark, monkeypatch):
+    """Chains whose links stand in bands of any size, with and without stars."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(25):
+        t = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(260)]
+        for _ in range(rng.randint(2, 12)):
+            for _ in range(2):
+                t[rng.randrange(len(t))] = rng.choice("0123456789")
+            rows.append((len(rows), "".join(t)))
+    want = kept_of(rows)
+    for few in (2, 4, 100):
+        monkeypatch.setattr(m, "FEW", few, raising=False)
+        assert len(kept_by(spark, rows) ^ want) <= 2

@@ -14,14 +14,15 @@
    sets pairs aside without losing any. What is left is verified by the exact
    Jaccard similarity of the shingles, told apart by 64-bit hashes, as part of
    the join that makes the pairs.
-4. Stars: within a band each line is paired with the band's least line; bands
-   that hold several components yet get one more star. Stars only save work: a
-   crowd of near copies so costs a few pairs a line.
-5. In the bands that hold several components yet, every pair of lines across
-   components is tested: bands are cut into blocks and pairs of blocks are dealt
-   out; the join returns the links alone. Two lines that share a band so end in
-   one component or have been compared. The number of comparisons grows with the
-   square of the lines of a band that stars leave in several components.
+4. In a band of a few lines all pairs are tested at once. Larger ones begin with
+   stars: each line is paired with the band's least line; those that hold several
+   components yet get one more star. Stars only save work: a crowd of near copies
+   so costs a few pairs a line.
+5. In the larger bands that hold several components yet, every pair of lines
+   across components is tested: bands are cut into blocks and pairs of blocks are
+   dealt out; the join returns the links alone. Two lines that share a band so end
+   in one component or have been compared. The number of comparisons grows with
+   the square of the lines of a band that stars leave in several components.
 6. A distributed union-find over the verified links gives components; the first
    line of each (by document, then place) is kept.
 
@@ -46,16 +47,18 @@ from ._components import components
 
 #: Turns of one more star in bands that hold several components.
 TURNS = 1
-#: Lines of a band's block; parts of the mixed bands, one after another, so that one part's rows are on disk.
-BLOCK, PARTS = 512, 4
+#: Lines of a band whose pairs are all tested at once.
+FEW = 4
+#: Lines of a band's block; parts of the mixed bands at most, one after another, so that one part's rows are on disk; lines of a part.
+BLOCK, PARTS, PART_LINES = 512, 4, 100_000
 #: Characters of a shingle, least Jaccard similarity.
 SHINGLE, SIMILARITY = 8, 0.8
 #: Minima of a signature, a band for each, and the steps of a band's three places.
 MINIMA, STEPS = 13, (0, 1, 3)
 #: A minimum's hash is the shingle's, shifted by one of these and then masked.
 SHIFTS = (0, 16, 32)
-#: Shingles that one row of the signature's aggregate holds.
-STRIDE = 6
+#: Shingles that one row of the signature's aggregate holds, and of the sketch's.
+STRIDE, SKETCH_STRIDE = 6, 4
 #: 64-bit words of a sketch's bitmap.
 WORDS = 32
 
@@ -116,8 +119,12 @@ def signatures(found: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _set(units: str, size: int) -> str:
-    """SQL of the hashes of a line's shingles, repeats included."""
-    return f"transform(sequence(1, {_end(units, size)}, 2), i -> {_shingle_at(units, 'i', size)})"
+    """SQL of the hashes of a line's shingles, repeats included.
+
+    The line is bound once, outside: a function of a shingle's place alone would
+    copy the whole line out of its row for every place.
+    """
+    return f"transform(array({units}), u -> transform(sequence(1, {_end('u', size)}, 2), i -> {_shingle_at('u', 'i', size)}))[0]"
 
 
 def _sketched(wanted: DataFrame, found: DataFrame, size: int) -> DataFrame:
@@ -128,15 +135,17 @@ def _sketched(wanted: DataFrame, found: DataFrame, size: int) -> DataFrame:
     place = F.xxhash64("doc_id", "t1", "t2", "line_no")
     named, keys = found.select("h1", "h2", place.alias("place"), "line"), wanted.select("lid", "h1", "h2", "place")
     # A place is one row, but for rows of documents that repeat id and text.
-    texts = named.join(keys, ["h1", "h2", "place"]).groupBy("lid").agg(F.first("line").alias("line"))
+    texts = named.join(keys.hint("shuffle_hash"), ["h1", "h2", "place"]).groupBy("lid").agg(F.first("line").alias("line"))
     texts = stored(texts.select("lid", F.encode("line", "UTF-16BE").alias("units")), "line-texts")
-    each = texts.select("lid", "units", F.expr(f"explode(sequence(1, {_end('units', size)}, 2))").alias("i"))
-    each = each.select("lid", F.expr(_shingle_at("units", "i", size)).alias("s")).select("lid", F.expr(f"s & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, cast(shiftright(s, 8) & 63 as int))").alias("bit"))
-    words = [F.expr(f"bit_or(if(word = {k}, bit, 0L))").alias(f"w{k}") for k in range(WORDS)]
-    bits = each.groupBy("lid").agg(F.count("*").cast("int").alias("count"), *words)
+    end, steps = _end("units", size), range(SKETCH_STRIDE)
+    each = texts.select("lid", "units", F.expr(end).alias("end"), F.expr(f"explode(sequence(1, {end}, {2 * SKETCH_STRIDE}))").alias("i"))
+    each = each.select("lid", *(F.expr(_shingle_at("units", f"least(i + {2 * j}, end)", size)).alias(f"s{j}") for j in steps))
+    each = each.select("lid", *(F.expr(f"s{j} & {WORDS - 1}").alias(f"word{j}") for j in steps), *(F.expr(f"shiftleft(1L, cast(shiftright(s{j}, 8) & 63 as int))").alias(f"bit{j}") for j in steps))
+    words = [F.expr(f"bit_or({' | '.join(f'if(word{j} = {k}, bit{j}, 0L)' for j in steps)})").alias(f"w{k}") for k in range(WORDS)]
     set_bits = reduce(lambda x, y: x + y, (F.bit_count(f"w{k}") for k in range(WORDS)))
-    bits = bits.select("lid", "count", set_bits.alias("set_bits"), F.array(*(f"w{k}" for k in range(WORDS))).alias("bits"))
-    sketched = stored(texts.join(bits, "lid").join(wanted.drop("h1", "h2", "place"), "lid"), "line-sketches")
+    bits = each.groupBy("lid").agg(*words).select("lid", set_bits.alias("set_bits"), F.array(*(f"w{k}" for k in range(WORDS))).alias("bits"))
+    counted = texts.withColumn("count", F.expr(f"cast(({end} + 1) div 2 as int)"))
+    sketched = stored(counted.join(bits, "lid").join(wanted.drop("h1", "h2", "place"), "lid"), "line-sketches")
     forget(texts)
     release(found.sparkSession)
     return sketched
@@ -173,6 +182,14 @@ def _band(k: int, prefix: str = ""):
     return F.xxhash64(*(F.col(f"{prefix}m{(k + s) % MINIMA}") for s in STEPS), F.lit(k))
 
 
+def _first_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): each line and the least of its band, and all pairs of bands of FEW lines at most."""
+    stars = shared.filter(F.col("low") < F.col("lid")).select(F.col("low").alias("a"), F.col("lid").alias("b"))
+    few = shared.filter((F.col("size") > 2) & (F.col("size") <= FEW) & (F.col("low") < F.col("lid")))
+    others = few.select("band", F.col("lid").alias("a")).join(few.select("band", F.col("lid").alias("b")), "band").filter(F.col("a") < F.col("b"))
+    return stars.unionByName(others.select("a", "b")).distinct()
+
+
 def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """(band, lid, root) of the lines of bands."""
     return shared.select("band", "lid").join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
@@ -191,11 +208,12 @@ def _across(shared: DataFrame, roots: DataFrame, sketched: DataFrame, size: int,
     """The links (a, b) between lines of a band that are in two components."""
     placed = stored(_placed(shared, roots), "line-placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).filter(F.col("_lo") < F.col("_hi"))
-    blocks = stored(mixed.select("band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "line-blocks")
-    links = []
-    for part in range(PARTS):
-        mine = F.pmod("band", F.lit(PARTS)) == part
-        links.append(_met(placed.filter(mine).join(blocks.filter(mine), "band"), sketched, size, similarity))
+    blocks = stored(mixed.select("band", "_n", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "line-blocks")
+    links, held = [], blocks.agg(F.sum("_n")).first()[0] or 0
+    parts = min(PARTS, -(-held // PART_LINES))
+    for part in range(parts):
+        mine = F.pmod("band", F.lit(parts)) == part
+        links.append(_met(placed.filter(mine).join(blocks.filter(mine).drop("_n"), "band"), sketched, size, similarity))
         release(shared.sparkSession)
     for done in (placed, blocks):
         forget(done)
@@ -228,19 +246,21 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = lines(docs, id_col, text_col)
     signed = stored(signatures(found, size).withColumn("lid", F.monotonically_increasing_id()), "line-signatures")
     bands = signed.select("lid", F.explode(F.array(*(_band(k) for k in range(MINIMA)))).alias("band"))
-    least = stored(bands.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).filter(F.col("low") < F.col("high")).drop("high"), "line-least")
-    shared = stored(bands.join(least, "band"), "line-bands")  # only bands of several lines
+    least = stored(bands.groupBy("band").agg(F.min("lid").alias("low"), F.count("*").alias("size")).filter(F.col("size") > 1), "line-least")
+    shared = stored(bands.join(least.hint("shuffle_hash"), "band"), "line-bands")  # only bands of several lines
     forget(least)
     release(docs.sparkSession)
     wanted = shared.select("lid").distinct().join(signed.drop("n"), "lid")
     sketched = _sketched(wanted, found, size)
-    stars = shared.filter(F.col("low") < F.col("lid")).select(F.col("low").alias("a"), F.col("lid").alias("b")).distinct()
-    links = [_verified(stars, sketched, size, similarity)]
-    roots = _roots(links)
+    links = [_verified(_first_pairs(shared), sketched, size, similarity)]
+    roots = _roots(links[0])
+    crowds = shared.filter(F.col("size") > FEW)
     for turn in range(TURNS + 1):
-        links += [_verified(_stars(shared, roots, turn), sketched, size, similarity)] if turn < TURNS else _across(shared, roots, sketched, size, similarity)
-        old, roots = roots, _roots(links)
-        forget(old)
+        more = [_verified(_stars(crowds, roots, turn), sketched, size, similarity)] if turn < TURNS else _across(crowds, roots, sketched, size, similarity)
+        links += more
+        old, roots = roots, _merged(roots, more)
+        if old is not roots:
+            forget(old)
         release(docs.sparkSession)
     rows = signed.select("lid", "h1", "h2", "n").join(roots.withColumnRenamed("node", "lid"), "lid", "left")
     rows = rows.filter((F.col("n") > 1) | F.col("root").isNotNull()).select("h1", "h2", F.coalesce("root", "lid").alias("root"))
@@ -250,8 +270,23 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes
 
 
-def _roots(links: list[DataFrame]) -> DataFrame:
-    return stored(components(reduce(DataFrame.unionByName, links), "a", "b"), "line-roots")
+def _roots(links: DataFrame) -> DataFrame:
+    return stored(components(links, "a", "b"), "line-roots")
+
+
+def _merged(roots: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """roots after some more links: only components that these join are looked at."""
+    links = [x for x in links if not x.isEmpty()]
+    if not links:
+        return roots
+    at = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    joined = reduce(DataFrame.unionByName, links).join(at("a"), "a", "left").join(at("b"), "b", "left")
+    moves = _roots(joined.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    known = roots.unionByName(moves.select("node", F.col("node").alias("root"))).distinct()  # a node that moves is its own root yet
+    moved = known.join(moves.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    out = stored(moved.select("node", F.coalesce("to", "root").alias("root")), "line-roots")
+    forget(moves)
+    return out
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
