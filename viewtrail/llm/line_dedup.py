@@ -137,6 +137,7 @@ def _sketched(wanted: DataFrame, found: DataFrame, size: int) -> DataFrame:
     # A place is one row, but for rows of documents that repeat id and text.
     texts = named.join(keys.hint("shuffle_hash"), ["h1", "h2", "place"]).groupBy("lid").agg(F.first("line").alias("line"))
     texts = stored(texts.select("lid", F.encode("line", "UTF-16BE").alias("units")), "line-texts")
+    release(found.sparkSession)  # the shuffle held every line's text
     end, steps = _end("units", size), range(SKETCH_STRIDE)
     each = texts.select("lid", "units", F.expr(end).alias("end"), F.expr(f"explode(sequence(1, {end}, {2 * SKETCH_STRIDE}))").alias("i"))
     each = each.select("lid", *(F.expr(_shingle_at("units", f"least(i + {2 * j}, end)", size)).alias(f"s{j}") for j in steps))
@@ -247,6 +248,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stored(signatures(found, size).withColumn("lid", F.monotonically_increasing_id()), "line-signatures")
     bands = signed.select("lid", F.explode(F.array(*(_band(k) for k in range(MINIMA)))).alias("band"))
     least = stored(bands.groupBy("band").agg(F.min("lid").alias("low"), F.count("*").alias("size")).filter(F.col("size") > 1), "line-least")
+    release(docs.sparkSession)
     shared = stored(bands.join(least.hint("shuffle_hash"), "band"), "line-bands")  # only bands of several lines
     forget(least)
     release(docs.sparkSession)
