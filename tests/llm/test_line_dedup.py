@@ -193,3 +193,15 @@ def test_small_bands_and_later_links_give_all_pairs_components(spark, monkeypatc
     for few in (2, 4, 100):
         monkeypatch.setattr(m, "FEW", few, raising=False)
         assert len(kept_by(spark, rows) ^ want) <= 2
+
+
+def test_sketches_of_mixed_bands_are_joined_once_for_all_parts(spark, monkeypatch):
+    """Each part once shuffled all sketches again."""
+    monkeypatch.setattr(m, "PART_LINES", 20)
+    rng, names, stored = random.Random(14), [], m.stored
+    monkeypatch.setattr(m, "stored", lambda df, name: names.append(name) or stored(df, name))
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base = word(240)
+    rows = [(d, base + word(72)) for d in range(40)]
+    assert kept_by(spark, rows) == kept_of(rows)
+    assert names.count("line-mixed") == 1 and names.count("line-links") > 3

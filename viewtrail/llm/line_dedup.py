@@ -49,7 +49,7 @@ from ._components import components
 TURNS = 1
 #: Lines of a band whose pairs are all tested at once.
 FEW = 4
-#: Lines of a band's block; parts of the mixed bands at most, one after another, so that one part's rows are on disk; lines of a part.
+#: Lines of a band's block; parts of the mixed bands at most, one after another, so that one part's shuffle is on disk; lines of a part.
 BLOCK, PARTS, PART_LINES = 512, 4, 100_000
 #: Characters of a shingle, least Jaccard similarity.
 SHINGLE, SIMILARITY = 8, 0.8
@@ -118,17 +118,17 @@ def signatures(found: DataFrame, size: int = SHINGLE) -> DataFrame:
     return rows.groupBy("h1", "h2").agg(F.count_if(F.col("i") == 1).alias("n"), F.min("place").alias("place"), *minima)
 
 
-def _set(units: str, size: int) -> str:
+def _set(line: str, size: int) -> str:
     """SQL of the hashes of a line's shingles, repeats included.
 
     The line is bound once, outside: a function of a shingle's place alone would
     copy the whole line out of its row for every place.
     """
-    return f"transform(array({units}), u -> transform(sequence(1, {_end('u', size)}, 2), i -> {_shingle_at('u', 'i', size)}))[0]"
+    return f"transform(array(encode({line}, 'UTF-16BE')), u -> transform(sequence(1, {_end('u', size)}, 2), i -> {_shingle_at('u', 'i', size)}))[0]"
 
 
 def _sketched(wanted: DataFrame, found: DataFrame, size: int) -> DataFrame:
-    """(lid, units, count, set_bits, bits, m0 .. mK) of the wanted lines (lid, h1, h2, place, m0 .. mK).
+    """(lid, line, count, set_bits, bits, m0 .. mK) of the wanted lines (lid, h1, h2, n, place, m0 .. mK).
 
     A line has at most ``count`` different shingles, and at least ``set_bits``.
     """
@@ -136,17 +136,18 @@ def _sketched(wanted: DataFrame, found: DataFrame, size: int) -> DataFrame:
     named, keys = found.select("h1", "h2", place.alias("place"), "line"), wanted.select("lid", "h1", "h2", "place")
     # A place is one row, but for rows of documents that repeat id and text.
     texts = named.join(keys.hint("shuffle_hash"), ["h1", "h2", "place"]).groupBy("lid").agg(F.first("line").alias("line"))
-    texts = stored(texts.select("lid", F.encode("line", "UTF-16BE").alias("units")), "line-texts")
+    texts = stored(texts, "line-texts")
     release(found.sparkSession)  # the shuffle held every line's text
     end, steps = _end("units", size), range(SKETCH_STRIDE)
-    each = texts.select("lid", "units", F.expr(end).alias("end"), F.expr(f"explode(sequence(1, {end}, {2 * SKETCH_STRIDE}))").alias("i"))
+    units = texts.select("lid", F.encode("line", "UTF-16BE").alias("units"))
+    each = units.select("lid", "units", F.expr(end).alias("end"), F.expr(f"explode(sequence(1, {end}, {2 * SKETCH_STRIDE}))").alias("i"))
     each = each.select("lid", *(F.expr(_shingle_at("units", f"least(i + {2 * j}, end)", size)).alias(f"s{j}") for j in steps))
     each = each.select("lid", *(F.expr(f"s{j} & {WORDS - 1}").alias(f"word{j}") for j in steps), *(F.expr(f"shiftleft(1L, cast(shiftright(s{j}, 8) & 63 as int))").alias(f"bit{j}") for j in steps))
     words = [F.expr(f"bit_or({' | '.join(f'if(word{j} = {k}, bit{j}, 0L)' for j in steps)})").alias(f"w{k}") for k in range(WORDS)]
     set_bits = reduce(lambda x, y: x + y, (F.bit_count(f"w{k}") for k in range(WORDS)))
     bits = each.groupBy("lid").agg(*words).select("lid", set_bits.alias("set_bits"), F.array(*(f"w{k}" for k in range(WORDS))).alias("bits"))
-    counted = texts.withColumn("count", F.expr(f"cast(({end} + 1) div 2 as int)"))
-    sketched = stored(counted.join(bits, "lid").join(wanted.drop("h1", "h2", "place"), "lid"), "line-sketches")
+    counted = texts.withColumn("count", F.expr(f"cast(({_end('encode(line, "UTF-16BE")', size)} + 1) div 2 as int)"))
+    sketched = stored(counted.join(bits.hint("merge"), "lid").join(wanted.drop("h1", "h2", "n", "place").hint("merge"), "lid"), "line-sketches")
     forget(texts)
     release(found.sparkSession)
     return sketched
@@ -161,20 +162,21 @@ def _similar(a: str, b: str, size: int, similarity: float):
     fit = f"{a}set_bits * {similarity!r}D <= {b}count + 1e-9D AND {b}set_bits * {similarity!r}D <= {a}count + 1e-9D"
     differing = " + ".join(f"bit_count({a}bits[{k}] ^ {b}bits[{k}])" for k in range(WORDS))
     few = f"({differing}) <= ({a}count + {b}count) * {(1 - similarity) / (1 + similarity)!r}D + 1e-9D"
-    sets = f"array(named_struct('x', {_set(f'{a}units', size)}, 'y', {_set(f'{b}units', size)}))"
+    sets = f"array(named_struct('x', {_set(f'{a}line', size)}, 'y', {_set(f'{b}line', size)}))"
     exact = f"exists({sets}, p -> size(array_intersect(p.x, p.y)) >= {similarity!r}D * size(array_union(p.x, p.y)) - 1e-9D)"
     return F.expr(f"{fit} AND {few} AND {exact}")
 
 
 def _side(sketched: DataFrame, prefix: str, *columns: str) -> list:
-    return [F.col(c).alias(f"{prefix}{c}") for c in ("units", "count", "set_bits", "bits", *columns)]
+    return [F.col(c).alias(f"{prefix}{c}") for c in ("line", "count", "set_bits", "bits", *columns)]
 
 
 def _verified(pairs: DataFrame, sketched: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of line numbers whose exact similarity reaches the bound."""
     left = sketched.select(F.col("lid").alias("a"), *_side(sketched, "_a"))
     right = sketched.select(F.col("lid").alias("_b"), *_side(sketched, "_b"))
-    met = pairs.join(left, "a").join(right, (F.col("b") == F.col("_b")) & _similar("_a", "_b", size, similarity))
+    # Sketches grow with the input: never broadcast, however small they are.
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), (F.col("b") == F.col("_b")) & _similar("_a", "_b", size, similarity))
     return stored(met.select("a", "b"), "line-links")
 
 
@@ -210,21 +212,23 @@ def _across(shared: DataFrame, roots: DataFrame, sketched: DataFrame, size: int,
     placed = stored(_placed(shared, roots), "line-placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).filter(F.col("_lo") < F.col("_hi"))
     blocks = stored(mixed.select("band", "_n", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "line-blocks")
-    links, held = [], blocks.agg(F.sum("_n")).first()[0] or 0
-    parts = min(PARTS, -(-held // PART_LINES))
-    for part in range(parts):
-        mine = F.pmod("band", F.lit(parts)) == part
-        links.append(_met(placed.filter(mine).join(blocks.filter(mine).drop("_n"), "band"), sketched, size, similarity))
+    links, count = [], blocks.agg(F.sum("_n")).first()[0] or 0
+    parts = min(PARTS, -(-count // PART_LINES))
+    if parts:
+        held = placed.join(blocks.drop("_n"), "band").withColumn("_own", F.pmod(F.xxhash64("lid"), F.col("_blocks")).cast("int"))
+        held = stored(held.join(sketched.hint("merge"), "lid"), "line-mixed")  # once for all parts
         release(shared.sparkSession)
+        for part in range(parts):
+            links.append(_met(held.filter(F.pmod("band", F.lit(parts)) == part), size, similarity))
+            release(shared.sparkSession)
+        forget(held)
     for done in (placed, blocks):
         forget(done)
     return links
 
 
-def _met(placed: DataFrame, sketched: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The same of some bands (band, lid, root, _blocks)."""
-    held = placed.withColumn("_own", F.pmod(F.xxhash64("lid"), F.col("_blocks")).cast("int"))
-    held = stored(held.join(sketched, "lid"), "line-mixed")
+def _met(held: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The same of some bands (band, lid, root, _blocks, _own and the lines' sketches)."""
     # Every pair of blocks is a cell; a line stands in a row and a column of them.
     more = ("lid", "root", *(f"m{k}" for k in range(MINIMA)))
     left = held.select("band", F.col("_own").alias("_i"), F.explode(F.expr("sequence(_own, _blocks - 1)")).alias("_j"), *_side(held, "_a", *more))
@@ -236,10 +240,8 @@ def _met(placed: DataFrame, sketched: DataFrame, size: int, similarity: float) -
         first = F.when(same, _band(k, "_a")).otherwise(first)
     cell = (F.col("band") == F.col("_band")) & (F.col("_i") == F.col("_bi")) & (F.col("_j") == F.col("_bj"))
     once = ((F.col("_i") < F.col("_j")) | (F.col("_alid") < F.col("_blid"))) & (F.col("_aroot") != F.col("_broot"))
-    met = left.join(right, cell & once & (F.col("band") == first) & _similar("_a", "_b", size, similarity))
-    links = stored(met.select(F.least("_alid", "_blid").alias("a"), F.greatest("_alid", "_blid").alias("b")), "line-links")
-    forget(held)
-    return links
+    met = left.join(right.hint("merge"), cell & once & (F.col("band") == first) & _similar("_a", "_b", size, similarity))
+    return stored(met.select(F.least("_alid", "_blid").alias("a"), F.greatest("_alid", "_blid").alias("b")), "line-links")
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -252,9 +254,14 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stored(bands.join(least.hint("shuffle_hash"), "band"), "line-bands")  # only bands of several lines
     forget(least)
     release(docs.sparkSession)
-    wanted = shared.select("lid").distinct().join(signed.drop("n"), "lid")
+    # Of the signatures only those of lines in bands, and the names of repeated lines, stay on disk.
+    wanted = stored(signed.join(shared.select("lid").distinct().hint("shuffle_hash"), "lid"), "line-wanted")
+    repeated = stored(signed.filter(F.col("n") > 1).select("lid", "h1", "h2"), "line-repeated")
+    forget(signed)
+    release(docs.sparkSession)
     sketched = _sketched(wanted, found, size)
     links = [_verified(_first_pairs(shared), sketched, size, similarity)]
+    release(docs.sparkSession)  # the shuffle held sketches and texts twice
     roots = _roots(links[0])
     crowds = shared.filter(F.col("size") > FEW)
     for turn in range(TURNS + 1):
@@ -264,10 +271,10 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if old is not roots:
             forget(old)
         release(docs.sparkSession)
-    rows = signed.select("lid", "h1", "h2", "n").join(roots.withColumnRenamed("node", "lid"), "lid", "left")
-    rows = rows.filter((F.col("n") > 1) | F.col("root").isNotNull()).select("h1", "h2", F.coalesce("root", "lid").alias("root"))
-    classes = stored(rows, "line-classes")
-    for done in (signed, shared, sketched, roots, *links):
+    linked = wanted.select("lid", "h1", "h2").join(roots.select(F.col("node").alias("lid"), "root"), "lid")
+    alone = repeated.join(roots.select(F.col("node").alias("lid")), "lid", "left_anti").withColumn("root", F.col("lid"))
+    classes = stored(linked.unionByName(alone).select("h1", "h2", "root"), "line-classes")
+    for done in (wanted, repeated, shared, sketched, roots, *links):
         forget(done)
     return classes
 
