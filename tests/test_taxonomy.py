@@ -219,3 +219,28 @@ def test_merges_ahead_change_no_answer(monkeypatch):
     found.clear()
     k.agglomerate(v, w, 0.3)
     assert sum(x is not None for x in found) > len(found) / 2
+
+
+def test_folding_stacks_the_centres_once(monkeypatch):
+    """Each small one in turn to the nearest big one as it is by then, ties to the first; no stack of all for each."""
+    rng = np.random.default_rng(11)
+    v = np.concatenate([rng.normal(size=(40, 6)), np.repeat(rng.normal(size=(5, 6)), 2, axis=0), rng.normal(size=(70, 6))])
+    n = len(v)
+    ls = k.Labels(["a"] * n, [f"s{i}" for i in range(n)], rng.integers(1, 60, n), np.array([9] * 50 + [1] * 70), v)
+    found = [k.cluster(ls, [r], f"s{r}") for r in range(n)]
+    want = list(found[:50])
+    for c in found[50:]:
+        best = max(range(50), key=lambda i: (round(float(want[i].centre @ c.centre), 12), -i))
+        want[best] = k.merged(ls, want[best], c)
+    stacks, stack = [], np.stack
+    monkeypatch.setattr(np, "stack", lambda *a, **kw: stacks.append(len(a[0])) or stack(*a, **kw))
+    for block in (4_000_000, 200):
+        monkeypatch.setattr(k, "BLOCK", block)
+        stacks.clear()
+        got = k.fold_small(ls, found, 3)
+        assert [(c.rows, c.name) for c in got] == [(c.rows, c.name) for c in k.in_order(ls, want)]
+        assert sum(stacks) <= n
+        stacks.clear()
+        groups = k.top_groups(found, -1.0, 3)
+        assert sorted(r for g in groups for r in g) == list(range(n)) and len(groups) == 50
+        assert sum(stacks) <= 3 * n
